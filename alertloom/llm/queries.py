@@ -23,6 +23,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_forest import quality_rules
 
@@ -34,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_store,
         op4_packing,
+        op6_piece_codec,
+        op7_suffix_dedup,
         op10_quality_rules,
     )
 }
