@@ -35,6 +35,19 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests, find_personal_data
+
+    return digests(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests
+    from .secret_net import BASE_KINDS, find_secrets
+
+    return digests(find_secrets(table(spark, sf_dir, "documents")), BASE_KINDS)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_forest import quality_rules
 
@@ -48,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_packing,
         op6_piece_codec,
         op7_suffix_dedup,
+        op8_pii,
+        op9_secrets,
         op10_quality_rules,
     )
 }
