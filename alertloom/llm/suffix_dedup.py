@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import pick, shared_dir, written
+from .frames import pick, released, written
 from .textops import U64, Block, blocks, mix, powers, ragged, strings
 
 LENGTH, GRAM = 100, 24
@@ -95,65 +95,48 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(run, "key long, known boolean, uid long, at int")
 
 
-_PARTS = "uid long, key long, lo int, hi int, body binary, n_bytes long, sha string, kind string"
+_PARTS = "uid long, key long, lo int, hi int, body binary"
 
 
 def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows by kind. whole: a text without repeated anchors, as its size and SHA-256. text: one with some. context: the bytes of
-    all windows of a repeated anchor. same: windows whose context its task has met before, so an earlier copy exists.
+    """The bytes of all windows of each repeated anchor. Without bytes: windows whose context its task has met before, so that an
+    earlier copy exists.
 
     Texts come in order of uid, so the first of equal contexts is the earliest of its task.
     """
-    joined = docs.select("uid", "text").join(repeated, "uid", "left").sortWithinPartitions("uid")
+    joined = docs.select("uid", "text").join(repeated, "uid").sortWithinPartitions("uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
 
-        def rows(kind: str, uid, key=None, lo=None, hi=None, body=None, n_bytes=None, sha=None) -> pa.RecordBatch:
-            k = len(uid)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string())
-            cols = [pa.nulls(k, t) if x is None else pa.array(x, t) if not isinstance(x, pa.Array) else x for x, t in zip((uid, key, lo, hi, body, n_bytes, sha), types, strict=True)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([kind] * k, pa.string())], ["uid", "key", "lo", "hi", "body", "n_bytes", "sha", "kind"])
-
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             nonlocal n
             uid, key, lo, hi, digest, size = (np.concatenate([x[i] for x in held]) for i in range(6))
             data = np.concatenate([x[6] for x in held])
             with np.errstate(over="ignore"):
                 first, _ = _first_of(mix(key + U64(1)) ^ digest)
-            off = np.concatenate([[0], np.cumsum(size)])
-            keep = np.flatnonzero(first)
-            bytes_ = data[ragged(off[:-1][keep], size[keep])]
-            body = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32).tobytes()), pa.py_buffer(bytes_.tobytes())])
-            yield rows("context", uid[keep], key[keep].view(np.int64), lo[keep].astype(np.int32), hi[keep].astype(np.int32), body)
-            rest = np.flatnonzero(~first)
-            if len(rest):
-                yield rows("same", uid[rest], None, lo[rest].astype(np.int32), hi[rest].astype(np.int32))
+            off = np.cumsum(size) - size
+            kept = np.where(first, size, 0)
+            body = data[ragged(off, kept)]
+            ends = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+            valid = pa.array(first).buffers()[1]
             held.clear()
             n = 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array(uid), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(first), [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])],
+                ["uid", "key", "lo", "hi", "body"],
+            )
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(2)
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for b in blocks(batch.column(1)):
-                span = slice(b.first_row, b.first_row + b.rows)
-                own = ids[span]
-                none = np.diff(at[b.first_row : b.first_row + b.rows + 1]) == 0
-                size = np.diff(b.offsets)
-                text = batch.column(1).slice(b.first_row, b.rows).cast(pa.binary())
-                raw = b.data.tobytes()
-                alone = np.flatnonzero(none).tolist()
-                if alone:
-                    yield rows("whole", own[alone], n_bytes=size[alone], sha=[hashlib.sha256(raw[b.offsets[i] : b.offsets[i + 1]]).hexdigest() for i in alone])
-                if none.all():
-                    continue
-                some = np.flatnonzero(~none)
-                yield rows("text", own[some], body=text.take(pa.array(some)))
+                own = ids[b.first_row : b.first_row + b.rows]
                 row, lo, hi, place, h = window_anchors(b)
                 marked = np.zeros(len(b.data) + 1, dtype=bool)
-                n_marks = np.diff(at[b.first_row : b.first_row + b.rows + 1])
-                marked[flat[at[b.first_row] : at[b.first_row + b.rows]] + np.repeat(b.offsets[:-1], n_marks)] = True
+                marks = at[b.first_row : b.first_row + b.rows + 1]
+                marked[flat[marks[0] : marks[-1]] + np.repeat(b.offsets[:-1], np.diff(marks))] = True
                 hit = marked[place + b.offsets[row]]
                 row, lo, hi, h = row[hit], lo[hit], hi[hit], h[hit]
                 start = b.offsets[row] + lo
@@ -161,9 +144,9 @@ def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 held.append((own[row], h, lo, hi, b.hashes(start, start + length), length, b.data[ragged(start, length)]))
                 n += int(length.sum())
                 if n >= HOLD_BYTES:
-                    yield from flush()
+                    yield flush()
         if held:
-            yield from flush()
+            yield flush()
 
     return joined.mapInArrow(run, _PARTS)
 
@@ -370,19 +353,22 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[first], e[np.append(first[1:], len(s)) - 1]
 
 
-def _parts(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``_contexts`` (written), and every range of windows with an earlier copy, by uid."""
-    base = shared_dir(keyed.sparkSession)
-    found = _anchor_rows(keyed)
-    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    repeated = found.withColumn("n", n).where("known or n > 1").groupBy("uid").agg(F.collect_list("at").alias("at"))
-    parts = written(_contexts(keyed, repeated), "parts", base)
-    both = parts.where("kind = 'same'").select("uid", "lo", "hi").unionByName(_later(parts.where("kind = 'context'")))
-    return parts, both.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+def _ranges(keyed: DataFrame) -> DataFrame:
+    """All ranges of windows with an earlier copy, by uid."""
+    parts = _written_contexts(keyed)
+    released(keyed.sparkSession)
+    both = parts.where("body is null").select("uid", "lo", "hi").unionByName(_later(parts.where("body is not null")))
+    return both.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+
 
+def _written_contexts(keyed: DataFrame) -> DataFrame:
+    found = _anchor_rows(keyed).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    repeated = found.where("known or n > 1").groupBy("uid").agg(F.collect_list("at").alias("at"))
+    return written(_contexts(keyed, repeated), "contexts")
 
-def _cut(joined: DataFrame, id_name: str, with_text: bool) -> DataFrame:
-    """Apply ranges to texts (columns: id, body, ranges)."""
+
+def _cut(joined: DataFrame) -> DataFrame:
+    """Apply ranges to texts (columns: uid, text, ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,26 +377,26 @@ def _cut(joined: DataFrame, id_name: str, with_text: bool) -> DataFrame:
             at, flat = lists.offsets.to_numpy(), lists.values
             lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
             valid = np.array(lists.is_valid())
-            sizes, gone, spans, shas, kept = [], [], [], [], []
+            gone, spans, shas = [], [], []
             for i in range(batch.num_rows):
                 text = raw[off[i] : off[i + 1]]
-                sizes.append(len(text))
+                n, k = len(text), 0
                 if valid[i] and at[i + 1] > at[i]:
                     s, e = _spans(lo[at[i] : at[i + 1]], hi[at[i] : at[i + 1]] + LENGTH)
-                    keep = np.ones(len(text), dtype=bool)
-                    keep[ragged(s, e - s)] = False
-                    text = text[keep]
-                    spans.append(len(s))
-                else:
-                    spans.append(0)
-                rest = text.tobytes()
-                gone.append(sizes[-1] - len(rest))
-                shas.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
-            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(kept, pa.binary())] * with_text], [id_name, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
-
-    return joined.mapInArrow(run, f"{id_name} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+                    k = len(s)
+                    text = text[_outside(n, s, e)]
+                spans.append(k)
+                gone.append(n - len(text))
+                shas.append(hashlib.sha256(text.tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string())], ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return joined.mapInArrow(run, "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _outside(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    keep = np.ones(n, dtype=bool)
+    keep[ragged(starts, ends - starts)] = False
+    return keep
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -421,10 +407,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     order of text. Texts shorter than ``LENGTH`` stay whole; an empty table gives none; other columns are ignored.
     """
     keyed, plain = _keyed(pick(docs, doc_id="doc_id", text="text"))
-    parts, ranges = _parts(keyed)
-    whole = parts.where("kind = 'whole'").select("uid", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    cut = _cut(parts.where("kind = 'text'").select("uid", "body").join(ranges, "uid", "left"), "uid", False)
-    out = whole.unionByName(cut)
+    out = _cut(keyed.select("uid", "text").join(_ranges(keyed), "uid", "left"))
     if plain:
         return out.withColumnRenamed("uid", "doc_id")
     return out.join(keyed.select("uid", "doc_id"), "uid").drop("uid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -436,7 +419,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character that a removed range cuts in two goes as a whole.
     """
     keyed, _ = _keyed(docs)
-    _, ranges = _parts(keyed)
+    ranges = _ranges(keyed)
 
     def left(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
         out = []
@@ -444,9 +427,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             if t is not None and a is not None:
                 data = np.frombuffer(t.encode(), dtype=np.uint8)
                 s, e = _spans(np.asarray(a, dtype=np.int64), np.asarray(z, dtype=np.int64) + LENGTH)
-                keep = np.ones(len(data), dtype=bool)
-                keep[ragged(s, e - s)] = False
-                t = data[keep].tobytes().decode("utf-8", "ignore")
+                t = data[_outside(len(data), s, e)].tobytes().decode("utf-8", "ignore")
             out.append(t)
         return pd.Series(out, dtype=object)
 
