@@ -17,6 +17,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checksums(spark, path)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_store,
+        op3_toxicity,
         op4_packing,
         op6_piece_codec,
         op7_suffix_dedup,
