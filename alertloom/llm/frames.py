@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertloom.plans.stage import released, shared_dir, written  # noqa: F401
+
 #: Bytes of text that one vectorised block holds (a longer single text is a block of its own).
 BLOCK_BYTES = 1 << 20
 
@@ -27,23 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where a session has none (tests), under a local one set here."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{os.path.join(tempfile.gettempdir(), 'alertloom-checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/alertloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{under or shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate results in the shared store."""
     jvm = spark.sparkContext._jvm
@@ -51,11 +32,55 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def released(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so when the driver's JVM collects them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Whole groups of rows with equal values in the first ``keys`` columns, of batches that come sorted by them."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = list(zip(*[batch.column(i).to_pylist() for i in range(keys)], strict=True))
+        cuts = [i for i in range(1, len(values)) if values[i] != values[i - 1]]
+        table = pa.Table.from_batches([batch])
+        for a, z in zip([0, *cuts], [*cuts, len(values)], strict=True):
+            if held and values[a] != last:
+                yield pa.concat_tables(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(table.slice(a, z - a))
+            last = values[a]
+    if held:
+        yield pa.concat_tables(held) if len(held) > 1 else held[0]
+
+
+def block_tasks(rows: DataFrame, group: str, node: str, size: Column, block: int) -> DataFrame:
+    """Deal each group of ``size`` rows out to pairs of blocks of about ``block`` rows: columns ``i`` <= ``j`` (the pair) and
+    ``own`` (the row's block). A row goes to one pair for each block of its group, so any two rows meet in just one pair,
+    except rows of one block, which meet in the pair (i, i) as well as in others."""
+    n = F.ceil(size / F.lit(block)).cast("int")
+    with_own = rows.withColumn("_n", n).withColumn("own", F.pmod(F.xxhash64(F.col(node)), F.col("_n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o")
+    out = with_own.select("*", other)
+    return out.select(*[c for c in rows.columns], "own", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"))
+
+
+class Forest:
+    """Union-find that tells which links join two trees."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        r = x
+        while (p := up.get(r, r)) != r:
+            r = p
+        while x != r:
+            up[x], x = r, up.get(x, x)
+        return r
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True

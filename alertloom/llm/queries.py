@@ -17,6 +17,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checksums(spark, path)
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_store,
+        op2_embeddings,
         op3_toxicity,
         op4_packing,
         op6_piece_codec,
