@@ -35,6 +35,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shingle_join import near_texts
+
+    return near_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import encode_documents
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_embeddings,
         op3_toxicity,
         op4_packing,
+        op5_shingle_join,
         op6_piece_codec,
         op7_suffix_dedup,
         op8_pii,
