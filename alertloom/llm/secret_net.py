@@ -14,6 +14,7 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -261,3 +262,46 @@ def find_secrets(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first_row, b.rows), pa.array(rows, pa.list_(item))], ["doc_id", "spans"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,base:boolean,score:double>>")
+
+
+MASK = "[secret]"
+
+
+def mask(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` with ``MASK`` in place of each span; overlapping spans count as one."""
+    out, at, end = [], 0, 0
+    for a, z in sorted(spans):
+        if a >= end or not out:
+            out += [text[at:a], MASK]
+        end = max(end, z)
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def without_secrets(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """``docs`` (all columns) with the spans of ``find_secrets`` masked in ``text``, and ``n_chars`` counted again where it changed."""
+    net = fit(pick(docs, doc_id="doc_id", text="text"), fit_docs)
+
+    def masked(text: pd.Series) -> pd.Series:
+        out = text.tolist()
+        for b in blocks(pa.array(text, pa.string())):
+            where, codes = [], []
+            for i in suspects(b).tolist():
+                t = b.text(i)
+                for a, z, kind in find_candidates(t, find_base(t)):
+                    where.append((i, a, z, kind))
+                    codes.append(window(t, a, z))
+            score = net.probability(np.stack(codes)) if codes else np.zeros(0)
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for (i, a, z, kind), p in zip(where, score.tolist(), strict=True):
+                if kind != "token" or p >= net.threshold:
+                    spans.setdefault(i, []).append((a, z))
+            for i, own in spans.items():
+                out[b.first_row + i] = mask(out[b.first_row + i], own)
+        return pd.Series(out, dtype=object)
+
+    new = F.pandas_udf(masked, "string")(F.col("text"))
+    out = docs.withColumn("text", new)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    return out.select(*docs.columns)

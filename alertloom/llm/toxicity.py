@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -274,3 +275,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
 
     out = src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double, predicted int, segments array<struct<first:int,after:int,score:double>>")
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"), "score", "predicted", "segments")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` (all columns) without the rows that ``score_toxicity`` predicts to be toxic.
+
+    Rows are judged where they are read, without a join, so null and repeated ids make no difference.
+    """
+    model = fit(pick(docs, doc_id="doc_id", text="text"), labels, fit_rows)
+    if model is None:
+        return docs
+
+    def toxic(text: pd.Series) -> pd.Series:
+        out = []
+        for b in blocks(pa.array(text, pa.string())):
+            out.append(model.probability(*_evidence(model, b)) >= CUT)
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
+
+    return docs.where(~F.pandas_udf(toxic, "boolean")(F.coalesce("text", F.lit(""))))
