@@ -354,11 +354,17 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _ranges(keyed: DataFrame) -> DataFrame:
-    """All ranges of windows with an earlier copy, by uid."""
+    """All ranges of windows with an earlier copy, by uid. Each half is written, so that the shuffles of one are gone before the next."""
     parts = _written_contexts(keyed)
     released(keyed.sparkSession)
+    out = _written_ranges(parts)
+    released(keyed.sparkSession)
+    return out
+
+
+def _written_ranges(parts: DataFrame) -> DataFrame:
     both = parts.where("body is null").select("uid", "lo", "hi").unionByName(_later(parts.where("body is not null")))
-    return both.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return written(both.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
 
 
 def _written_contexts(keyed: DataFrame) -> DataFrame:
