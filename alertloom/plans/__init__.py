@@ -3,3 +3,4 @@
 from alertloom.plans.registry import ORACLE, QUERIES
 
 from alertloom.plans import core_queries  # noqa: E402, F401  # registers
+from alertloom.plans import analysis_queries  # noqa: E402, F401
