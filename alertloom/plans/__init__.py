@@ -1,6 +1 @@
-"""Queries over the driver's tables, with the SQL that their rows must equal."""
-
-from alertloom.plans.registry import ORACLE, QUERIES
-
-from alertloom.plans import core_queries  # noqa: E402, F401  # registers
-from alertloom.plans import analysis_queries  # noqa: E402, F401
+"""Queries over the driver's tables (``catalog``) and lineage cuts (``stage``)."""
