@@ -124,11 +124,11 @@ def s12_alert_severity(spark, d):
     return g.select("pred_cluster", s.alert_severity(F.col("n"), F.col("t")).alias("level"))
 
 
-@query(over_alerts("SELECT x.alert_idx, round(greatest(0, 1 - abs(epoch(x.EndDate) - epoch(y.EndDate)) / 3600.0), 6) AS proximity FROM alerts x JOIN alerts y ON y.alert_idx = x.alert_idx + 1"))
+@query(over_alerts("SELECT x.alert_idx, CAST(floor(greatest(0, 1 - abs(epoch_us(x.EndDate) - epoch_us(y.EndDate)) / 1e6::DOUBLE / 3600.0::DOUBLE) * 100000) AS BIGINT) AS proximity FROM alerts x JOIN alerts y ON y.alert_idx = x.alert_idx + 1"))
 def m2_temporal_proximity(spark, d):
     a = alerts(spark, d).select("alert_idx", "EndDate")
     b = a.select((F.col("alert_idx") - 1).alias("alert_idx"), F.col("EndDate").alias("next"))
-    return a.join(b, "alert_idx").select("alert_idx", F.round(s.temporal_proximity(F.col("EndDate"), F.col("next")), 6).alias("proximity"))
+    return a.join(b, "alert_idx").select("alert_idx", F.floor(s.temporal_proximity(F.col("EndDate"), F.col("next")) * 100000).alias("proximity"))
 
 
 @query(over_alerts("SELECT round(greatest(0.1, least(0.9, 0.3 + avg(severity) - 0.5)), 6)::DOUBLE AS threshold FROM alerts"))
@@ -165,9 +165,6 @@ def c1_correlate(spark, d):
     return co.correlate(alerts(spark, d), ROLES, 0.5).select("alert_idx", "pred_cluster")
 
 
-_SMALL = "sm AS (SELECT * FROM alerts WHERE alert_idx < 2000)"
-
-
 @query(over_alerts(_NUMBERED, _PAIRS.format(a="alerts"), "l AS (SELECT i, j FROM p WHERE w + t >= 0.45 * 28)", _COMPONENTS.format(a="alerts"), recursive=True))
 def c1_correlate_temporal(spark, d):
     return co.correlate(alerts(spark, d), ROLES, 0.45, time_col="EndDate").select("alert_idx", "pred_cluster")
