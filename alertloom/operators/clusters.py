@@ -82,26 +82,26 @@ def summarise(df: DataFrame, cluster: str = "pred_cluster") -> DataFrame:
     tactics = F.collect_set(tactic_exact(F.col("MalwareIntelAttackType")))
     return df.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("events"), F.min("EndDate").alias("first_seen"), F.max("EndDate").alias("last_seen"), joined_set("MalwareIntelAttackType").alias("types"),
-        F.array_join(F.sort_array(tactics), ",").alias("tactics"), attack_stage(tactics).alias("stage"), F.array_join(F.slice(F.sort_array(F.collect_set("SourceAddress")), 1, 10), ",").alias("addresses"), F.round(F.avg("severity"), 6).alias("avg_severity"),
+        F.array_join(F.sort_array(tactics), ",").alias("tactics"), attack_stage(tactics).alias("stage"), F.array_join(F.slice(F.sort_array(F.collect_set("SourceAddress")), 1, 10), ",").alias("addresses"), F.round(F.avg("severity"), 9).alias("avg_severity"),
     )
 
 
 def global_stats(df: DataFrame, cluster: str = "pred_cluster") -> DataFrame:
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
-    one = sizes.agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("clusters"), F.round(F.avg("n"), 6).alias("avg_size"), F.max("n").alias("max_size"), F.min("n").alias("min_size"))
+    one = sizes.agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("clusters"), F.round(F.avg("n"), 9).alias("avg_size"), F.max("n").alias("max_size"), F.min("n").alias("min_size"))
     kinds = df.agg(F.countDistinct("MalwareIntelAttackType").alias("types"), F.countDistinct(tactic_exact(F.col("MalwareIntelAttackType"))).alias("tactics"))
     return one.crossJoin(kinds)  # one row each
 
 
 def metadata(df: DataFrame, reservoir: int = 100, cluster: str = "pred_cluster") -> DataFrame:
-    return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.least(F.count(F.lit(1)), F.lit(reservoir)).cast("long").alias("sampled"), F.round(F.avg("severity"), 6).alias("mean_severity"))
+    return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.least(F.count(F.lit(1)), F.lit(reservoir)).cast("long").alias("sampled"), F.round(F.avg("severity"), 9).alias("mean_severity"))
 
 
 def filter_summary(scores: DataFrame, selected: DataFrame, cluster: str = "pred_cluster") -> DataFrame:
     flag = scores.join(selected.select(cluster).withColumn("_in", F.lit(1)), cluster, "left")
     return flag.agg(
         F.count(F.lit(1)).alias("total"), F.count("_in").alias("shown"), (F.count(F.lit(1)) - F.count("_in")).alias("filtered"),
-        F.round(F.avg(F.when(F.col("_in") == 1, F.col("size"))), 6).alias("avg_size"), F.max(F.when(F.col("_in") == 1, F.col("size"))).alias("max_size"), F.round(F.avg(F.when(F.col("_in") == 1, F.col("mean_severity"))), 6).alias("avg_severity"),
+        F.round(F.avg(F.when(F.col("_in") == 1, F.col("size"))), 9).alias("avg_size"), F.max(F.when(F.col("_in") == 1, F.col("size"))).alias("max_size"), F.round(F.avg(F.when(F.col("_in") == 1, F.col("mean_severity"))), 9).alias("avg_severity"),
     )
 
 
@@ -137,7 +137,7 @@ def anchor_chains(df: DataFrame, cluster: str = "pred_cluster", addresses: tuple
     counts = pairs.groupBy(F.col(f"a.{cluster}").alias(cluster), F.col("a.id").alias("anchor"), F.col("b.id").alias("id")).agg(F.count(F.lit(1)).alias("c"))
     k = F.row_number().over(Window.partitionBy(cluster, "anchor").orderBy("id"))
     part = F.when(F.col("k") == 1, F.col("c") / 2).otherwise(F.col("c") + 0.8 * F.col("k"))
-    return counts.withColumn("k", k).groupBy(cluster, "anchor").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matches")).where(F.col("score") > least)
+    return counts.withColumn("k", k).groupBy(cluster, "anchor").agg(F.round(F.sum(part), 9).alias("score"), F.count(F.lit(1)).alias("matches")).where(F.col("score") > least)
 
 
 def feature_chains(df: DataFrame, columns: list[str], cluster: str = "pred_cluster") -> DataFrame:

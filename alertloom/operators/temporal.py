@@ -6,6 +6,8 @@ expresses, ``lag`` first cuts the rows into runs that such a rule can't cross, a
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,18 +49,32 @@ def chains(df: DataFrame, by: list[str], label: str, gap_s: float = 300.0, time:
     """``id``, ``by`` and the first row of the chain that each row belongs to. A chain goes on while the gap to the row before is at most
     ``gap_s`` and the label equals, or is related to, that of the chain's first row."""
     base = segments(df, by, gap_s, time, id_col, "_run").select(*by, F.col(id_col).cast("long").alias("id"), "_run", F.col(label).alias("_label"), related_mask(F.col(label)).alias("_mask"), F.unix_micros(time).alias("_us"))
-    schema = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in by) + ", id long, chain long"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "id"])
-        out, head, kind, mask = [], None, None, 0
-        for i, lab, m in zip(pdf["id"], pdf["_label"], pdf["_mask"], strict=True):
-            if head is None or not (lab == kind or m & mask):
-                head, kind, mask = i, lab, m
-            out.append(head)
-        return pdf[[*by, "id"]].assign(chain=out)
+    def goes_on(head: tuple, row: tuple) -> bool:
+        return row[0] == head[0] or bool(row[1] & head[1])
+
+    return _heads(base, by, ["_label", "_mask"], goes_on, "chain")
+
+
+def _heads(base: DataFrame, by: list[str], values: list[str], goes_on: Callable[[tuple, tuple], bool], name: str) -> DataFrame:
+    """``by``, ``id`` and the id of the row that heads each row's group, folding the rows of a run in order: a row joins the
+    current group if ``goes_on(values of its head, own values)``. Runs come sorted and one after the other, so a task holds one
+    head at a time."""
+    keys = [*by, "_run"]
+    rows = base.select(*keys, "_us", "id", *values).repartition(*keys).sortWithinPartitions(*keys, "_us", "id")
+    schema = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in by) + f", id long, {name} long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, head, start = None, None, None
+        for pdf in batches:
+            out = []
+            for k, i, v in zip(zip(*[pdf[c] for c in keys], strict=True), pdf["id"], zip(*[pdf[c] for c in values], strict=True), strict=True):
+                if k != key or not goes_on(start, v):
+                    key, head, start = k, i, v
+                out.append(head)
+            yield pdf[[*by, "id"]].assign(**{name: out})
 
-    return base.groupBy(*by, "_run").applyInPandas(fold, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def chain_summary(df: DataFrame, chain: str = "chain", time: str = "EndDate") -> DataFrame:
@@ -73,19 +89,8 @@ def significant_chains(summary: DataFrame, events: int = 3, seconds: float = 5.0
 
 def anchored_windows(df: DataFrame, by: list[str], width_s: float = 300.0, time: str = "EndDate", id_col: str = "alert_idx") -> DataFrame:
     """``id`` and the first row of its window: a window opens at a row and holds all up to ``width_s`` seconds after it."""
-    base = segments(df, by, width_s, time, id_col, "_run").select(*by, F.col(id_col).cast("long").alias("id"), "_run", F.unix_micros(time).alias("_us"))
-    schema = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in by) + ", id long, window long"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "id"])
-        out, head, start = [], None, 0
-        for i, us in zip(pdf["id"], pdf["_us"], strict=True):
-            if head is None or us - start > width_s * 1e6:
-                head, start = i, us
-            out.append(head)
-        return pdf[[*by, "id"]].assign(window=out)
-
-    return base.groupBy(*by, "_run").applyInPandas(fold, schema)
+    base = segments(df, by, width_s, time, id_col, "_run").select(*by, F.col(id_col).cast("long").alias("id"), "_run", F.unix_micros(time).alias("_us"), F.unix_micros(time).alias("_at"))
+    return _heads(base, by, ["_at"], lambda head, row: row[0] - head[0] <= width_s * 1e6, "window")
 
 
 def sliding_windows(df: DataFrame, by: list[str], size: int = 256, overlap: int = 32, least: int = 10, time: str = "EndDate", id_col: str = "alert_idx") -> DataFrame:

@@ -63,9 +63,9 @@ def _chain_rows(spark, d):
     return te.chain_summary(alerts(spark, d).join(c, "alert_idx"))
 
 
-@query(over_alerts("SELECT chain, n AS events, round(sec, 3) AS seconds, round(n / greatest(sec, 1), 6) AS rate FROM (SELECT head AS chain, count(*) AS n, max(e) - min(e) AS sec FROM ch GROUP BY 1)", *_ROWS, _CHAINS, recursive=True))
+@query(over_alerts("SELECT chain, n AS events, round(sec, 3) AS seconds, round(n / greatest(sec, 1), 9) AS rate FROM (SELECT head AS chain, count(*) AS n, max(e) - min(e) AS sec FROM ch GROUP BY 1)", *_ROWS, _CHAINS, recursive=True))
 def a11_chain_summary(spark, d):
-    return _chain_rows(spark, d).select("chain", "events", F.round("seconds", 3).alias("seconds"), F.round("rate", 6).alias("rate"))
+    return _chain_rows(spark, d).select("chain", "events", F.round("seconds", 3).alias("seconds"), F.round("rate", 9).alias("rate"))
 
 
 @query(over_alerts("SELECT head AS chain, count(*) AS events FROM ch GROUP BY 1 HAVING count(*) >= 3 AND max(e) - min(e) >= 5", *_ROWS, _CHAINS, recursive=True))
@@ -81,10 +81,10 @@ def w6_anchored_windows(spark, d):
     return te.anchored_windows(alerts(spark, d), BY, 36000.0).select("id", "window")
 
 
-@query(over_alerts("SELECT head AS \"window\", string_agg(DISTINCT dm, ',' ORDER BY dm) AS domains, count(*) AS events, round(avg(severity), 6) AS severity, max_by(DestinationHostName, rn) AS last_host FROM (SELECT wd.head, wd.rn, alerts.*, CASE WHEN k % 3 = 0 THEN 'network' WHEN k % 3 = 1 THEN 'host' ELSE 'cloud' END AS dm FROM wd JOIN alerts USING (alert_idx)) GROUP BY 1 HAVING count(DISTINCT dm) > 1", _ROWS[0], _WINDOWS, recursive=True))
+@query(over_alerts("SELECT head AS \"window\", string_agg(DISTINCT dm, ',' ORDER BY dm) AS domains, count(*) AS events, round(avg(severity), 9) AS severity, max_by(DestinationHostName, rn) AS last_host FROM (SELECT wd.head, wd.rn, alerts.*, CASE WHEN k % 3 = 0 THEN 'network' WHEN k % 3 = 1 THEN 'host' ELSE 'cloud' END AS dm FROM wd JOIN alerts USING (alert_idx)) GROUP BY 1 HAVING count(DISTINCT dm) > 1", _ROWS[0], _WINDOWS, recursive=True))
 def a14_fused_alerts(spark, d):
     a = alerts(spark, d).withColumn("domain", F.when(F.col("k") % 3 == 0, "network").when(F.col("k") % 3 == 1, "host").otherwise("cloud"))
-    return te.fuse(a, te.anchored_windows(a, BY, 36000.0)).select("window", "domains", "events", F.round("severity", 6).alias("severity"), "last_host")
+    return te.fuse(a, te.anchored_windows(a, BY, 36000.0)).select("window", "domains", "events", F.round("severity", 9).alias("severity"), "last_host")
 
 
 @query(over_alerts("SELECT user_id, w AS \"window\", count(*) AS n FROM (SELECT user_id, rn - 1 AS r FROM o) JOIN (SELECT CAST(range AS BIGINT) AS w FROM range(0, 3000)) ON r >= w * 24 AND r < w * 24 + 32 GROUP BY 1, 2 HAVING count(*) >= 10", _ROWS[0]))
@@ -121,16 +121,16 @@ def a13_segment_summary(spark, d):
 _TAC2 = "CASE MalwareIntelAttackType WHEN 'Exploits' THEN 'Initial Access' WHEN 'Reconnaissance' THEN 'Discovery' WHEN 'Shellcode' THEN 'Execution' WHEN 'Backdoors' THEN 'Persistence' ELSE 'Impact' END"
 
 
-@query(over_alerts("SELECT a.user_id, segments, chain, round(least(1.0, least(segments * 0.1, 0.3) + least(len * 0.05, 0.3) + CASE WHEN chain LIKE '%Initial Access%' THEN 0.1 ELSE 0 END + CASE WHEN chain LIKE '%Persistence%' THEN 0.1 ELSE 0 END + CASE WHEN len >= 3 AND chain LIKE '%Initial Access%' AND (chain LIKE '%Execution%' OR chain LIKE '%Persistence%' OR chain LIKE '%Discovery%') AND chain LIKE '%Impact%' THEN 0.3 ELSE 0 END), 6)::DOUBLE AS confidence FROM apt a JOIN sg USING (user_id) JOIN cn USING (user_id) WHERE segments >= 3", *_SEG, "apt AS (SELECT user_id FROM alerts GROUP BY 1 HAVING epoch(max(EndDate)) - epoch(min(EndDate)) >= 86400 AND count(DISTINCT MalwareIntelAttackType) >= 3 AND count(DISTINCT CAST(EndDate AS DATE)) >= 2)", "sg AS (SELECT user_id, count(*) AS segments FROM (SELECT user_id, segment FROM seg GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1)", f"cn AS (SELECT user_id, string_agg(t, '>' ORDER BY ps) AS chain, count(*) AS len FROM (SELECT user_id, {_TAC2} AS t, min(alert_idx) AS ps FROM alerts GROUP BY 1, 2) GROUP BY 1)"))
+@query(over_alerts("SELECT a.user_id, segments, chain, round(least(1.0, least(segments * 0.1, 0.3) + least(len * 0.05, 0.3) + CASE WHEN chain LIKE '%Initial Access%' THEN 0.1 ELSE 0 END + CASE WHEN chain LIKE '%Persistence%' THEN 0.1 ELSE 0 END + CASE WHEN len >= 3 AND chain LIKE '%Initial Access%' AND (chain LIKE '%Execution%' OR chain LIKE '%Persistence%' OR chain LIKE '%Discovery%') AND chain LIKE '%Impact%' THEN 0.3 ELSE 0 END), 9)::DOUBLE AS confidence FROM apt a JOIN sg USING (user_id) JOIN cn USING (user_id) WHERE segments >= 3", *_SEG, "apt AS (SELECT user_id FROM alerts GROUP BY 1 HAVING epoch(max(EndDate)) - epoch(min(EndDate)) >= 86400 AND count(DISTINCT MalwareIntelAttackType) >= 3 AND count(DISTINCT CAST(EndDate AS DATE)) >= 2)", "sg AS (SELECT user_id, count(*) AS segments FROM (SELECT user_id, segment FROM seg GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1)", f"cn AS (SELECT user_id, string_agg(t, '>' ORDER BY ps) AS chain, count(*) AS len FROM (SELECT user_id, {_TAC2} AS t, min(alert_idx) AS ps FROM alerts GROUP BY 1, 2) GROUP BY 1)"))
 def m10_apt_campaigns(spark, d):
     c = F.col("MalwareIntelAttackType")
     a = alerts(spark, d).withColumn("tac", F.when(c == "Exploits", "Initial Access").when(c == "Reconnaissance", "Discovery").when(c == "Shellcode", "Execution").when(c == "Backdoors", "Persistence").otherwise("Impact"))
-    return te.campaigns(a, BY, "tac", 43200.0, DAY).select("user_id", "segments", "chain", F.round("confidence", 6).alias("confidence"))
+    return te.campaigns(a, BY, "tac", 43200.0, DAY).select("user_id", "segments", "chain", F.round("confidence", 9).alias("confidence"))
 
 
-@query(over_alerts("SELECT round(count(DISTINCT SourceAddress) / count(*)::DOUBLE, 6) AS uniqueness FROM alerts"))
+@query(over_alerts("SELECT round(count(DISTINCT SourceAddress) / count(*)::DOUBLE, 9) AS uniqueness FROM alerts"))
 def f13_synthetic_guard(spark, d):
-    return te.synthetic_guard(alerts(spark, d), "SourceAddress").select(F.round("uniqueness", 6).alias("uniqueness"))
+    return te.synthetic_guard(alerts(spark, d), "SourceAddress").select(F.round("uniqueness", 9).alias("uniqueness"))
 
 
 @query(over_alerts("SELECT fragment, count(*) AS n, count(DeviceAddress) AS devices FROM (SELECT 'a' AS fragment, DeviceAddress FROM alerts WHERE k < 30 UNION ALL SELECT 'b', NULL FROM alerts WHERE k >= 70) GROUP BY 1"))
@@ -149,7 +149,7 @@ def _ct(spark, d):
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query(over_alerts("SELECT * FROM ct", *_CT))
@@ -160,7 +160,7 @@ def e1_contingency(spark, d):
 _S, _A, _B = "(SELECT sum(n * (n - 1) / 2.0) FROM ct)", "(SELECT sum(m * (m - 1) / 2.0) FROM ma)", "(SELECT sum(m * (m - 1) / 2.0) FROM mb)"
 
 
-@query(over_alerts(f"SELECT round(({_S} - {_A} * {_B} / (n * (n - 1) / 2)) / (({_A} + {_B}) / 2 - {_A} * {_B} / (n * (n - 1) / 2)), 6)::DOUBLE AS ari, round({_S} / sqrt({_A} * {_B}), 6)::DOUBLE AS fmi FROM nn", *_CT))
+@query(over_alerts(f"SELECT round(({_S} - {_A} * {_B} / (n * (n - 1) / 2)) / (({_A} + {_B}) / 2 - {_A} * {_B} / (n * (n - 1) / 2)), 9)::DOUBLE AS ari, round({_S} / sqrt({_A} * {_B}), 9)::DOUBLE AS fmi FROM nn", *_CT))
 def e2_ari_fmi(spark, d):
     return _rounded(ev.pair_scores(_ct(spark, d)))
 
@@ -168,17 +168,17 @@ def e2_ari_fmi(spark, d):
 _I = 'sum(c.n / nn.n * ln(c.n * nn.n / (ma.m * mb.m)))'
 
 
-@query(over_alerts("SELECT round(i / ha, 6) AS homogeneity, round(i / hb, 6) AS completeness, round(2 * (i / ha) * (i / hb) / (i / ha + i / hb), 6) AS v_measure FROM (SELECT sum(c.n / nn.n * ln(c.n * nn.n / (ma.m * mb.m)))::DOUBLE AS i FROM ct c JOIN ma USING (\"true\") JOIN mb USING (pred), nn), (SELECT -sum(m / n * ln(m / n))::DOUBLE AS ha FROM ma, nn), (SELECT -sum(m / n * ln(m / n))::DOUBLE AS hb FROM mb, nn)", *_CT))
+@query(over_alerts("SELECT round(i / ha, 9) AS homogeneity, round(i / hb, 9) AS completeness, round(2 * (i / ha) * (i / hb) / (i / ha + i / hb), 9) AS v_measure FROM (SELECT sum(c.n / nn.n * ln(c.n * nn.n / (ma.m * mb.m)))::DOUBLE AS i FROM ct c JOIN ma USING (\"true\") JOIN mb USING (pred), nn), (SELECT -sum(m / n * ln(m / n))::DOUBLE AS ha FROM ma, nn), (SELECT -sum(m / n * ln(m / n))::DOUBLE AS hb FROM mb, nn)", *_CT))
 def e3_information(spark, d):
     return _rounded(ev.information_scores(_ct(spark, d)))
 
 
-@query(over_alerts("SELECT round(sum(b) / sum(s)::DOUBLE, 6) AS purity, count(*) AS clusters FROM (SELECT pred, max(n) AS b, sum(n) AS s FROM ct GROUP BY 1)", *_CT))
+@query(over_alerts("SELECT round(sum(b) / sum(s)::DOUBLE, 9) AS purity, count(*) AS clusters FROM (SELECT pred, max(n) AS b, sum(n) AS s FROM ct GROUP BY 1)", *_CT))
 def e5_purity(spark, d):
     return _rounded(ev.purity(_ct(spark, d)))
 
 
-@query(over_alerts('SELECT pred, CAST(sum(n) AS BIGINT) AS size, round(max(n) / sum(n)::DOUBLE, 6) AS purity, min_by("true", -n * 1000000 + "true") AS dominant FROM ct GROUP BY 1', *_CT))
+@query(over_alerts('SELECT pred, CAST(sum(n) AS BIGINT) AS size, round(max(n) / sum(n)::DOUBLE, 9) AS purity, min_by("true", -n * 1000000 + "true") AS dominant FROM ct GROUP BY 1', *_CT))
 def e5_purity_by_cluster(spark, d):
     return _rounded(ev.purity_by_cluster(_ct(spark, d)))
 
@@ -191,22 +191,22 @@ def e7_chi_square(spark, d):
 _CL = "lb AS (SELECT k % 5 AS \"true\", CASE WHEN user_id % 4 = 0 THEN k % 3 ELSE k % 5 END AS pred FROM alerts)"
 
 
-@query(over_alerts("SELECT round(sum(tp) / max(t), 6)::DOUBLE AS accuracy, round(sum(m / t * p), 6)::DOUBLE AS precision, round(sum(m / t * r), 6)::DOUBLE AS recall, round(sum(m / t * CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END), 6)::DOUBLE AS f1 FROM (SELECT ma.m::DOUBLE AS m, nn.n AS t, coalesce(c.n, 0)::DOUBLE AS tp, coalesce(c.n / mb.m::DOUBLE, 0) AS p, coalesce(c.n, 0) / ma.m::DOUBLE AS r FROM ma LEFT JOIN ct c ON c.\"true\" = ma.\"true\" AND c.pred = ma.\"true\" LEFT JOIN mb ON mb.pred = ma.\"true\", nn)", _CL, *_CT[1:]))
+@query(over_alerts("SELECT round(sum(tp) / max(t), 9)::DOUBLE AS accuracy, round(sum(m / t * p), 9)::DOUBLE AS precision, round(sum(m / t * r), 9)::DOUBLE AS recall, round(sum(m / t * CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END), 9)::DOUBLE AS f1 FROM (SELECT ma.m::DOUBLE AS m, nn.n AS t, coalesce(c.n, 0)::DOUBLE AS tp, coalesce(c.n / mb.m::DOUBLE, 0) AS p, coalesce(c.n, 0) / ma.m::DOUBLE AS r FROM ma LEFT JOIN ct c ON c.\"true\" = ma.\"true\" AND c.pred = ma.\"true\" LEFT JOIN mb ON mb.pred = ma.\"true\", nn)", _CL, *_CT[1:]))
 def e9_classification(spark, d):
     t = ev.contingency(alerts(spark, d).select((F.col("k") % 5).alias("true"), F.when(F.col("user_id") % 4 == 0, F.col("k") % 3).otherwise(F.col("k") % 5).alias("pred")))
     return _rounded(ev.classification(t))
 
 
-@query(over_alerts("SELECT round(avg(x) / (stddev_samp(x) / sqrt(count(*))), 6) AS t, round(avg(x) / stddev_samp(x), 6) AS effect, count(*) - 1 AS dof FROM (SELECT severity - k / 100.0::DOUBLE AS x FROM alerts)"))
+@query(over_alerts("SELECT round(avg(x) / (stddev_samp(x) / sqrt(count(*))), 9) AS t, round(avg(x) / stddev_samp(x), 9) AS effect, count(*) - 1 AS dof FROM (SELECT severity - k / 100.0::DOUBLE AS x FROM alerts)"))
 def e10_paired_t(spark, d):
     return _rounded(ev.paired_t(alerts(spark, d).withColumn("b", F.col("k") / 100.0), "severity", "b"))
 
 
-@query(over_alerts("SELECT user_id, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6)::DOUBLE AS f1 FROM (SELECT user_id, count(DISTINCT CASE WHEN k < 30 THEN t END) FILTER (hi) AS x, 1 AS y, i / nullif(np, 0)::DOUBLE AS p, i / nullif(nt, 0)::DOUBLE AS r FROM (SELECT *, k >= 0 AS hi FROM (SELECT user_id, k, MalwareIntelAttackType AS t FROM alerts)) JOIN (SELECT user_id, count(DISTINCT CASE WHEN k < 60 THEN MalwareIntelAttackType END) AS nt, count(DISTINCT CASE WHEN k >= 40 THEN MalwareIntelAttackType END) AS np FROM alerts GROUP BY 1) USING (user_id) JOIN (SELECT user_id, count(*) AS i FROM (SELECT user_id, MalwareIntelAttackType FROM alerts GROUP BY 1, 2 HAVING min(k) < 60 AND max(k) >= 40) GROUP BY 1) USING (user_id) GROUP BY ALL)"))
+@query(over_alerts("SELECT user_id, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9)::DOUBLE AS f1 FROM (SELECT user_id, count(DISTINCT CASE WHEN k < 30 THEN t END) FILTER (hi) AS x, 1 AS y, i / nullif(np, 0)::DOUBLE AS p, i / nullif(nt, 0)::DOUBLE AS r FROM (SELECT *, k >= 0 AS hi FROM (SELECT user_id, k, MalwareIntelAttackType AS t FROM alerts)) JOIN (SELECT user_id, count(DISTINCT CASE WHEN k < 60 THEN MalwareIntelAttackType END) AS nt, count(DISTINCT CASE WHEN k >= 40 THEN MalwareIntelAttackType END) AS np FROM alerts GROUP BY 1) USING (user_id) JOIN (SELECT user_id, count(*) AS i FROM (SELECT user_id, MalwareIntelAttackType FROM alerts GROUP BY 1, 2 HAVING min(k) < 60 AND max(k) >= 40) GROUP BY 1) USING (user_id) GROUP BY ALL)"))
 def e11_tactic_f1(spark, d):
     t = "MalwareIntelAttackType"
     g = alerts(spark, d).groupBy("user_id").agg(F.collect_set(F.when(F.col("k") < 60, F.col(t))).alias("a"), F.collect_set(F.when(F.col("k") >= 40, F.col(t))).alias("b"))
-    return ev.tactic_f1(g, "a", "b").where("size(array_intersect(a, b)) > 0").select("user_id", F.round("f1", 6).alias("f1"))
+    return ev.tactic_f1(g, "a", "b").where("size(array_intersect(a, b)) > 0").select("user_id", F.round("f1", 9).alias("f1"))
 
 
 _RES = "rs AS (SELECT MalwareIntelAttackType AS method, k AS data, round(avg(severity), 4) AS m1, count(*)::DOUBLE AS m2 FROM alerts GROUP BY 1, 2)"
@@ -216,33 +216,33 @@ def _results(spark, d):
     return alerts(spark, d).groupBy(F.col("MalwareIntelAttackType").alias("method"), F.col("k").alias("data")).agg(F.round(F.avg("severity"), 4).alias("m1"), F.count(F.lit(1)).cast("double").alias("m2"))
 
 
-@query(over_alerts("SELECT method, round(avg((r1 + (c1 - 1) / 2.0 + r2 + (c2 - 1) / 2.0) / 2), 6)::DOUBLE AS avg_rank FROM (SELECT method, rank() OVER (PARTITION BY data ORDER BY m1 DESC) AS r1, count(*) OVER (PARTITION BY data, m1) AS c1, rank() OVER (PARTITION BY data ORDER BY m2 DESC) AS r2, count(*) OVER (PARTITION BY data, m2) AS c2 FROM rs) GROUP BY 1", _RES))
+@query(over_alerts("SELECT method, round(avg((r1 + (c1 - 1) / 2.0 + r2 + (c2 - 1) / 2.0) / 2), 9)::DOUBLE AS avg_rank FROM (SELECT method, rank() OVER (PARTITION BY data ORDER BY m1 DESC) AS r1, count(*) OVER (PARTITION BY data, m1) AS c1, rank() OVER (PARTITION BY data ORDER BY m2 DESC) AS r2, count(*) OVER (PARTITION BY data, m2) AS c2 FROM rs) GROUP BY 1", _RES))
 def e12_method_rank(spark, d):
     return _rounded(ev.rank_methods(_results(spark, d), ["m1", "m2"], "method", ["data"]))
 
 
-@query(over_alerts("SELECT data, setting, best, round(best - base, 6) AS gain FROM (SELECT data, method AS setting, m1 AS best FROM (SELECT *, row_number() OVER (PARTITION BY data ORDER BY m1 DESC, length(method)) AS r FROM rs2) WHERE r = 1) LEFT JOIN (SELECT data, m1 AS base FROM rs2 WHERE method = 5) USING (data)".replace("length(method)", "method"), "rs2 AS (SELECT user_id % 10 AS data, k % 10 AS method, round(avg(severity), 4) AS m1 FROM alerts GROUP BY 1, 2)"))
+@query(over_alerts("SELECT data, setting, best, round(best - base, 9) AS gain FROM (SELECT data, method AS setting, m1 AS best FROM (SELECT *, row_number() OVER (PARTITION BY data ORDER BY m1 DESC, length(method)) AS r FROM rs2) WHERE r = 1) LEFT JOIN (SELECT data, m1 AS base FROM rs2 WHERE method = 5) USING (data)".replace("length(method)", "method"), "rs2 AS (SELECT user_id % 10 AS data, k % 10 AS method, round(avg(severity), 4) AS m1 FROM alerts GROUP BY 1, 2)"))
 def e15_optimal_setting(spark, d):
     r = alerts(spark, d).groupBy((F.col("user_id") % 10).alias("data"), (F.col("k") % 10).alias("setting")).agg(F.round(F.avg("severity"), 4).alias("m1"))
     return _rounded(ev.best_setting(r, "data", "setting", "m1", 5))
 
 
-@query(over_alerts("SELECT g, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM (SELECT g, x, y, rank() OVER (PARTITION BY g ORDER BY x DESC) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY g ORDER BY y DESC) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS ry FROM (SELECT k % 5 AS g, severity AS x, k::DOUBLE AS y FROM alerts)) GROUP BY 1"))
+@query(over_alerts("SELECT g, round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman FROM (SELECT g, x, y, rank() OVER (PARTITION BY g ORDER BY x DESC) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY g ORDER BY y DESC) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS ry FROM (SELECT k % 5 AS g, severity AS x, k::DOUBLE AS y FROM alerts)) GROUP BY 1"))
 def e16_correlations(spark, d):
     return _rounded(ev.correlations(alerts(spark, d).select((F.col("k") % 5).alias("g"), F.col("severity").alias("x"), F.col("k").cast("double").alias("y")), "x", "y", "g"))
 
 
-@query(over_alerts("SELECT AttackSeverity, round(avg(severity), 6) AS mean, round(stddev_pop(severity), 6) AS std, min(severity) AS min, max(severity) AS max, round(quantile_cont(severity, 0.5), 6) AS median, round(quantile_cont(severity, 0.95), 6) AS p95 FROM alerts GROUP BY 1"))
+@query(over_alerts("SELECT AttackSeverity, round(avg(severity), 9) AS mean, round(stddev_pop(severity), 9) AS std, min(severity) AS min, max(severity) AS max, round(quantile_cont(severity, 0.5), 9) AS median, round(quantile_cont(severity, 0.95), 9) AS p95 FROM alerts GROUP BY 1"))
 def a22_metric_spread(spark, d):
     return _rounded(ev.spread(alerts(spark, d), "AttackSeverity", "severity"))
 
 
-@query(over_alerts("SELECT round(avg(severity), 6) AS mean, round(stddev_pop(severity), 6) AS std, round(quantile_cont(severity, 0.25), 6) AS p25, round(quantile_cont(severity, 0.75), 6) AS p75, round(avg(CASE WHEN severity < 0.6 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS below FROM alerts"))
+@query(over_alerts("SELECT round(avg(severity), 9) AS mean, round(stddev_pop(severity), 9) AS std, round(quantile_cont(severity, 0.25), 9) AS p25, round(quantile_cont(severity, 0.75), 9) AS p75, round(avg(CASE WHEN severity < 0.6 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS below FROM alerts"))
 def a24_confidence_diagnostics(spark, d):
     return _rounded(ev.confidence_diagnostics(alerts(spark, d), "severity", 0.6))
 
 
-@query(over_alerts("SELECT round(avg(CASE WHEN t = 1 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS pure_share FROM (SELECT user_id * 1000 + k AS c, count(DISTINCT MalwareIntelAttackType) AS t FROM alerts GROUP BY 1)"))
+@query(over_alerts("SELECT round(avg(CASE WHEN t = 1 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS pure_share FROM (SELECT user_id * 1000 + k AS c, count(DISTINCT MalwareIntelAttackType) AS t FROM alerts GROUP BY 1)"))
 def a27_pure_share(spark, d):
     return _rounded(ev.pure_share(alerts(spark, d).withColumn("c", F.col("user_id") * 1000 + F.col("k")), "c", "MalwareIntelAttackType"))
 
@@ -267,7 +267,7 @@ def _pagerank_sql(rounds: int) -> str:
     ctes = ["bo AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed)", "dg AS (SELECT src, count(*) AS d FROM bo GROUP BY 1)", "nn AS (SELECT count(*)::DOUBLE AS n FROM dg)", "r0 AS MATERIALIZED (SELECT src AS node, 1 / n AS r FROM dg, nn)"]
     for k in range(rounds):
         ctes.append(f"r{k + 1} AS MATERIALIZED (SELECT bo.dst AS node, max(0.15::DOUBLE / n) + 0.85::DOUBLE * sum(r / d) AS r FROM bo JOIN r{k} ON bo.src = node JOIN dg ON dg.src = bo.src, nn GROUP BY 1)")
-    return over_alerts(f"SELECT node, round(r / (SELECT max(r) FROM r{rounds}), 6) AS pagerank FROM r{rounds}", _ENT, _EDGES, *ctes)
+    return over_alerts(f"SELECT node, round(r / (SELECT max(r) FROM r{rounds}), 9) AS pagerank FROM r{rounds}", _ENT, _EDGES, *ctes)
 
 
 @query(_pagerank_sql(20))
@@ -327,19 +327,19 @@ def j13_intel_match(spark, d):
 _ENR = "er AS (SELECT pred_cluster, count(*) AS entities, avg(sev)::DOUBLE AS severity, CASE WHEN count(*) = 1 THEN 'WizardSpider' ELSE 'APT29, TA542, WizardSpider' END AS linkage FROM fm JOIN mw USING (id) GROUP BY 1)"
 
 
-@query(over_alerts("SELECT pred_cluster, entities, round(severity, 6) AS severity, linkage, round(0.4 * severity, 6)::DOUBLE AS threat_score FROM er", _CE, _MAL, *_MATCH, _ENR))
+@query(over_alerts("SELECT pred_cluster, entities, round(severity, 9) AS severity, linkage, round(0.4 * severity, 9)::DOUBLE AS threat_score FROM er", _CE, _MAL, *_MATCH, _ENR))
 def a7_cluster_enrichment(spark, d):
     return _rounded(en.enrich(*_found(spark, d)))
 
 
-@query(over_alerts("SELECT CAST(sum(entities) AS BIGINT) AS matches, count(*) AS linked, 0::BIGINT AS high, round(avg(0.4 * severity), 6)::DOUBLE AS avg_score, round(max(0.4 * severity), 6)::DOUBLE AS max_score FROM er", _CE, _MAL, *_MATCH, _ENR))
+@query(over_alerts("SELECT CAST(sum(entities) AS BIGINT) AS matches, count(*) AS linked, 0::BIGINT AS high, round(avg(0.4 * severity), 9)::DOUBLE AS avg_score, round(max(0.4 * severity), 9)::DOUBLE AS max_score FROM er", _CE, _MAL, *_MATCH, _ENR))
 def a6_threat_summary(spark, d):
     return _rounded(en.threat_summary(en.enrich(*_found(spark, d))))
 
 
-@query(over_alerts("SELECT alert_idx, round(coalesce(0.4 * severity, 0), 6)::DOUBLE AS threat_score FROM (SELECT alert_idx, user_id AS pred_cluster FROM alerts) LEFT JOIN (SELECT pred_cluster, severity FROM er) USING (pred_cluster)", _CE, _MAL, *_MATCH, _ENR))
+@query(over_alerts("SELECT alert_idx, round(coalesce(0.4 * severity, 0), 9)::DOUBLE AS threat_score FROM (SELECT alert_idx, user_id AS pred_cluster FROM alerts) LEFT JOIN (SELECT pred_cluster, severity FROM er) USING (pred_cluster)", _CE, _MAL, *_MATCH, _ENR))
 def j15_map_back(spark, d):
-    return en.map_back(clustered(spark, d), en.enrich(*_found(spark, d))).select("alert_idx", F.round("threat_score", 6).alias("threat_score"))
+    return en.map_back(clustered(spark, d), en.enrich(*_found(spark, d))).select("alert_idx", F.round("threat_score", 9).alias("threat_score"))
 
 
 # --- sampling
@@ -397,12 +397,12 @@ def u6_ensembles(spark, d):
     return sa.ensembles(_uneven(spark, d), "MalwareIntelAttackType").groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(over_alerts("SELECT MalwareIntelAttackType, count(*) AS n, round(count(*) / (SELECT count(*) FROM im0)::DOUBLE, 6) AS share, round((SELECT max(c) FROM (SELECT count(*) AS c FROM im0 GROUP BY MalwareIntelAttackType)) / count(*)::DOUBLE, 6) AS imbalance FROM im0 GROUP BY 1", _IM0))
+@query(over_alerts("SELECT MalwareIntelAttackType, count(*) AS n, round(count(*) / (SELECT count(*) FROM im0)::DOUBLE, 9) AS share, round((SELECT max(c) FROM (SELECT count(*) AS c FROM im0 GROUP BY MalwareIntelAttackType)) / count(*)::DOUBLE, 9) AS imbalance FROM im0 GROUP BY 1", _IM0))
 def a16_class_distribution(spark, d):
     return _rounded(sa.class_distribution(_uneven(spark, d), "MalwareIntelAttackType"))
 
 
-@query(over_alerts("SELECT round(sum(p * ln(p / q)), 6) AS kl, CASE WHEN sum(p * ln(p / q)) < 0.1 THEN 'low' WHEN sum(p * ln(p / q)) < 0.5 THEN 'medium' ELSE 'high' END AS degree FROM (SELECT greatest(coalesce(p, 0), 0.001) AS p, greatest(coalesce(q, 0), 0.001) AS q FROM (SELECT MalwareIntelAttackType AS t, count(*) / (SELECT count(*) FROM im0)::DOUBLE AS p FROM im0 GROUP BY 1) FULL JOIN (SELECT MalwareIntelAttackType AS t, count(*) / (SELECT count(*) FROM alerts)::DOUBLE AS q FROM alerts GROUP BY 1) USING (t))", _IM0))
+@query(over_alerts("SELECT round(sum(p * ln(p / q)), 9) AS kl, CASE WHEN sum(p * ln(p / q)) < 0.1 THEN 'low' WHEN sum(p * ln(p / q)) < 0.5 THEN 'medium' ELSE 'high' END AS degree FROM (SELECT greatest(coalesce(p, 0), 0.001) AS p, greatest(coalesce(q, 0), 0.001) AS q FROM (SELECT MalwareIntelAttackType AS t, count(*) / (SELECT count(*) FROM im0)::DOUBLE AS p FROM im0 GROUP BY 1) FULL JOIN (SELECT MalwareIntelAttackType AS t, count(*) / (SELECT count(*) FROM alerts)::DOUBLE AS q FROM alerts GROUP BY 1) USING (t))", _IM0))
 def m9_kl_shift(spark, d):
     return _rounded(sa.kl_shift(_uneven(spark, d), alerts(spark, d), "MalwareIntelAttackType"))
 
@@ -448,7 +448,7 @@ def _fb(spark, d):
     return a.join(t, "alert_idx").select(F.col("alert_idx").alias("feedback_id"), F.col("EndDate").alias("timestamp"), (F.col("user_id") % 40).alias("cluster_id"), F.when(k % 3 == 0, "false_positive").when(k % 3 == 1, "true_positive").otherwise("uncertain").alias("feedback_type"), (k / 100.0).alias("confidence"), "tactic", ((F.col("user_id") * 7) % 60).alias("cluster_size"))
 
 
-@query(over_alerts("SELECT feedback_type, count(*) AS n, round(avg(confidence), 6) AS confidence FROM fb GROUP BY 1", _FB))
+@query(over_alerts("SELECT feedback_type, count(*) AS n, round(avg(confidence), 9) AS confidence FROM fb GROUP BY 1", _FB))
 def a17_feedback_stats(spark, d):
     return _rounded(be.feedback_stats(_fb(spark, d)))
 
@@ -473,15 +473,15 @@ def a30_review_reasons(spark, d):
     return be.review_reasons(_fb(spark, d))
 
 
-@query(over_alerts("SELECT pred_cluster, round(p, 6)::DOUBLE AS priority FROM (SELECT pred_cluster, least(1.0, 0.5 + least(0.3, size / 100.0) + mean_severity / 20.0) AS p FROM im) ORDER BY round(p, 9) DESC, pred_cluster LIMIT 10", CLUSTERED, *_SCORES))
+@query(over_alerts("SELECT pred_cluster, round(p, 9)::DOUBLE AS priority FROM (SELECT pred_cluster, least(1.0, 0.5 + least(0.3, size / 100.0) + mean_severity / 20.0) AS p FROM im) ORDER BY round(p, 9) DESC, pred_cluster LIMIT 10", CLUSTERED, *_SCORES))
 def t7_review_batch(spark, d):
-    return be.review_batch(_scores(spark, d)).select("pred_cluster", F.round("priority", 6).alias("priority"))
+    return be.review_batch(_scores(spark, d)).select("pred_cluster", F.round("priority", 9).alias("priority"))
 
 
-@query(over_alerts("SELECT pred_cluster, round(greatest(0, importance - CASE WHEN tactics LIKE '%DoS%' THEN 0.2 ELSE 0 END - CASE WHEN size BETWEEN 10 AND 70 THEN 0.1 ELSE 0 END), 6)::DOUBLE AS score FROM im", CLUSTERED, *_SCORES))
+@query(over_alerts("SELECT pred_cluster, round(greatest(0, importance - CASE WHEN tactics LIKE '%DoS%' THEN 0.2 ELSE 0 END - CASE WHEN size BETWEEN 10 AND 70 THEN 0.1 ELSE 0 END), 9)::DOUBLE AS score FROM im", CLUSTERED, *_SCORES))
 def b7_fp_rule_adjust(spark, d):
     rules = spark.createDataFrame([("r1", "DoS", None, None, 0.2), ("r2", None, 10, 70, 0.1)], "rule_id string, tactic string, least_size long, most_size long, amount double")
-    return be.adjust_scores(_scores(spark, d).withColumn("score", F.col("importance")), rules).select("pred_cluster", F.round("score", 6).alias("score"))
+    return be.adjust_scores(_scores(spark, d).withColumn("score", F.col("importance")), rules).select("pred_cluster", F.round("score", 9).alias("score"))
 
 
 @query(over_alerts("SELECT \"user\", day_type, \"key\", round(CASE WHEN vd = 'normal' AND a IS NOT NULL THEN round_even((n + a * days) / (days + 1), 2) WHEN vd = 'normal' THEN n ELSE a END, 4)::DOUBLE AS avg FROM (SELECT * FROM (SELECT SourceUserName AS \"user\", 'WD' AS day_type, CAST(k % 8 AS VARCHAR) AS \"key\", count(*) / 4.0::DOUBLE AS a, 4 AS days FROM alerts WHERE k < 60 GROUP BY 1, 3) FULL JOIN (SELECT SourceUserName AS \"user\", 'WD' AS day_type, CAST(k % 8 AS VARCHAR) AS \"key\", count(*) AS n, CASE WHEN k % 8 < 4 THEN 'normal' ELSE 'positive' END AS vd FROM alerts WHERE k >= 60 GROUP BY 1, 3, 5) USING (\"user\", day_type, \"key\")) WHERE a IS NOT NULL OR vd = 'normal'"))
@@ -492,6 +492,6 @@ def b5_baseline_update(spark, d):
     return be.update_baseline(base, v).select("user", "day_type", "key", F.round("avg", 4).alias("avg"))
 
 
-@query(over_alerts("SELECT user_id, DestinationHostName, n, round(n / t::DOUBLE, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, DestinationHostName) AS r, sum(n) OVER (PARTITION BY user_id) AS t FROM (SELECT user_id, DestinationHostName, count(*) AS n FROM alerts GROUP BY 1, 2)) WHERE r <= 3"))
+@query(over_alerts("SELECT user_id, DestinationHostName, n, round(n / t::DOUBLE, 9) AS share FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, DestinationHostName) AS r, sum(n) OVER (PARTITION BY user_id) AS t FROM (SELECT user_id, DestinationHostName, count(*) AS n FROM alerts GROUP BY 1, 2)) WHERE r <= 3"))
 def a21_key_entities(spark, d):
-    return be.key_entities(alerts(spark, d), "DestinationHostName", "user_id").select("user_id", "DestinationHostName", "n", F.round("share", 6).alias("share"))
+    return be.key_entities(alerts(spark, d), "DestinationHostName", "user_id").select("user_id", "DestinationHostName", "n", F.round("share", 9).alias("share"))

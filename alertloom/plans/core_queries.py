@@ -131,17 +131,17 @@ def m2_temporal_proximity(spark, d):
     return a.join(b, "alert_idx").select("alert_idx", F.floor(s.temporal_proximity(F.col("EndDate"), F.col("next")) * 100000).alias("proximity"))
 
 
-@query(over_alerts("SELECT round(greatest(0.1, least(0.9, 0.3 + avg(severity) - 0.5)), 6)::DOUBLE AS threshold FROM alerts"))
+@query(over_alerts("SELECT round(greatest(0.1, least(0.9, 0.3 + avg(severity) - 0.5)), 9)::DOUBLE AS threshold FROM alerts"))
 def m3_confidence_threshold(spark, d):
-    return co.confidence_threshold(alerts(spark, d), "severity").select(F.round("threshold", 6).alias("threshold"))
+    return co.confidence_threshold(alerts(spark, d), "severity").select(F.round("threshold", 9).alias("threshold"))
 
 
 _DIV = " + ".join(f"count(DISTINCT nullif({c}, 'NIL'))" for c in COLS)
 
 
-@query(over_alerts(f"SELECT round(greatest(0.1, least(0.8, 0.3 + least(0.1, log10(count(*)) / 10) + (({_DIV}) / count(*)::DOUBLE / 6 - 0.5) * 0.2 - least(0.1, (epoch(max(EndDate)) - epoch(min(EndDate))) / 3600.0 / 1000))), 6)::DOUBLE AS threshold FROM alerts"))
+@query(over_alerts(f"SELECT round(greatest(0.1, least(0.8, 0.3 + least(0.1, log10(count(*)) / 10) + (({_DIV}) / count(*)::DOUBLE / 6 - 0.5) * 0.2 - least(0.1, (epoch(max(EndDate)) - epoch(min(EndDate))) / 3600.0 / 1000))), 9)::DOUBLE AS threshold FROM alerts"))
 def m4_adaptive_threshold(spark, d):
-    return co.adaptive_threshold(alerts(spark, d), ROLES).select(F.round("threshold", 6).alias("threshold"))
+    return co.adaptive_threshold(alerts(spark, d), ROLES).select(F.round("threshold", 9).alias("threshold"))
 
 
 @query("SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id + 1 = y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.2")
@@ -170,16 +170,16 @@ def c1_correlate_temporal(spark, d):
     return co.correlate(alerts(spark, d), ROLES, 0.45, time_col="EndDate").select("alert_idx", "pred_cluster")
 
 
-@query(over_alerts("SELECT alert_idx, round(coalesce(m, 0) / 27.0, 6)::DOUBLE AS max_correlation_score FROM alerts LEFT JOIN (SELECT i, max(w) AS m FROM p GROUP BY i) ON i = alert_idx", _PAIRS.format(a="alerts")))
+@query(over_alerts("SELECT alert_idx, round(coalesce(m, 0) / 27.0, 9)::DOUBLE AS max_correlation_score FROM alerts LEFT JOIN (SELECT i, max(w) AS m FROM p GROUP BY i) ON i = alert_idx", _PAIRS.format(a="alerts")))
 def w10_max_score(spark, d):
-    return co.max_scores(alerts(spark, d), ROLES).withColumn("max_correlation_score", F.round("max_correlation_score", 6))
+    return co.max_scores(alerts(spark, d), ROLES).withColumn("max_correlation_score", F.round("max_correlation_score", 9))
 
 
-@query(over_alerts("SELECT x.alert_idx AS src, y.alert_idx AS dst, round(w / 27.0, 6)::DOUBLE AS score FROM p JOIN alerts x ON x.alert_idx = i JOIN alerts y ON y.alert_idx = j WHERE j = i + 1 AND w >= 0.2 * 27", _PAIRS.format(a="alerts")))
+@query(over_alerts("SELECT x.alert_idx AS src, y.alert_idx AS dst, round(w / 27.0, 9)::DOUBLE AS score FROM p JOIN alerts x ON x.alert_idx = i JOIN alerts y ON y.alert_idx = j WHERE j = i + 1 AND w >= 0.2 * 27", _PAIRS.format(a="alerts")))
 def j4_candidate_links(spark, d):
     a = alerts(spark, d)
     pairs = a.select(F.col("alert_idx").alias("src"), (F.col("alert_idx") + 1).alias("dst"))
-    return co.candidate_links(a, pairs, ROLES, 0.2).withColumn("score", F.round("score", 6))
+    return co.candidate_links(a, pairs, ROLES, 0.2).withColumn("score", F.round("score", 9))
 
 
 @query(over_alerts("SELECT alert_idx, dense_rank() OVER (ORDER BY f) - 1 AS cluster FROM (SELECT alert_idx, min(alert_idx) OVER (PARTITION BY SourceAddress, DestinationAddress, DeviceAddress) AS f FROM alerts)"))
@@ -222,9 +222,9 @@ def _scores(spark, d):
     return cl.score_clusters(clustered(spark, d))
 
 
-@query(over_alerts("SELECT pred_cluster, size, round(mean_severity, 6) AS mean_severity, max_severity, tactics, n_tactics, critical_flag, round(importance, 6) AS importance, CASE WHEN size >= 10 THEN 'Large cluster (' || CAST(size AS VARCHAR) || ' alerts)' ELSE '' END || CASE WHEN size >= 10 AND critical_flag > 0 THEN '; ' ELSE '' END || CASE WHEN critical_flag > 0 THEN 'Critical tactic detected' ELSE '' END AS reason FROM im WHERE size >= 10 OR critical_flag > 0", CLUSTERED, *_SCORES))
+@query(over_alerts("SELECT pred_cluster, size, round(mean_severity, 9) AS mean_severity, max_severity, tactics, n_tactics, critical_flag, round(importance, 9) AS importance, CASE WHEN size >= 10 THEN 'Large cluster (' || CAST(size AS VARCHAR) || ' alerts)' ELSE '' END || CASE WHEN size >= 10 AND critical_flag > 0 THEN '; ' ELSE '' END || CASE WHEN critical_flag > 0 THEN 'Critical tactic detected' ELSE '' END AS reason FROM im WHERE size >= 10 OR critical_flag > 0", CLUSTERED, *_SCORES))
 def a1_cluster_scores(spark, d):
-    return _scores(spark, d).where("(size >= 10 OR critical_flag > 0) AND mean_severity < 0.7").select("pred_cluster", "size", F.round("mean_severity", 6).alias("mean_severity"), "max_severity", "tactics", "n_tactics", "critical_flag", F.round("importance", 6).alias("importance"), "reason")
+    return _scores(spark, d).where("(size >= 10 OR critical_flag > 0) AND mean_severity < 0.7").select("pred_cluster", "size", F.round("mean_severity", 9).alias("mean_severity"), "max_severity", "tactics", "n_tactics", "critical_flag", F.round("importance", 9).alias("importance"), "reason")
 
 
 def _top(by: str, cols: str = "pred_cluster, size") -> str:
@@ -236,14 +236,14 @@ def t1_topk_size(spark, d):
     return cl.top_clusters(_scores(spark, d), "size").select("pred_cluster", "size")
 
 
-@query(_top("round(mean_severity, 9)", "pred_cluster, round(mean_severity, 6) AS mean_severity"))
+@query(_top("round(mean_severity, 9)", "pred_cluster, round(mean_severity, 9) AS mean_severity"))
 def t2_topk_severity(spark, d):
-    return cl.top_clusters(_scores(spark, d).withColumn("r", F.round("mean_severity", 9)), "r").select("pred_cluster", F.round("mean_severity", 6).alias("mean_severity"))
+    return cl.top_clusters(_scores(spark, d).withColumn("r", F.round("mean_severity", 9)), "r").select("pred_cluster", F.round("mean_severity", 9).alias("mean_severity"))
 
 
-@query(_top("round(importance, 9)", "pred_cluster, round(importance, 6) AS importance"))
+@query(_top("round(importance, 9)", "pred_cluster, round(importance, 9) AS importance"))
 def t3_topk_importance(spark, d):
-    return cl.top_clusters(_scores(spark, d).withColumn("r", F.round("importance", 9)), "r").select("pred_cluster", F.round("importance", 6).alias("importance"))
+    return cl.top_clusters(_scores(spark, d).withColumn("r", F.round("importance", 9)), "r").select("pred_cluster", F.round("importance", 9).alias("importance"))
 
 
 @query(over_alerts("SELECT pred_cluster FROM im WHERE size >= 40 AND mean_severity >= 0.3 AND importance >= 1", CLUSTERED, *_SCORES))
@@ -273,22 +273,22 @@ def t4_backfill(spark, d):
     return cl.backfill_rare(c, sc, cl.top_clusters(sc.where("pred_cluster % 4 = 1"), "size", 3), reservoir=5)
 
 
-@query(over_alerts(f"SELECT pred_cluster, count(*) AS events, CAST(epoch(min(EndDate)) AS BIGINT) AS first_seen, CAST(epoch(max(EndDate)) AS BIGINT) AS last_seen, string_agg(DISTINCT MalwareIntelAttackType, ',' ORDER BY MalwareIntelAttackType) AS types, string_agg(DISTINCT {_TACTIC}, ',' ORDER BY {_TACTIC}) AS tactics, min(SourceAddress) AS addresses, round(avg(severity), 6) AS avg_severity FROM c GROUP BY 1", CLUSTERED))
+@query(over_alerts(f"SELECT pred_cluster, count(*) AS events, CAST(epoch(min(EndDate)) AS BIGINT) AS first_seen, CAST(epoch(max(EndDate)) AS BIGINT) AS last_seen, string_agg(DISTINCT MalwareIntelAttackType, ',' ORDER BY MalwareIntelAttackType) AS types, string_agg(DISTINCT {_TACTIC}, ',' ORDER BY {_TACTIC}) AS tactics, min(SourceAddress) AS addresses, round(avg(severity), 9) AS avg_severity FROM c GROUP BY 1", CLUSTERED))
 def a2_cluster_summary(spark, d):
     return cl.summarise(clustered(spark, d)).select("pred_cluster", "events", F.floor(F.unix_micros("first_seen") / 1e6 + 0.5).alias("first_seen"), F.floor(F.unix_micros("last_seen") / 1e6 + 0.5).alias("last_seen"), "types", "tactics", "addresses", "avg_severity")
 
 
-@query(over_alerts(f"SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS clusters, round(avg(n), 6) AS avg_size, max(n) AS max_size, min(n) AS min_size, (SELECT count(DISTINCT MalwareIntelAttackType) FROM c) AS types, (SELECT count(DISTINCT {_TACTIC}) FROM c) AS tactics FROM (SELECT count(*) AS n FROM c GROUP BY pred_cluster)", CLUSTERED))
+@query(over_alerts(f"SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS clusters, round(avg(n), 9) AS avg_size, max(n) AS max_size, min(n) AS min_size, (SELECT count(DISTINCT MalwareIntelAttackType) FROM c) AS types, (SELECT count(DISTINCT {_TACTIC}) FROM c) AS tactics FROM (SELECT count(*) AS n FROM c GROUP BY pred_cluster)", CLUSTERED))
 def a3_global_stats(spark, d):
     return cl.global_stats(clustered(spark, d))
 
 
-@query(over_alerts("SELECT pred_cluster, count(*) AS size, least(count(*), 100) AS sampled, round(avg(severity), 6) AS mean_severity FROM c GROUP BY 1", CLUSTERED))
+@query(over_alerts("SELECT pred_cluster, count(*) AS size, least(count(*), 100) AS sampled, round(avg(severity), 9) AS mean_severity FROM c GROUP BY 1", CLUSTERED))
 def a4_metadata(spark, d):
     return cl.metadata(clustered(spark, d))
 
 
-@query(over_alerts("SELECT count(*) AS total, count(t.pred_cluster) AS shown, count(*) - count(t.pred_cluster) AS filtered, round(avg(CASE WHEN t.pred_cluster IS NOT NULL THEN size END), 6) AS avg_size, max(CASE WHEN t.pred_cluster IS NOT NULL THEN size END) AS max_size, round(avg(CASE WHEN t.pred_cluster IS NOT NULL THEN mean_severity END), 6) AS avg_severity FROM im LEFT JOIN (SELECT pred_cluster FROM im ORDER BY size DESC, pred_cluster LIMIT 20) t USING (pred_cluster)", CLUSTERED, *_SCORES))
+@query(over_alerts("SELECT count(*) AS total, count(t.pred_cluster) AS shown, count(*) - count(t.pred_cluster) AS filtered, round(avg(CASE WHEN t.pred_cluster IS NOT NULL THEN size END), 9) AS avg_size, max(CASE WHEN t.pred_cluster IS NOT NULL THEN size END) AS max_size, round(avg(CASE WHEN t.pred_cluster IS NOT NULL THEN mean_severity END), 9) AS avg_severity FROM im LEFT JOIN (SELECT pred_cluster FROM im ORDER BY size DESC, pred_cluster LIMIT 20) t USING (pred_cluster)", CLUSTERED, *_SCORES))
 def a5_filter_summary(spark, d):
     sc = _scores(spark, d)
     return cl.filter_summary(sc, cl.top_clusters(sc, "size"))
@@ -310,7 +310,7 @@ def f1_first_of_addresses(spark, d):
     return cl.first_of_addresses(alerts(spark, d), ROLES.addresses, ROLES.usernames).select("alert_idx")
 
 
-@query(over_alerts("SELECT pred_cluster, anchor, round(sum(CASE WHEN k = 1 THEN n / 2.0 ELSE n + 0.8 * k END), 6)::DOUBLE AS score, count(*) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY id) AS k FROM m) GROUP BY 1, 2", "q AS (SELECT alert_idx, user_id // 4 * 100 + k % 20 AS pred_cluster, SourceAddress AS a, DestinationAddress AS b, nullif(DeviceAddress, 'NIL') AS c0 FROM alerts)", "v AS (SELECT pred_cluster, alert_idx AS id, a AS x FROM q UNION SELECT pred_cluster, alert_idx, b FROM q UNION SELECT pred_cluster, alert_idx, c0 FROM q WHERE c0 IS NOT NULL)", "m AS (SELECT x.pred_cluster, x.id AS anchor, y.id, count(*) AS n FROM v x JOIN v y ON x.pred_cluster = y.pred_cluster AND x.x = y.x AND x.id < y.id GROUP BY 1, 2, 3)"))
+@query(over_alerts("SELECT pred_cluster, anchor, round(sum(CASE WHEN k = 1 THEN n / 2.0 ELSE n + 0.8 * k END), 9)::DOUBLE AS score, count(*) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY id) AS k FROM m) GROUP BY 1, 2", "q AS (SELECT alert_idx, user_id // 4 * 100 + k % 20 AS pred_cluster, SourceAddress AS a, DestinationAddress AS b, nullif(DeviceAddress, 'NIL') AS c0 FROM alerts)", "v AS (SELECT pred_cluster, alert_idx AS id, a AS x FROM q UNION SELECT pred_cluster, alert_idx, b FROM q UNION SELECT pred_cluster, alert_idx, c0 FROM q WHERE c0 IS NOT NULL)", "m AS (SELECT x.pred_cluster, x.id AS anchor, y.id, count(*) AS n FROM v x JOIN v y ON x.pred_cluster = y.pred_cluster AND x.x = y.x AND x.id < y.id GROUP BY 1, 2, 3)"))
 def a9_anchor_chains(spark, d):
     return cl.anchor_chains(alerts(spark, d).withColumn("pred_cluster", F.floor(F.col("user_id") / 4) * 100 + F.col("k") % 20))
 

@@ -29,9 +29,9 @@ def p34_filled_codes(spark, d):
     return fe.coded(alerts(spark, d).select("DeviceHostName").distinct(), ["DeviceHostName"], "UNKNOWN").select(F.coalesce("DeviceHostName", F.lit("UNKNOWN")).alias("host"), F.col("DeviceHostName_code").alias("code"))
 
 
-@query(over_alerts("SELECT alert_idx, round(hour(EndDate) / 23.0, 6)::DOUBLE AS hour, round((isodow(EndDate) - 1) / 6.0, 6)::DOUBLE AS day_of_week, round(day(EndDate) / 31.0, 6)::DOUBLE AS day FROM alerts"))
+@query(over_alerts("SELECT alert_idx, round(hour(EndDate) / 23.0, 9)::DOUBLE AS hour, round((isodow(EndDate) - 1) / 6.0, 9)::DOUBLE AS day_of_week, round(day(EndDate) / 31.0, 9)::DOUBLE AS day FROM alerts"))
 def p23_calendar_features(spark, d):
-    return alerts(spark, d).select("alert_idx", *[F.round(c, 6).alias(n) for c, n in zip(fe.calendar(F.col("EndDate")), ("hour", "day_of_week", "day"), strict=True)])
+    return alerts(spark, d).select("alert_idx", *[F.round(c, 9).alias(n) for c, n in zip(fe.calendar(F.col("EndDate")), ("hour", "day_of_week", "day"), strict=True)])
 
 
 @query(over_alerts("SELECT alert_idx, SourceAddress AS source, DestinationAddress AS target FROM alerts"))
@@ -40,10 +40,10 @@ def p24_entity_map(spark, d):
     return a.select("alert_idx", fe.entity_map(a, "network").alias("m")).select("alert_idx", F.col("m")["source"].alias("source"), F.col("m")["target"].alias("target"))
 
 
-@query(over_alerts("SELECT alert_idx, 20 AS width, round(hour(EndDate) / 24.0 + (isodow(EndDate) - 1) / 7.0 + day(EndDate) / 31.0 + k, 6)::DOUBLE AS total FROM alerts"))
+@query(over_alerts("SELECT alert_idx, 20 AS width, round(hour(EndDate) / 24.0 + (isodow(EndDate) - 1) / 7.0 + day(EndDate) / 31.0 + k, 9)::DOUBLE AS total FROM alerts"))
 def p25_feature_vector(spark, d):
     v = fe.feature_vector(F.col("EndDate"), [F.col("k")])
-    return alerts(spark, d).select("alert_idx", F.size(v).alias("width"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return alerts(spark, d).select("alert_idx", F.size(v).alias("width"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
 
 
 @query(over_alerts("SELECT alert_idx, SourceAddress AS src, CASE WHEN DeviceAddress = 'NIL' THEN '' ELSE DeviceAddress END AS device, CAST(least((hour(EndDate) * 60 + minute(EndDate)) // 5, 287) AS INT) AS bucket, CAST(CASE lower(AttackSeverity) WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 ELSE 0.25 END AS DOUBLE) AS severity FROM alerts"))
@@ -72,19 +72,19 @@ def p33_aliases(spark, d):
     return fe.with_aliases(alerts(spark, d), {"SourceAddress": "src_ip", "DestinationAddress": "dst_ip", "k": "user_id"}).select("alert_idx", "src_ip", "dst_ip")
 
 
-@query(over_alerts("SELECT alert_idx, round(100 / (1 + exp(-(severity - 0.5) * 4)), 6) AS risk FROM alerts"))
+@query(over_alerts("SELECT alert_idx, round(100 / (1 + exp(-(severity - 0.5) * 4)), 9) AS risk FROM alerts"))
 def m7_risk_score(spark, d):
-    return alerts(spark, d).select("alert_idx", F.round(s.risk_score((F.col("severity") - 0.5) * 4), 6).alias("risk"))
+    return alerts(spark, d).select("alert_idx", F.round(s.risk_score((F.col("severity") - 0.5) * 4), 9).alias("risk"))
 
 
-@query(over_alerts("SELECT alert_idx, round(0.4 * severity + 0.4 * (k / 100.0) + 0.2 * 0.5, 6)::DOUBLE AS threat FROM alerts"))
+@query(over_alerts("SELECT alert_idx, round(0.4 * severity + 0.4 * (k / 100.0) + 0.2 * 0.5, 9)::DOUBLE AS threat FROM alerts"))
 def m6_threat_score(spark, d):
-    return alerts(spark, d).select("alert_idx", F.round(s.threat_score(F.col("severity"), F.col("k") / 100.0, F.lit(0.5)), 6).alias("threat"))
+    return alerts(spark, d).select("alert_idx", F.round(s.threat_score(F.col("severity"), F.col("k") / 100.0, F.lit(0.5)), 9).alias("threat"))
 
 
-@query(over_alerts("SELECT pred_cluster, round(least(1.0, 0.3 * ln(1 + count(*)) / 5 + 0.4 * 0.5 + 0.3 * avg(severity) / 10), 6)::DOUBLE AS importance FROM c GROUP BY 1", CLUSTERED))
+@query(over_alerts("SELECT pred_cluster, round(least(1.0, 0.3 * ln(1 + count(*)) / 5 + 0.4 * 0.5 + 0.3 * avg(severity) / 10), 9)::DOUBLE AS importance FROM c GROUP BY 1", CLUSTERED))
 def m12_explanation_importance(spark, d):
-    return _scores(spark, d).select("pred_cluster", F.round(s.explanation_importance(F.col("size"), F.lit(None).cast("double"), F.col("mean_severity")), 6).alias("importance"))
+    return _scores(spark, d).select("pred_cluster", F.round(s.explanation_importance(F.col("size"), F.lit(None).cast("double"), F.col("mean_severity")), 9).alias("importance"))
 
 
 @query(over_alerts("SELECT k, count(DISTINCT MalwareIntelAttackType) AS mapped, round(count(DISTINCT MalwareIntelAttackType) / 14.0 * 100, 4)::DOUBLE AS pct FROM alerts GROUP BY 1"))
@@ -127,10 +127,10 @@ def j26_shared_attributes(spark, d):
     return a.join(b, "alert_idx").select("alert_idx", sum(((F.col(c) == F.col(f"n_{c}")).cast("int") for c in cols), F.lit(0)).alias("shared"))
 
 
-@query(over_alerts("SELECT round(avg(n), 6) AS avg_size, min(n) AS min_size, max(n) AS max_size, CAST(sum(n) AS BIGINT) AS total FROM (SELECT user_id, (rn - 1) // 30 AS ch, count(*) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY EndDate, alert_idx) AS rn FROM alerts) GROUP BY 1, 2 HAVING count(*) >= 5)"))
+@query(over_alerts("SELECT round(avg(n), 9) AS avg_size, min(n) AS min_size, max(n) AS max_size, CAST(sum(n) AS BIGINT) AS total FROM (SELECT user_id, (rn - 1) // 30 AS ch, count(*) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY EndDate, alert_idx) AS rn FROM alerts) GROUP BY 1, 2 HAVING count(*) >= 5)"))
 def a26_window_stats(spark, d):
     n = te.chunks(alerts(spark, d), ["user_id"]).groupBy("user_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.round(F.avg("n"), 6).alias("avg_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.sum("n").alias("total"))
+    return n.agg(F.round(F.avg("n"), 9).alias("avg_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.sum("n").alias("total"))
 
 
 @query(over_alerts("SELECT alert_idx, dense_rank() OVER (ORDER BY f) - 1 AS truth FROM (SELECT alert_idx, min(alert_idx) OVER (PARTITION BY regexp_extract(SourceAddress, '^(.*)\\.', 1)) AS f FROM alerts)"))
@@ -140,10 +140,10 @@ def e14_subnet_labels(spark, d):
     return signature_groups(alerts(spark, d), ["SourceAddress"], subnets=True).withColumnRenamed("cluster", "truth")
 
 
-@query(over_alerts("SELECT alert_idx, round(ab / a::DOUBLE, 6) AS agreement, round(CASE WHEN ab = a THEN 1.0 ELSE 0.7 * severity + 0.24 END, 6)::DOUBLE AS joint_confidence FROM (SELECT alert_idx, severity, count(*) OVER (PARTITION BY user_id, k % 2) AS ab, count(*) OVER (PARTITION BY user_id) AS a FROM alerts)"))
+@query(over_alerts("SELECT alert_idx, round(ab / a::DOUBLE, 9) AS agreement, round(CASE WHEN ab = a THEN 1.0 ELSE 0.7 * severity + 0.24 END, 9)::DOUBLE AS joint_confidence FROM (SELECT alert_idx, severity, count(*) OVER (PARTITION BY user_id, k % 2) AS ab, count(*) OVER (PARTITION BY user_id) AS a FROM alerts)"))
 def k9_agreement(spark, d):
     a = alerts(spark, d).withColumn("second", F.col("k") % 2)
-    return de.agreement(a, "user_id", "second", "severity").select("alert_idx", F.round("agreement", 6).alias("agreement"), F.round("joint_confidence", 6).alias("joint_confidence"))
+    return de.agreement(a, "user_id", "second", "severity").select("alert_idx", F.round("agreement", 9).alias("agreement"), F.round("joint_confidence", 9).alias("joint_confidence"))
 
 
 @query()
