@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -286,10 +285,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     if model is None:
         return docs
 
-    def toxic(text: pd.Series) -> pd.Series:
-        out = []
-        for b in blocks(pa.array(text, pa.string())):
-            out.append(model.probability(*_evidence(model, b)) >= CUT)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
+    at = docs.columns.index("text")
 
-    return docs.where(~F.pandas_udf(toxic, "boolean")(F.coalesce("text", F.lit(""))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [model.probability(*_evidence(model, b)) < CUT for b in blocks(batch.column(at))]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
