@@ -94,8 +94,8 @@ def suspects(block: Block) -> np.ndarray:
         at = where.find(key)
         while at >= 0:
             row = int(np.searchsorted(off, at, side="right")) - 1
-            hit[row] = True
-            at = where.find(key, int(off[row + 1]) - len(key) + 1)
+            hit[row] |= at + len(key) <= off[row + 1]  # one that spans rows belongs to no text
+            at = where.find(key, int(off[row + 1]))
     return np.flatnonzero(hit & (np.diff(off) > 0))
 
 

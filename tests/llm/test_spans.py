@@ -92,6 +92,23 @@ def test_secret_random_texts():
             assert i in hit or not secret_net.find_candidates(t, base)
 
 
+def test_keywords_across_texts_end():
+    import faulthandler
+
+    import pyarrow as pa
+
+    from alertloom.llm.textops import blocks
+
+    texts = ["pas", "sword", "to", "ken", "AK", "", "IA", "se", "cret", "x token: abcdefghijkl", "api", "key=abcdefghijkl secret"]
+    faulthandler.dump_traceback_later(60, exit=True)  # a search that never ends fails
+    try:
+        hit = [b.first_row + i for b in blocks(pa.array(texts)) for i in secret_net.suspects(b).tolist()]
+    finally:
+        faulthandler.cancel_dump_traceback_later()
+    assert hit == [9, 11]
+    assert [t for t in texts if secret_net.find_base(t)] == [texts[9]]
+
+
 def test_net_finds_held_out_findings(spark, small):
     net = secret_net.fit(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), 200)
     rng = np.random.default_rng(99)
