@@ -2,7 +2,8 @@
 
 Candidates are the base findings (``assign``, ``access``, ``hex``) and long mixed tokens. The network (embedding, one convolution,
 maximum over places, logistic output, all in numpy) is trained on labelled findings: base findings of a bounded sample of
-documents and generated credentials as positives, other tokens of the sample as negatives. Its output is calibrated on a
+documents and generated credentials as positives, other tokens of the sample as negatives. It reads a candidate in windows that
+overlap, each with what stands before and after it, and a candidate scores as its highest window. The output is calibrated on a
 held-out part, where the threshold is set to the highest that still finds ``RECALL`` of the positives. Base findings always
 stay; mixed tokens that pass the threshold are added as kind ``token``.
 """
@@ -27,7 +28,11 @@ KINDS = (*BASE_KINDS, "token")
 #: Documents (those with the smallest hash of their id) and candidates of these that the network is fitted on at most.
 FIT_DOCS, FIT_CANDIDATES = 2000, 6000
 RECALL = 0.97
-BEFORE, INSIDE = 24, 40
+#: A window has INSIDE characters of the candidate, BEFORE in front and AFTER behind; the next starts STEP further, so that whatever
+#: is no longer than BEFORE + INSIDE + AFTER - STEP lies wholly in one.
+BEFORE, INSIDE, AFTER, STEP = 24, 40, 24, 20
+#: Windows of a candidate that the network is fitted on at most, spread over its length; all of them are scored.
+FIT_WINDOWS = 16
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -99,14 +104,19 @@ def suspects(block: Block) -> np.ndarray:
     return np.flatnonzero(hit & (np.diff(off) > 0))
 
 
+def windows(text: str, start: int, end: int) -> np.ndarray:
+    """Codes of the candidate with its context, a row for each window: 0 none, 1 to 95 printable ASCII, 96 other."""
+    c = np.frombuffer(text[max(0, start - BEFORE) : end + AFTER].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    count, width = 1 + -(-max(0, end - start - INSIDE) // STEP), BEFORE + INSIDE + AFTER
+    out = np.zeros((count - 1) * STEP + width, dtype=np.uint8)
+    at = max(0, BEFORE - start)
+    out[at : at + len(c)] = np.where((c >= 32) & (c < 127), c - 31, 96)
+    return np.lib.stride_tricks.sliding_window_view(out, width)[::STEP]
+
+
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the context in front and of the candidate, padded: 0 none, 1 to 95 printable ASCII, 96 other."""
-    before, own = text[max(0, start - BEFORE) : start], text[start : min(end, start + INSIDE)]
-    out = np.zeros(BEFORE + INSIDE, dtype=np.int64)
-    for at, part in ((BEFORE - len(before), before), (BEFORE, own)):
-        for k, c in enumerate(part):
-            out[at + k] = ord(c) - 31 if 32 <= ord(c) < 127 else 96
-    return out
+    """The first of ``windows``."""
+    return windows(text, start, end)[0]
 
 
 class Net:
@@ -127,11 +137,13 @@ class Net:
         best = np.take_along_axis(z, top[:, None, :], axis=1)[:, 0, :]
         return cols, top, best, np.maximum(best, 0) @ self.p["v"] + self.p["c"][0]
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(x[i : i + 512])[3] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+    def logits(self, x: np.ndarray, sizes: list[int] | None = None) -> np.ndarray:
+        """Of each window, or with ``sizes`` (windows of each candidate, in order) the highest of each candidate."""
+        z = np.concatenate([self._forward(x[i : i + 512])[3] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+        return z if sizes is None or not len(z) else np.maximum.reduceat(z, np.cumsum([0, *sizes[:-1]]))
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -40, 40)))
+    def probability(self, x: np.ndarray, sizes: list[int] | None = None) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x, sizes) + self.shift, -40, 40)))
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
@@ -158,9 +170,9 @@ class Net:
                     s[k] = 0.999 * s[k] + 0.001 * v * v
                     self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL, sizes: list[int] | None = None) -> None:
         """Fit scale and shift of the logits by gradient descent, then the highest threshold with that recall."""
-        z = self.logits(x)
+        z = self.logits(x, sizes)
         a, b = 1.0, 0.0
         spread = max(1.0, float(np.abs(z).max()))
         z = z / spread
@@ -169,7 +181,7 @@ class Net:
             a -= 2.0 * float(((p - y) * z).mean() + 1e-4 * a)
             b -= 2.0 * float((p - y).mean())
         self.scale, self.shift = a / spread, b
-        positive = np.sort(self.probability(x)[y == 1])
+        positive = np.sort(self.probability(x, sizes)[y == 1])
         if len(positive):
             self.threshold = float(positive[int(np.floor((1 - recall) * len(positive)))])
 
@@ -183,10 +195,14 @@ def generated(rng: np.random.Generator, n: int) -> list[tuple[str, int, int]]:
         head, alphabet, size = shapes[rng.integers(len(shapes))]
         body = head + "".join(alphabet[i] for i in rng.integers(len(alphabet), size=size))
         front = fronts[rng.integers(len(fronts))]
-        out.append((front + body, len(front), len(front) + len(body)))
+        out.append((front + body + _tail(rng), len(front), len(front) + len(body)))
     return out
 
 
+def _tail(rng: np.random.Generator) -> str:
+    return ("", "", " ", ".", ", and so on", " then the next of these lines", "\nsee the rest of it", '" for all of them')[rng.integers(8)]
+
+
 def plain(rng: np.random.Generator, n: int) -> list[tuple[str, int, int]]:
     """Long tokens that are no credentials: paths, numbered words, dates, identifiers of parts."""
     words = ("report", "section", "chapter", "figure", "version", "release", "item", "table", "appendix", "volume")
@@ -196,7 +212,27 @@ def plain(rng: np.random.Generator, n: int) -> list[tuple[str, int, int]]:
         k = rng.integers(5)
         body = (f"{w[0]}/{w[1]}/{w[2]}-{rng.integers(99)}", f"{w[0]}_{w[1]}_{rng.integers(999)}", f"20{rng.integers(10, 30)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}_{w[0]}", f"{w[0]}-{w[1]}-{w[2]}-{rng.integers(10)}", f"{w[0]}{w[1]}{w[2]}{rng.integers(100)}")[k]
         front = ("see ", "in ", "of the ", "at ", "")[rng.integers(5)]
-        out.append((front + body, len(front), len(front) + len(body)))
+        out.append((front + body + _tail(rng), len(front), len(front) + len(body)))
+    return out
+
+
+def hidden(rng: np.random.Generator, n: int) -> list[tuple[str, int, int, int, int]]:
+    """Long paths, every second with a credential in or behind it: (text, start, end, start and end of the credential or -1, -1)."""
+    out = []
+    for k in range(n):
+        parts = []
+        while sum(map(len, parts)) < 40 + 60 * rng.random():
+            text, a, z = plain(rng, 1)[0]
+            parts.append(text[a:z])
+        joint, place = "/=_-+"[rng.integers(5)], int(rng.integers(1, len(parts) + 1))
+        front, body = f"at {joint.join(parts[:place])}", joint.join(["", *parts[place:]]) if place < len(parts) else ""
+        a = z = -1
+        if k % 2:
+            text, x, y = generated(rng, 1)[0]
+            a = len(front) + 1
+            z = a + y - x
+            front += joint + text[x:y]
+        out.append((front + body + _tail(rng), 3, len(front + body), a, z))
     return out
 
 
@@ -205,35 +241,60 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_candidates: int = FIT_CAN
     ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).distinct()
     some = docs.join(F.broadcast(ids), "doc_id")  # fit_docs ids at most
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(1)):
                 rows, labels, keys = [], [], []
                 for i in suspects(b).tolist():
                     text = b.text(i)
                     for a, z, kind in find_candidates(text, find_base(text)):
-                        rows.append(window(text, a, z).astype(np.uint8).tobytes())
+                        x = windows(text, a, z)
+                        rows.append(x[np.unique(np.linspace(0, len(x) - 1, FIT_WINDOWS).astype(int))].tobytes())
                         labels.append(int(kind != "token"))
                         keys.append(f"{batch.column(0)[b.first_row + i]}:{a}:{kind}")
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(labels, pa.int32()), pa.array(keys, pa.string())], ["codes", "label", "name"])
 
-    got = some.mapInArrow(windows, "codes binary, label int, name string").orderBy(F.xxhash64("name"), "name").limit(fit_candidates).collect()
+    got = some.mapInArrow(sample, "codes binary, label int, name string").orderBy(F.xxhash64("name"), "name").limit(fit_candidates).collect()
     rng = np.random.default_rng(seed)
-    x = [np.frombuffer(r.codes, dtype=np.uint8).astype(np.int64) for r in got]
+    # candidates: windows, label, and labels of the windows (-1: not trained on); of a finding the first window counts
+    x = [np.frombuffer(r.codes, dtype=np.uint8).reshape(-1, BEFORE + INSIDE + AFTER) for r in got]
     y = [r.label for r in got]
+    each = [np.array([1] + [-1] * (len(w) - 1)) if label else np.zeros(len(w), dtype=int) for w, label in zip(x, y, strict=True)]
     for source, label in ((generated, 1), (plain, 0)):
         for text, a, z in source(rng, 800):
-            x.append(window(text, a, z))
+            x.append(windows(text, a, z))
             y.append(label)
-    xs, ys = np.stack(x), np.array(y, dtype=np.float64)
-    order = rng.permutation(len(xs))
-    cut = int(0.7 * len(xs))
+            each.append(np.array([1] + [-1] * (len(x[-1]) - 1)) if label else np.zeros(len(x[-1]), dtype=int))
+    for text, start, end, a, z in hidden(rng, 800):
+        x.append(windows(text, start, end))
+        y.append(int(a >= 0))
+        from_ = start + STEP * np.arange(len(x[-1])) - BEFORE
+        to = from_ + BEFORE + INSIDE + AFTER
+        each.append(np.where((from_ <= a) & (to >= z), 1, np.where((to <= a) | (from_ >= z), 0, -1)) if a >= 0 else np.zeros(len(x[-1]), dtype=int))
+    order = rng.permutation(len(x)).tolist()
+    cut = int(0.7 * len(x))
     net = Net()
-    net.train(xs[order[:cut]], ys[order[:cut]])
-    net.calibrate(xs[order[cut:]], ys[order[cut:]])
+    xs, ys = np.concatenate([x[i] for i in order[:cut]]), np.concatenate([each[i] for i in order[:cut]])
+    net.train(xs[ys >= 0], ys[ys >= 0].astype(np.float64))
+    rest = order[cut:]
+    net.calibrate(np.concatenate([x[i] for i in rest]), np.array([y[i] for i in rest], dtype=np.float64), sizes=[len(x[i]) for i in rest])
     return net
 
 
+def scored(net: Net, b: Block) -> Iterator[tuple[int, int, int, str, float]]:
+    """Row, start, end, kind and score of the base findings of a block, and of its tokens that pass the threshold."""
+    found, codes = [], []
+    for i in suspects(b).tolist():
+        text = b.text(i)
+        for a, z, kind in find_candidates(text, find_base(text)):
+            found.append((i, a, z, kind))
+            codes.append(windows(text, a, z))
+    score = net.probability(np.concatenate(codes), [len(x) for x in codes]) if codes else np.zeros(0)
+    for (i, a, z, kind), p in zip(found, score.tolist(), strict=True):
+        if kind != "token" or p >= net.threshold:
+            yield i, a, z, kind, p
+
+
 def find_secrets(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """``doc_id`` and ``spans``: an array of (kind, start, end, base, score) by start, then kind in the order of ``KINDS``.
 
@@ -247,18 +308,9 @@ def find_secrets(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(1)):
-                found: list[tuple[int, tuple[int, int, str]]] = []
-                codes = []
-                for i in suspects(b).tolist():
-                    text = b.text(i)
-                    for c in find_candidates(text, find_base(text)):
-                        found.append((i, c))
-                        codes.append(window(text, c[0], c[1]))
-                score = net.probability(np.stack(codes)) if codes else np.zeros(0)
                 rows: list[list[dict]] = [[] for _ in range(b.rows)]
-                for (i, (a, z, kind)), p in zip(found, score.tolist(), strict=True):
-                    if kind != "token" or p >= net.threshold:
-                        rows[i].append({"kind": kind, "start": a, "end": z, "base": kind != "token", "score": p})
+                for i, a, z, kind, p in scored(net, b):
+                    rows[i].append({"kind": kind, "start": a, "end": z, "base": kind != "token", "score": p})
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first_row, b.rows), pa.array(rows, pa.list_(item))], ["doc_id", "spans"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,base:boolean,score:double>>")
@@ -285,17 +337,9 @@ def without_secrets(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     def masked(text: pd.Series) -> pd.Series:
         out = text.tolist()
         for b in blocks(pa.array(text, pa.string())):
-            where, codes = [], []
-            for i in suspects(b).tolist():
-                t = b.text(i)
-                for a, z, kind in find_candidates(t, find_base(t)):
-                    where.append((i, a, z, kind))
-                    codes.append(window(t, a, z))
-            score = net.probability(np.stack(codes)) if codes else np.zeros(0)
             spans: dict[int, list[tuple[int, int]]] = {}
-            for (i, a, z, kind), p in zip(where, score.tolist(), strict=True):
-                if kind != "token" or p >= net.threshold:
-                    spans.setdefault(i, []).append((a, z))
+            for i, a, z, _, _ in scored(net, b):
+                spans.setdefault(i, []).append((a, z))
             for i, own in spans.items():
                 out[b.first_row + i] = mask(out[b.first_row + i], own)
         return pd.Series(out, dtype=object)

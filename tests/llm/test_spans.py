@@ -118,6 +118,26 @@ def test_net_finds_held_out_findings(spark, small):
     assert (net.probability(bad) >= net.threshold).mean() < 0.1
 
 
+def test_credentials_at_the_end_of_long_tokens(spark, small, monkeypatch):
+    path = "srv/report/section-12/chapter/figures/appendix-3/volume/release/"
+    rnd = random.Random(8)
+    keys = ["ghp_" + "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789") for _ in range(36)) for _ in range(40)]
+    rows = [(10**6 + i, f"see {path * (1 + i % 3)}{k} for it") for i, k in enumerate(keys)] + [(2 * 10**6 + i, f"see {path * (1 + i % 3)}table-{i} for it") for i in range(40)]
+    net = secret_net.fit(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), 200)
+    monkeypatch.setattr(secret_net, "fit", lambda *_: net)  # the rows below are not among those it is fitted on
+    got = {r.doc_id: r.spans for r in secret_net.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(got[i]) for i, _ in rows[:40]) >= 36
+    assert sum(bool(got[i]) for i, _ in rows[40:]) <= 4
+
+
+def test_windows_cover_the_candidate_and_both_sides():
+    text = "x" * 30 + "<" + "".join(chr(40 + i % 80) for i in range(131)) + ">" + "y" * 30
+    w = secret_net.windows(text, 31, 162)
+    assert (w[0][: secret_net.BEFORE] == [ord(c) - 31 for c in text[7:31]]).all() and w[-1][w[-1] > 0][-1] == ord("y") - 31
+    seen = {bytes(r[i : i + 5]) for r in w for i in range(len(r) - 4)}
+    assert all(bytes(ord(c) - 31 for c in text[i : i + 5]) in seen for i in range(7, 181))
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     pairs = [(r[0], r[1]) for r in docs.collect()]
