@@ -1,18 +1,20 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Method: each pass orders all vectors by the concatenated signs of its random projections and compares every vector with the
-``WINDOW`` next ones, in double precision; links of all passes are united. Windows find which vectors belong together; inside
-each component every pair is then compared in blocks, so a vector's links are complete within its component. Equal
-vectors are one node with a count. Rows at the borders of sorted partitions meet their neighbours' rows in a second step.
+"""Near-duplicate vectors by sign projections.
+
+Method: each pass deals all vectors out to buckets by the signs of its random projections, and all pairs of a bucket are compared
+in double precision (in blocks where it is large, so crowds lose nothing); links of all passes are united. A pair at cosine
+``LEAST`` shares a bucket with a probability that depends on the number of signs only, not on other vectors; the signs follow
+from the number of vectors, and the passes from both, so that such a pair is met with probability ``RECALL`` at any size. Buckets
+find which vectors belong together; inside each component every pair is then compared in blocks, so a vector's links are complete
+within its component. Equal vectors are one node with a count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,10 @@ from alertloom.operators.components import connected_components
 from .frames import Forest, block_tasks, pick, shared_dir, sorted_groups, written
 
 LEAST = 0.9
-PASSES, BITS, WINDOW = 12, 60, 96
+#: The least probability to meet a pair at cosine LEAST that nothing else links, and the vectors of a bucket on average at most.
+RECALL, BUCKET = 0.99, 512
+#: Passes at least, where all vectors don't meet in one.
+PASSES = 12
 #: Vectors of a block when all pairs of a component are compared.
 BLOCK = 1024
 
@@ -51,110 +56,76 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, raw binary")
 
 
-def _codes(nodes: DataFrame) -> DataFrame:
-    """A row for each node and pass: its code is the signs of the pass's projections, first sign first."""
+def plan(n: int) -> tuple[int, int]:
+    """Passes and signs a pass for ``n`` vectors; up to ``BUCKET`` of them all meet in one pass."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / BUCKET)))
+    met = (1 - math.acos(LEAST) / math.pi) ** bits
+    return (max(PASSES, math.ceil(math.log(1 - RECALL) / math.log(1 - met))) if bits else 1), bits
+
+
+def _codes(nodes: DataFrame, passes: int, bits: int, raw: bool) -> DataFrame:
+    """A row for each node and pass: its code is the signs of the pass's projections; with or without the vector's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        weights = (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
+        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
         for batch in batches:
             size = np.array([len(b) for b in batch.column(1).to_pylist()])
             for n in np.unique(size).tolist():
                 part = batch.filter(pa.array(size == n))
                 d = n // 8
                 if d not in planes:
-                    planes[d] = np.random.default_rng(d).normal(size=(d, PASSES * BITS))
-                signs = (unit(part.column(1)) @ planes[d] > 0).reshape(part.num_rows, PASSES, BITS)
+                    planes[d] = np.random.default_rng(d).normal(size=(d, passes * bits))
+                signs = (unit(part.column(1)) @ planes[d] > 0).reshape(part.num_rows, passes, bits)
                 code = (signs * weights).sum(axis=2)
-                for p in range(PASSES):
-                    k = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, d * PASSES + p)), pa.array(code[:, p]), part.column(0), part.column(1)], ["pass", "code", "node", "raw"])
-
-    return nodes.select("node", "raw").mapInArrow(run, "pass long, code long, node long, raw binary")
-
-
-def _window_links(node: np.ndarray, x: np.ndarray, forest: Forest, split: int | None = None) -> list[tuple[int, int]]:
-    """Links between rows at most ``WINDOW`` apart that join two trees; with ``split`` only between rows on either side of it."""
-    out = []
-    for a in range(0, len(x) if split is None else split, 512):
-        z = min(len(x) if split is None else split, a + 512)
-        to = min(len(x), z + WINDOW)
-        start = a if split is None else split
-        if to <= start:
-            continue
-        i, j = np.nonzero(x[a:z] @ x[start:to].T >= LEAST)
-        gap = j + start - i - a
-        ok = (gap > 0) & (gap <= WINDOW)
-        for s, t in zip(node[a + i[ok]].tolist(), node[start + j[ok]].tolist(), strict=True):
-            if forest.join(s, t):
-                out.append((min(s, t), max(s, t)))
-    return out
-
-
-def _batch(kind: str, rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["kind", "src", "dst", "border", "at", "pass", "raw"])
-
-
-def _links(codes: DataFrame) -> DataFrame:
-    """Links that join trees, of all passes (src, dst)."""
+                for p in range(passes):
+                    cols = [pa.array(np.full(part.num_rows, d * passes + p)), pa.array(code[:, p].astype(np.int64)), part.column(0)]
+                    yield pa.RecordBatch.from_arrays(cols + [part.column(1)] * raw, ["pass", "code", "node", "raw"][: 3 + raw])
+
+    return nodes.select("node", "raw").mapInArrow(run, "pass long, code long, node long" + ", raw binary" * raw)
+
+
+def _joins(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that connect the nodes ``a`` (rows) and ``b`` (columns) just as all true cells do."""
+    rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+    if not len(rows):
+        return
+    hit, a, b = hit[np.ix_(rows, cols)], a[rows], b[cols]
+    most = np.iinfo(np.int64).max
+    low_a, low_b = a.copy(), b.copy()
+    while True:
+        new_b = np.minimum(low_b, np.where(hit, low_a[:, None], most).min(axis=0))
+        new_a = np.minimum(low_a, np.where(hit, new_b[None, :], most).min(axis=1))
+        if (new_a == low_a).all() and (new_b == low_b).all():
+            break
+        low_a, low_b = new_a, new_b
+    for node, low in ((a, low_a), (b, low_b)):
+        other = node != low
+        yield from zip(low[other].tolist(), node[other].tolist(), strict=True)
+
+
+def _links(nodes: DataFrame) -> DataFrame:
+    """Links (src, dst) that connect nodes just as all links found in the buckets of all passes do."""
+    passes, bits = plan(nodes.count())
+    crowded = _codes(nodes, passes, bits, False).groupBy("pass", "code").count().where(F.col("count") > BLOCK)
+    codes = _codes(nodes, passes, bits, True).join(crowded, ["pass", "code"], "left")
+    tasks = block_tasks(codes, "code", "node", F.coalesce("count", F.lit(1)), BLOCK)
+    keys = ("pass", "code", "i", "j")
+    rows = tasks.select(*keys, "own", "node", "raw").repartition(*keys).sortWithinPartitions(*keys, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, forest = TaskContext.get().partitionId(), Forest()
-        first = True
-        tail: list[tuple] = []
-        for run_ in _runs(batches):
-            p, node, raw = run_
-            x = unit(raw)
-            yield _batch("link", [(s, t, None, None, None, None) for s, t in _window_links(node, x, forest)])
-            raws = raw.to_pylist()
-            rows = [(n, None, None, None, p, r) for n, r in zip(node.tolist(), raws, strict=True)]
-            if first:
-                yield _batch("border", [(n, None, part, WINDOW + k, p, r) for k, (n, _, _, _, _, r) in enumerate(rows[:WINDOW])])
-                first = False
-            tail = rows[-WINDOW:]
-        if tail:
-            yield _batch("border", [(n, None, part + 1, WINDOW - len(tail) + k, p, r) for k, (n, _, _, _, p, r) in enumerate(tail)])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for group in sorted_groups(batches, 2):
-            at = group.column(2).to_numpy()
-            split = int((at < WINDOW).sum())
-            if 0 < split < len(at):
-                links = _window_links(group.column(3).to_numpy(), unit(group.column(4)), forest, split)
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in links], pa.int64()), pa.array([t for _, t in links], pa.int64())], ["src", "dst"])
-
-    order = ("pass", "code", "node")
-    found = written(codes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "kind string, src long, dst long, border int, at int, pass long, raw binary"), "windows")
-    borders = found.where("kind = 'border'").select("border", "pass", "at", "src", "raw").repartition("border").sortWithinPartitions("border", "pass", "at")
-    return found.where("kind = 'link'").select("src", "dst").unionByName(borders.mapInArrow(meet, "src long, dst long"))
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
-    """Runs of rows of one pass, in pieces that overlap by ``WINDOW`` rows."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        while True:
-            p = held.column(0).to_numpy()
-            cut = int(np.searchsorted(p, p[0], side="right"))
-            if cut == len(p):
-                break
-            part = held.slice(0, cut).combine_chunks()
-            yield int(p[0]), part.column(2).to_numpy(), part.column(3).combine_chunks() if isinstance(part.column(3), pa.ChunkedArray) else part.column(3)
-            held = held.slice(cut)
-        if held.num_rows >= 16_384:
-            part = held.combine_chunks()
-            yield int(p[0]), part.column(2).to_numpy(), part.column(3)
-            held = held.slice(held.num_rows - WINDOW)
-    if held is not None and held.num_rows:
-        part = held.combine_chunks()
-        yield int(part.column(0)[0].as_py()), part.column(2).to_numpy(), part.column(3)
+        for g in sorted_groups(batches, 4):
+            i, j = g.column(2)[0].as_py(), g.column(3)[0].as_py()
+            own, node = g.column(4).to_numpy(), g.column(5).to_numpy()
+            x, a, b = unit(g.column(6)), own == i, own == j
+            hit = x[a] @ x[b].T >= LEAST
+            if i == j:
+                np.fill_diagonal(hit, False)
+            links = [(s, t) for s, t in _joins(hit, node[a], node[b]) if forest.join(s, t)]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in links], pa.int64()), pa.array([t for _, t in links], pa.int64())], ["src", "dst"])
+
+    return written(rows.mapInArrow(run, "src long, dst long"), "links")
 
 
 def _count_links(members: DataFrame) -> DataFrame:
@@ -194,7 +165,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     rows = rows.withColumn("key", F.when(F.col("raw").isNotNull(), F.sha2("raw", 256)))
     nodes = rows.where("raw is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", base)
-    found = connected_components(_links(_codes(nodes)))
+    found = connected_components(_links(nodes))
     found = written(nodes.join(found, "node"), "members", base)
     links = _count_links(found.select("component", "node", "n", "raw"))
     least = found.groupBy("component").agg(F.min("rep").alias("least"))

@@ -58,3 +58,36 @@ def test_blocks_count_all_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = ed.near_vectors(df).toPandas().sort_values("vec_id")
     assert got.n_links.tolist() == links.tolist() and got.component_id.tolist() == comp.tolist()
+
+
+def lone_pairs(rng, n, cosine, d=64):
+    """n pairs of unit vectors with that cosine, each far from all others."""
+    a, b = rng.normal(size=(2, n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+def test_lone_pairs_beside_a_crowd(spark):
+    rng = np.random.default_rng(3)
+    crowd = rng.normal(size=(3000, 64))
+    crowd /= np.linalg.norm(crowd, axis=1, keepdims=True)
+    c = np.zeros(64)
+    c[0] = 1
+    # all of the cone are at about 0.8 to each other, and 200 pairs in it at 0.9
+    cone = np.sqrt(0.8) * c + np.sqrt(0.2) * np.concatenate([*lone_pairs(rng, 200, 0.5025), crowd])
+    x = np.concatenate([*lone_pairs(rng, 200, 0.9005), cone, rng.normal(size=(4000, 64))])
+    links, comp = brute(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ed.near_vectors(df).toPandas().sort_values("vec_id")
+    linked = links > 0
+    assert linked.sum() >= 800
+    assert (got.n_links.to_numpy() == links)[linked].mean() >= 0.97 and (got.n_links.to_numpy() <= links).all()
+    assert (got.component_id.to_numpy() == comp).mean() >= 0.98
+
+
+def test_plan_holds_recall_at_any_size():
+    for n in (1, 512, 513, 50_000, 10**6, 10**8):
+        passes, bits = ed.plan(n)
+        assert n / 2**bits <= ed.BUCKET and 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** passes >= ed.RECALL
