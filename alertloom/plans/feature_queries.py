@@ -148,7 +148,7 @@ def k9_agreement(spark, d):
 
 @query()
 def k1_auto_correlation(spark, d):
-    return de.correlate_auto(alerts(spark, d).where("alert_idx < 500"), ROLES, 0.5, lambda df: df.select("alert_idx", F.col("user_id").alias("cluster"))).select("alert_idx", "pred_cluster", "correlation_method")
+    return de.correlate_auto(alerts(spark, d), ROLES, 0.5, lambda df: df.select("alert_idx", F.col("user_id").alias("cluster"))).select("alert_idx", "pred_cluster", "correlation_method")
 
 
 @query()
