@@ -2,34 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.plans.stage import released, shared_dir, written  # noqa: F401
+from alertloom.plans.stage import cleared, made, released, removed, shared_dir, written  # noqa: F401
 
+#: Bytes of a block of rows that are compared with each other.
+GROUP_BYTES = 16 << 20
 #: Bytes of text that one vectorised block holds (a longer single text is a block of its own).
 BLOCK_BYTES = 1 << 20
 
 
+#: Spark's own bound on the bytes of an Arrow batch, and the one that sessions get which haven't chosen another.
+_WIDE, BATCH_BYTES = "67108864b", 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Bound the session's Arrow batches by bytes: both ends of a worker's pipe hold one, whatever the length of texts."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _WIDE) == _WIDE:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, which gives memory back to the system when a task ends; workers that wait for their next task then hold little."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library isn't glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
+def by_place(df: DataFrame, *wanted: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """``df`` with columns named _c0, _c1, ... in order, and which of these the wanted ones are; so names can't clash."""
+    cols = bounded(df).columns
+    return df.toDF(*[f"_c{i}" for i in range(len(cols))]), tuple(f"_c{cols.index(w)}" for w in wanted)
+
+
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """Select ``new=old`` by exact, positional match, so columns that differ only in case (or repeat) don't clash."""
-    cols = df.columns
+    cols = bounded(df).columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(cols))])
     return plain.select(*[F.col(f"_c{cols.index(old)}").alias(new) for new, old in names.items()])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def counted(plain: DataFrame, text: str, names: list[str]) -> DataFrame:
+    """Columns by place (``names`` has their own names) with ``n_chars``, where there is one, counted again."""
+    if "n_chars" not in names:
+        return plain
+    return plain.withColumn(f"_c{names.index('n_chars')}", F.length(F.coalesce(text, F.lit(""))).cast("long"))
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate results in the shared store."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -52,11 +89,14 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
         yield pa.concat_tables(held) if len(held) > 1 else held[0]
 
 
-def block_tasks(rows: DataFrame, group: str, node: str, size: Column, block: int) -> DataFrame:
-    """Deal each group of ``size`` rows out to pairs of blocks of about ``block`` rows: columns ``i`` <= ``j`` (the pair) and
-    ``own`` (the row's block). A row goes to one pair for each block of its group, so any two rows meet in just one pair,
+def block_count(size: Column, weight: Column, block: int) -> Column:
+    """Blocks that a group of ``size`` rows and ``weight`` bytes needs, of about ``block`` rows and ``GROUP_BYTES`` at most."""
+    return F.ceil(F.greatest(size / F.lit(block), weight / F.lit(GROUP_BYTES))).cast("int")
+
+
+def block_tasks(rows: DataFrame, node: str, n: Column) -> DataFrame:
+    """Deal each group out to pairs of its ``n`` blocks: columns ``i`` <= ``j`` (the pair) and ``own`` (the row's block). A row goes to one pair for each block of its group, so any two rows meet in just one pair,
     except rows of one block, which meet in the pair (i, i) as well as in others."""
-    n = F.ceil(size / F.lit(block)).cast("int")
     with_own = rows.withColumn("_n", n).withColumn("own", F.pmod(F.xxhash64(F.col(node)), F.col("_n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o")
     out = with_own.select("*", other)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .frames import pick
+from .frames import lean, pick
 from .textops import blocks
 from .wordpiece import crc32, default_path, encoder
 
@@ -111,4 +111,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         if streams:
             yield flush()
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}" + ", ids array<int>" * with_ids)
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}" + ", ids array<int>" * with_ids)

@@ -16,12 +16,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import pick, released, written
+from .frames import by_place, counted, lean, pick, released, written
 from .textops import U64, Block, blocks, mix, powers, ragged, strings
 
 LENGTH, GRAM = 100, 24
@@ -92,7 +91,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if n:
             yield flush()
 
-    return docs.select("uid", "text").mapInArrow(run, "key long, known boolean, uid long, at int")
+    return docs.select("uid", "text").mapInArrow(lean(run), "key long, known boolean, uid long, at int")
 
 
 _PARTS = "uid long, key long, lo int, hi int, body binary"
@@ -148,7 +147,7 @@ def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return joined.mapInArrow(run, _PARTS)
+    return joined.mapInArrow(lean(run), _PARTS)
 
 
 def suffix_order(data: np.ndarray, need: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -331,16 +330,16 @@ def _later(contexts: DataFrame) -> DataFrame:
             yield got
 
     sorted_ = contexts.select("uid", "key", "lo", "body").repartition("key").sortWithinPartitions("key", "uid", "lo")
-    return sorted_.mapInArrow(run, "uid long, lo int, hi int")
+    return sorted_.mapInArrow(lean(run), "uid long, lo int, hi int")
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` with ``uid``, a unique number in order of doc_id: the id itself, or where ids repeat or are null, a new one
-    (nulls first, equal ids by text). The flag tells which."""
-    ids = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    if not ids:
-        return docs.withColumn("uid", F.col("doc_id").cast("long")), True
-    fixed = written(docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), "numbered")
+def _keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """``docs`` with ``uid``, a unique number in order of doc_id: the id itself, or where ids repeat, are null or aren't
+    integers, a new one (nulls first, equal ids by text). The flag tells which."""
+    whole = docs.schema[doc_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    if whole and not docs.groupBy(doc_id).count().where(F.col("count").__gt__(1) | F.col(doc_id).isNull()).limit(1).count():
+        return docs.withColumn("uid", F.col(doc_id).cast("long")), True
+    fixed = written(docs.repartitionByRange(doc_id, text).sortWithinPartitions(doc_id, text).withColumn("uid", F.monotonically_increasing_id()), "numbered")
     return fixed, False
 
 
@@ -396,7 +395,7 @@ def _cut(joined: DataFrame) -> DataFrame:
                 shas.append(hashlib.sha256(text.tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string())], ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(lean(run), "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _outside(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -420,26 +419,33 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` (the columns of documents; others stay) with ``text`` cut as in ``remove_repeats`` and ``n_chars`` counted again.
+    """``docs`` (all columns) with ``text`` cut as in ``remove_repeats`` and ``n_chars`` counted again.
 
-    A character that a removed range cuts in two goes as a whole.
+    A character that a removed range cuts in two goes as a whole. Null texts stay null; rows with a null or repeated doc_id are
+    documents of their own (nulls first, equal ids by text, of equal rows one keeps its text); texts of any length are
+    cut as wholes; other columns, whatever their names, are carried through; an empty table gives none.
     """
-    keyed, _ = _keyed(docs)
-    ranges = _ranges(keyed)
-
-    def left(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        out = []
-        for t, a, z in zip(text, lo, hi, strict=True):
-            if t is not None and a is not None:
-                data = np.frombuffer(t.encode(), dtype=np.uint8)
-                s, e = _spans(np.asarray(a, dtype=np.int64), np.asarray(z, dtype=np.int64) + LENGTH)
-                t = data[_outside(len(data), s, e)].tobytes().decode("utf-8", "ignore")
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    cut = F.pandas_udf(left, "string")
-    joined = keyed.join(ranges, "uid", "left")
-    joined = joined.withColumn("text", F.when(F.col("ranges").isNull(), F.col("text")).otherwise(cut("text", F.col("ranges.lo"), F.col("ranges.hi"))))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    return joined.select(*docs.columns)
+    plain, (doc_id, text) = by_place(docs, "doc_id", "text")
+    keyed, _ = _keyed(plain, doc_id, text)
+    ranges = _ranges(keyed.select("uid", F.col(text).alias("text")))
+
+    at, gaps = plain.columns.index(text), len(plain.columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(gaps)
+            rows = np.flatnonzero(np.array(lists.is_valid()) & np.array(batch.column(at).is_valid()))
+            if len(rows):
+                raw, off = strings(batch.column(at))
+                ends, flat = lists.offsets.to_numpy(), lists.values
+                lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+                new = batch.column(at).to_pylist()
+                for i in rows.tolist():
+                    data = raw[off[i] : off[i + 1]]
+                    s, e = _spans(lo[ends[i] : ends[i + 1]], hi[ends[i] : ends[i + 1]] + LENGTH)
+                    new[i] = data[_outside(len(data), s, e)].tobytes().decode("utf-8", "ignore")
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            yield batch.select(range(gaps))
+
+    joined = keyed.join(ranges, "uid", "left").select(*plain.columns, "ranges").mapInArrow(lean(cut), plain.schema)
+    return counted(joined, text, docs.columns).toDF(*docs.columns)

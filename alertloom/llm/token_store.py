@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import pick
+from .frames import lean, pick
 from .textops import U64, blocks, mix, strings
 from .wordpiece import crc32, default_path, encoder
 
@@ -146,7 +146,7 @@ def _cut(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     ["key", "kind", "body", "doc_id", "n", "recipe"],
                 )
 
-    return src.mapInArrow(run, "key binary, kind string, body binary, doc_id long, n long, recipe binary")
+    return src.mapInArrow(lean(run), "key binary, kind string, body binary, doc_id long, n long, recipe binary")
 
 
 def _once(cut: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _once(cut: DataFrame) -> DataFrame:
             last = keys[-1] if keys else last
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return cut.repartition("key").sortWithinPartitions("key").mapInArrow(run, cut.schema)
+    return cut.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), cut.schema)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -187,7 +187,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             )
             row, total = row + k, total + int(n.sum())
 
-    ordered.mapInArrow(numbered, "part int, row long, doc_id long, n_tokens long, start_in_part long, recipe binary, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    ordered.mapInArrow(lean(numbered), "part int, row long, doc_id long, n_tokens long, start_in_part long, recipe binary, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -198,7 +198,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             own.sort()
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "documents": [len(own)], "tokens": [sum(x[1] for x in own)], "root": pa.array([merkle([x[2] for x in own])], pa.binary())})
 
-    parts = spark.read.parquet(f"{path}/recipes").select("part", "row", "n_tokens", "root").repartition("part").mapInArrow(roots, "part int, documents long, tokens long, root binary").orderBy("part").collect()  # a row for each recipe file
+    parts = spark.read.parquet(f"{path}/recipes").select("part", "row", "n_tokens", "root").repartition("part").mapInArrow(lean(roots), "part int, documents long, tokens long, root binary").orderBy("part").collect()  # a row for each recipe file
     before, lines = 0, []
     for p in parts:
         lines.append((p.part, p.documents, p.tokens, before, bytes(p.root), merkle([bytes(x.root) for x in parts])))
@@ -231,7 +231,7 @@ def _references(recipes: DataFrame) -> DataFrame:
             idx = pa.array(np.repeat(np.arange(len(n)), n))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(idx), batch.column(1).take(idx), pa.array(seq, pa.int32()), keys], ["part", "row", "seq", "key"])
 
-    return recipes.select("part", "row", "recipe").mapInArrow(run, "part int, row long, seq int, key binary")
+    return recipes.select("part", "row", "recipe").mapInArrow(lean(run), "part int, row long, seq int, key binary")
 
 
 def _facts(chunks: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def _facts(chunks: DataFrame) -> DataFrame:
                 n.append(len(ids)), crc.append(crc32(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good, pa.bool_()), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["key", "good", "n", "crc"])
 
-    return chunks.select("key", "body", "n").mapInArrow(run, "key binary, good boolean, n int, crc long")
+    return chunks.select("key", "body", "n").mapInArrow(lean(run), "key binary, good boolean, n int, crc long")
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
@@ -283,7 +283,7 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
                 good.append(all(c_good[a:b]) and merkle(c_key[a:b]) == root)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.array(good, dtype=bool) & (np.array(n) == batch.column(2).to_numpy()))], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
-    return lines.select("doc_id", "start", "n_tokens", "root", "chunks").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    return lines.select("doc_id", "start", "n_tokens", "root", "chunks").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -298,4 +298,4 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     lines = recipes.select("part", "row", "doc_id", "start").join(own, ["part", "row"])
-    return lines.select("doc_id", "start", "chunks").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return lines.select("doc_id", "start", "chunks").mapInArrow(lean(run), "doc_id long, start long, ids array<int>")

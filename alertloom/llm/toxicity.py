@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import pick, written
+from .frames import bounded, lean, pick, written
 from .textops import U64, Block, blocks, mix, shingles
 
 #: Labelled rows that weights and calibration are fitted on at most, those with the smallest hash of their id.
@@ -175,7 +175,7 @@ def _without_copies(rows: DataFrame) -> DataFrame:
                     first.append(pa.array(np.where(np.diff(at) > 0, m, U64(0)).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(b.first_row, b.rows) for i in range(3)), *first], ["doc_id", "text", "toxic", "m0", "m1"])
 
-    found = written(rows.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic")).mapInArrow(least, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, toxic int, m0 long, m1 long"), "fit")
+    found = written(rows.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic")).mapInArrow(lean(least), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, toxic int, m0 long, m1 long"), "fit")
     for m in ("m0", "m1"):
         found = found.withColumn("n", F.row_number().over(Window.partitionBy(m).orderBy("doc_id", "text"))).where("n = 1")
     return written(found.select("doc_id", "text", "toxic"), "distinct")
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(2).to_numpy().astype(np.int64)
-            for b in blocks(batch.column(1), 4 << 20):
+            for b in blocks(batch.column(1)):
                 hashes, at = tokens(b)
                 row = np.repeat(np.arange(b.rows), np.diff(at))
                 own = toxic[b.first_row : b.first_row + b.rows]
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     if not sizes.get(0) or not sizes.get(1):
         return None
     n0, n1 = sizes[0], sizes[1]
-    seen = distinct.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic")).mapInArrow(count, "key long, text long, toxic int")
+    seen = distinct.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic")).mapInArrow(lean(count), "key long, text long, toxic int")
     table = seen.groupBy("key").agg(F.sum("toxic").cast("double").alias("y1"), F.count("*").cast("double").alias("y"))
     table = written(table, "counts")
     all_words, n_words = table.agg(F.sum(F.col("y") - F.col("y1")), F.count(F.when(F.col("y") >= 3, 1))).first()
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
                 best, total = _evidence(model, b)
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(b.first_row, b.rows), pa.array(best), pa.array(total)], ["toxic", "best", "total"])
 
-    got = distinct.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic")).mapInArrow(measure, "toxic int, best double, total double").toPandas()
+    got = distinct.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic")).mapInArrow(lean(measure), "toxic int, best double, total double").toPandas()
     x = np.stack([np.ones(len(got)), np.log1p(got["best"] + got["total"])], axis=1)
     model.weights = _logistic(x, got["toxic"].to_numpy(dtype=np.float64))
     return model
@@ -272,14 +272,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
                 p = model.probability(best, total) if model is not None else best
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first_row, b.rows), pa.array(p), pa.array((p >= CUT).astype(np.int32)), pa.array(found, pa.list_(item))], ["doc_id", "score", "predicted", "segments"])
 
-    out = src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double, predicted int, segments array<struct<first:int,after:int,score:double>>")
+    out = src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double, predicted int, segments array<struct<first:int,after:int,score:double>>")
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"), "score", "predicted", "segments")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``docs`` (all columns) without the rows that ``score_toxicity`` predicts to be toxic.
 
-    Rows are judged where they are read, without a join, so null and repeated ids make no difference.
+    Rows are judged where they are read, without a join, so null and repeated ids make no difference; null and empty texts stay,
+    texts of any length are judged whole, and other columns, whatever their names, are carried through. An empty table gives none;
+    without labelled rows of both classes every row stays.
     """
     model = fit(pick(docs, doc_id="doc_id", text="text"), labels, fit_rows)
     if model is None:
@@ -293,4 +295,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(lean(run), docs.schema)

@@ -1,7 +1,8 @@
 import pandas as pd
 
 import corpus_pipeline
-from alertloom.llm import secret_net, shingle_join, toxicity
+from alertloom.llm import secret_net, shingle_join, suffix_dedup, toxicity
+from alertloom.plans.stage import written
 from tests.llm.test_join import brute as near
 from tests.llm.test_spans import brute_secrets
 from tests.llm.test_suffix import brute as repeats
@@ -47,15 +48,55 @@ def test_stages_against_brute_force(spark, tmp_path, small):
     assert set(steps[4].doc_id) == set(by)
 
 
+def test_run_gives_what_the_stages_give(spark, small):
+    got = corpus_pipeline.run(spark, small).toPandas()
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, f in corpus_pipeline.STAGES:
+        docs = written(f(spark, docs, small), "stage")
+    want = docs.toPandas()
+    names = list(want.columns)
+    assert got[names].sort_values(names).values.tolist() == want.sort_values(names).values.tolist()
+
+
+def clashing(spark):
+    """Odd texts and names that differ in case or are those that operators use inside."""
+    names = "doc_id long, text string, TEXT string, kind string, n long, uid long, ranges long, lo long, digest long, node long, n_chars long"
+    rows = [(*r, 7, 8, 9, 10, 11, 12) for r in odd_documents(spark).collect()]
+    long = "one word of many, " * 300_000  # over 5 MB
+    rows += [(900, long, "x", "y", None, 7, 8, 9, 10, 11, 12), (901, "token: abcdefghij0123456789 " + "zebra " * 60, "x", "y", None, 7, 8, 9, 10, 11, 12)]
+    return spark.createDataFrame(rows, names).repartition(3), rows
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    docs = odd_documents(spark)
-    assert toxicity.without_toxic(docs, labels).count() == docs.count()
-    out = secret_net.without_secrets(docs.select("doc_id", "kind", "n").withColumnRenamed("kind", "text"))
-    assert out.count() == docs.count()
+    docs, rows = clashing(spark)
+    rest = lambda r: tuple(r[2:10])
+    key = lambda r: tuple(map(repr, r))
+    same = toxicity.without_toxic(docs, labels).collect()
+    assert sorted(map(key, same)) == sorted(map(key, rows))
+    masked = secret_net.without_secrets(docs)
+    assert masked.columns == docs.columns
+    by = {r[0]: r for r in masked.collect()}
+    assert by[901][1].startswith("[secret] zebra") and by[901][10] == len(by[901][1]) and by[900][1] == rows[-2][1] and by[0][1] is None
+    assert sorted(repr(rest(r)) for r in by.values() if r[0] in (900, 901)) == [repr(rest(rows[-1]))] * 2
+    once = shingle_join.without_near_texts(docs)
+    kept = once.collect()
+    assert once.columns == docs.columns and len(kept) < len(rows) and {r[0] for r in kept} >= {900, 901}
+    assert all(rest(r) == ("x", "y", None, 7, 8, 9, 10, 11) for r in kept)
+    cut = suffix_dedup.without_repeats(docs)
+    got = cut.collect()
+    assert cut.columns == docs.columns and len(got) == len(rows) and all(rest(r) == ("x", "y", None, 7, 8, 9, 10, 11) for r in got)
+    texts = {r[0]: r[1] for r in got}
+    assert len(texts[900]) < 200 and texts[900] == rows[-2][1][: len(texts[900])] and texts[0] is None
     empty = empty_documents(spark)
-    assert toxicity.without_toxic(empty, labels).count() == 0 and secret_net.without_secrets(empty).count() == 0
-    assert shingle_join.without_near_texts(empty).count() == 0
+    for f in (secret_net.without_secrets, shingle_join.without_near_texts, suffix_dedup.without_repeats, lambda d: toxicity.without_toxic(d, labels)):
+        assert f(empty).count() == 0 and f(empty).columns == empty.columns
+
+
+def test_packing_takes_odd_rows(spark):
+    docs, rows = clashing(spark)
+    got = corpus_pipeline.pack(spark, docs, "").select("doc_id", "start", "length", "doc_tokens").toPandas()
+    assert got.length.sum() == got[got.start == 0].doc_tokens.sum() and len(got[got.start == 0]) == len(rows)
 
 
 def test_mask_joins_overlaps():
