@@ -3,7 +3,7 @@
 Method: one Aho-Corasick pass finds anchors (at-signs, schemes, digit cues and identifier words); at each, a deterministic local parser
 expands to the boundaries of an email, address, card, phone or account number and validates it. Base kinds follow their
 grammars exactly, leftmost and without overlap in a kind; ``url`` (a scheme with credentials or a mail address) and
-``account`` (an identifier word with a number of six digits or more) add to them.
+``account`` (an identifier word with a number of six digits or more, of 34 characters at most) add to them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import pick
+from .frames import lean, pick
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
@@ -28,7 +28,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[!#-;=?-~]*")
-_ACCOUNT = re.compile(r"[\x20:#=.]*(?:(?:no|number|nr)[\x20:#=.]*)?([A-Za-z0-9](?:[\x20-]?[A-Za-z0-9])*)", re.IGNORECASE | re.ASCII)
+#: An account number has ``ACCOUNT_MOST`` letters and digits at most, as the longest kind (IBAN).
+ACCOUNT_MOST = 34
+_ACCOUNT = re.compile(r"[\x20:#=.]{0,8}(?:(?:no|number|nr)[\x20:#=.]{0,8})?([A-Za-z0-9](?:[\x20-]?[A-Za-z0-9]){0,33})(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
 
 _automaton = None
 
@@ -140,7 +142,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     rows.append([(k, a, z, k in BASE_KINDS) for k, spans in find(t).items() for a, z in sorted(spans)] if t else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in r] for r in rows], pa.list_(item))], ["doc_id", "spans"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
 
 
 def joined(spans: Column) -> Column:
