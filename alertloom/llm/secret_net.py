@@ -1,30 +1,32 @@
 """Secrets: exact base rules, and a character convolutional network over every candidate with its context.
 
-Candidates are the base findings (``assign``, ``access``, ``hex``) and long mixed tokens. The network (embedding, one convolution,
-maximum over places, logistic output, all in numpy) is trained on labelled findings: base findings of a bounded sample of
-documents and generated credentials as positives, other tokens of the sample as negatives. It reads a candidate in windows that
-overlap, each with what stands before and after it, and a candidate scores as its highest window. The output is calibrated on a
-held-out part, where the threshold is set to the highest that still finds ``RECALL`` of the positives. Base findings always
-stay; mixed tokens that pass the threshold are added as kind ``token``.
+Candidates are the base findings (``assign``, ``access``, ``hex``) and, by anchors far wider than these, private key blocks (``pem``),
+addresses with credentials (``login``), values assigned to any name (``value``) and long mixed tokens (``token``). The network
+(embedding, one convolution, maximum over places, logistic output, all in numpy) is trained on labelled findings: base findings
+of a bounded sample of documents and generated credentials as positives; generated look-alikes, and candidates of the
+sample that are made of words, as negatives. Candidates of the sample that may be either are not learned from, so what no
+rule finds is not taught to be harmless. It reads a candidate in windows that overlap, each with what stands before and after
+it, and a candidate scores as its highest window. The output is calibrated on a held-out part, where the threshold is set to the
+highest that still finds ``RECALL`` of the positives. Base findings always stay; other candidates that pass it are added.
 """
 
 from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import pick
+from .frames import by_place, counted, lean, pick
 from .textops import Block, blocks
 
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "token")
+KINDS = (*BASE_KINDS, "pem", "login", "value", "token")
 #: Documents (those with the smallest hash of their id) and candidates of these that the network is fitted on at most.
 FIT_DOCS, FIT_CANDIDATES = 2000, 6000
 RECALL = 0.97
@@ -36,14 +38,25 @@ FIT_WINDOWS = 16
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9\x20]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z0-9\x20]*PRIVATE KEY-----)?")
+_LOGIN = re.compile(r"""://[^\s/:@"'<>]{0,64}:([^\s/@"'<>]+)@""")
+_VALUE = re.compile(r"""[A-Za-z0-9_\])]["']?\x20?[:=]\x20?["']?((?!//)[^\s"'`,;<>=:(){}\[\]]{8,})""")
+_MIXED = re.compile(r"[0-9!@#$%^&*~?+]")
+_WORD_RUN = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}")
 
 _is_hex = np.zeros(256, dtype=bool)
 _is_hex[list(b"0123456789abcdef")] = True
 _is_token = np.zeros(256, dtype=bool)
-_is_token[list((string.ascii_letters + string.digits + "+/_=-").encode())] = True
+_is_token[list((string.ascii_letters + string.digits + "+/_=.~-").encode())] = True
+_is_value = np.ones(256, dtype=bool)
+_is_value[[*range(0x09, 0x0E), *b" \"'`,;<>=:(){}[]"]] = False
+_is_mixed = np.zeros(256, dtype=bool)
+_is_mixed[list(b"0123456789!@#$%^&*~?+")] = True
 _is_digit = np.zeros(256, dtype=bool)
 _is_digit[list(b"0123456789")] = True
+_is_upper = np.zeros(256, dtype=bool)
+_is_upper[0x41:0x5B] = True
 _KEYS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 _lower = np.arange(256, dtype=np.uint8)
 _lower[0x41:0x5B] += 32
@@ -57,16 +70,37 @@ def find_base(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def mixed_token(token: str) -> bool:
+    """Letters with digits, or letters that change case again and again."""
+    if not any(c.isalpha() for c in token):
+        return False
+    return any("0" <= c <= "9" for c in token) or sum(a.islower() and b.isupper() for a, b in zip(token, token[1:], strict=False)) >= 4
+
+
+def wordlike(token: str) -> bool:
+    """Whether half of it and more are runs of letters as words have them, with vowels and consonants."""
+    runs = [w.lower() for w in _WORD_RUN.findall(token)]
+    return 2 * sum(len(w) for w in runs if 0.2 <= sum(c in "aeiouy" for c in w) / len(w) <= 0.7) >= len(token)
+
+
 def find_candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Base findings, and mixed tokens (letters and digits) that overlap none of them."""
-    out, k = list(base), 0
+    """Base findings, and what the wider anchors find that overlaps none of them (but for ``pem``) nor, of these,
+    any of a kind named before."""
+    more = [(*m.span(), "pem") for m in _PEM.finditer(text)] if "-----BEGIN" in text else []
+    more += [(*m.span(1), "login") for m in _LOGIN.finditer(text)] if "://" in text else []
+    more += [(*m.span(1), "value") for m in _VALUE.finditer(text) if _MIXED.search(m[1]) and any(c.isalpha() for c in m[1])]
     for m in _TOKEN.finditer(text):
-        a, z = m.span()
-        s = m.group()
-        if not any("0" <= c <= "9" for c in s) or not any(c.isalpha() for c in s):
-            continue
-        if not any(x < z and a < y for x, y, _ in base):
-            out.append((a, z, "token"))
+        a, z = m.start(), m.start() + len(m[0].rstrip("."))
+        if z - a >= 16 and mixed_token(text[a:z]):
+            more.append((a, z, "token"))
+    taken = sorted((a, z) for a, z, _ in base)
+    out = list(base)
+    for a, z, kind in more:
+        at = bisect_left(taken, (z, 0))
+        # those taken may overlap only where base findings do; the few before are enough, as they are sorted by start
+        if kind == "pem" or all(y <= a for _, y in taken[max(0, at - 4) : at]):
+            out.append((a, z, kind))
+            insort(taken, (a, z))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -74,28 +108,36 @@ def suspects(block: Block) -> np.ndarray:
     """Rows that may hold a candidate; all others hold none."""
     data, off = block.data, block.offsets
     hit = np.zeros(block.rows, dtype=bool)
-
-    def runs(flags: np.ndarray, least: int, with_digit: bool) -> None:
-        edge = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
-        a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    borders = off[1:-1]
+    borders = borders[(borders > 0) & (borders < len(data))]
+
+    def runs(flags: np.ndarray, least: int, marks: tuple[tuple[np.ndarray, int], ...] = (), after: bool = False) -> None:
+        """Rows with a run of flagged bytes that holds one of ``marks`` often enough, and stands ``after`` a colon or equals sign."""
+        first, last = flags.copy(), flags.copy()
+        first[1:] &= ~flags[:-1]
+        last[:-1] &= ~flags[1:]
+        first[borders], last[borders - 1] = flags[borders], flags[borders - 1]  # a run ends where its text does
+        a, z = np.flatnonzero(first), np.flatnonzero(last) + 1
         keep = z - a >= least
         a, z = a[keep], z[keep]
-        if with_digit and len(a):
-            sums = np.concatenate([[0], np.cumsum(_is_digit[data])])
-            keep = sums[z] > sums[a]
+        if after and len(a):
+            near = data[np.maximum(a[:, None] - np.arange(1, 4), 0)]
+            keep = ((near == 0x3A) | (near == 0x3D)).any(axis=1)
+            a, z = a[keep], z[keep]
+        if marks and len(a):
+            keep = np.zeros(len(a), dtype=bool)
+            for mark, least_marks in marks:
+                sums = np.concatenate([[0], np.cumsum(mark[data])])
+                keep |= sums[z] - sums[a] >= least_marks
             a, z = a[keep], z[keep]
-        first = np.searchsorted(off, a, side="right") - 1
-        last = np.searchsorted(off, z - 1, side="right") - 1
-        hit[first] = True
-        hit[last] = True
-        for i in np.flatnonzero(last > first + 1).tolist():
-            hit[first[i] : last[i]] = True
-
-    runs(_is_hex[data], 16, False)
-    runs(_is_token[data], 16, True)
+        hit[np.searchsorted(off, a, side="right") - 1] = True
+
+    runs(_is_hex[data], 16)
+    runs(_is_token[data], 16, ((_is_digit, 1), (_is_upper, 4)))
+    runs(_is_value[data], 8, ((_is_mixed, 1),), after=True)
     low = _lower[data].tobytes()
     raw = data.tobytes()
-    for key, where in (*((k, low) for k in _KEYS), (b"AKIA", raw)):
+    for key, where in (*((k, low) for k in _KEYS), (b"AKIA", raw), (b"-----BEGIN", raw), (b"://", raw)):
         at = where.find(key)
         while at >= 0:
             row = int(np.searchsorted(off, at, side="right")) - 1
@@ -186,32 +228,86 @@ class Net:
             self.threshold = float(positive[int(np.floor((1 - recall) * len(positive)))])
 
 
-def generated(rng: np.random.Generator, n: int) -> list[tuple[str, int, int]]:
+_ALNUM = string.ascii_letters + string.digits
+#: Shapes of credentials: what they begin with, their alphabet, least and largest length of the rest.
+SHAPES = (
+    ("AKIA", string.ascii_uppercase + string.digits, 16, 16), ("", "0123456789abcdef", 32, 64), ("ghp_", _ALNUM, 36, 36), ("sk-", _ALNUM, 40, 48),
+    ("sk-", string.ascii_letters, 24, 40), ("", _ALNUM + "+/", 40, 44), ("xoxb-", _ALNUM + "-", 28, 40), ("AIza", _ALNUM + "-_", 35, 35),
+    ("", _ALNUM, 20, 32), ("eyJ", _ALNUM + "-_.", 60, 120),
+)
+FRONTS = ("key ", "token ", "auth=", "Bearer ", "credential: ", "use ", "id ", "the ", "secret is ", "", "access_key: ", 'client_secret = "', "x-api-key: ", "(", "export KEY=")
+#: Names that passwords are assigned to, and that other values are.
+SECRET_NAMES = ("pwd=", "db_pass: ", "passphrase = '", "PASS=", "login_pw: ", "pin=", "credential=", "auth: ", "smtp_password2 = ", "userpass=")
+PLAIN_NAMES = ("name=", "title: ", "version=", "date: ", "file=", "size: ", "order: ", "serial=", "item: ", "email: ", "page=", "at: ", "see: ", "part=", "ref: ")
+_WORDS = ("report", "section", "chapter", "figure", "version", "release", "item", "table", "appendix", "volume", "winter", "garden", "letter", "market", "window", "silver")
+
+
+def _drawn(rng: np.random.Generator, alphabet: str, n: int) -> str:
+    return "".join(alphabet[i] for i in rng.integers(len(alphabet), size=n))
+
+
+def generated(rng: np.random.Generator, n: int, shapes: tuple = SHAPES) -> list[tuple[str, int, int]]:
     """Credentials of usual shapes in usual contexts: (text, start, end)."""
-    shapes = (("AKIA", string.ascii_uppercase + string.digits, 16), ("", "0123456789abcdef", 32), ("ghp_", string.ascii_letters + string.digits, 36), ("sk-", string.ascii_letters + string.digits, 40), ("", string.ascii_letters + string.digits + "+/", 40), ("xoxb-", string.digits + string.ascii_letters, 28))
-    fronts = ("key ", "token ", "auth=", "Bearer ", "credential: ", "use ", "id ", "the ", "secret is ", "")
     out = []
     for _ in range(n):
-        head, alphabet, size = shapes[rng.integers(len(shapes))]
-        body = head + "".join(alphabet[i] for i in rng.integers(len(alphabet), size=size))
-        front = fronts[rng.integers(len(fronts))]
+        head, alphabet, least, most = shapes[rng.integers(len(shapes))]
+        body, front = head + _drawn(rng, alphabet, int(rng.integers(least, most + 1))), FRONTS[rng.integers(len(FRONTS))]
         out.append((front + body + _tail(rng), len(front), len(front) + len(body)))
     return out
 
 
+def passwords(rng: np.random.Generator, n: int) -> list[tuple[str, int, int]]:
+    """Passwords in assignments and addresses, and private key blocks: (text, start, end)."""
+    out = []
+    for _ in range(n):
+        k = rng.integers(8)
+        if k == 0:
+            kind = ("", "RSA ", "EC ", "OPENSSH ")[rng.integers(4)]
+            lines = "\n".join(_drawn(rng, _ALNUM + "+/", 64) for _ in range(int(rng.integers(2, 8))))
+            front, body, tail = "", f"-----BEGIN {kind}PRIVATE KEY-----\n{lines}\n-----END {kind}PRIVATE KEY-----", "\n"
+        else:
+            word = _WORDS[rng.integers(len(_WORDS))]
+            forms = (word.capitalize() + str(rng.integers(10, 9999)) + _drawn(rng, "!@#$%&*?", 1), _drawn(rng, _ALNUM + "!@#$%^&*", int(rng.integers(8, 20))), word + _drawn(rng, "!@#$%", 1) + _drawn(rng, _ALNUM, 4))
+            body = forms[rng.integers(3)].replace("@", "!") if k <= 2 else forms[rng.integers(3)]
+            body += "7x!q"[: max(0, 8 - len(body))]
+            if not _MIXED.search(body):
+                body += "7"
+            if k <= 2:
+                front, tail = f"{('postgres', 'mysql', 'https', 'redis', 'amqp')[rng.integers(5)]}://{word}:", f"@db{rng.integers(9)}.host.org/x"
+            else:
+                front, tail = SECRET_NAMES[rng.integers(len(SECRET_NAMES))], _tail(rng)
+        out.append((front + body + tail, len(front), len(front) + len(body)))
+    return out
+
+
 def _tail(rng: np.random.Generator) -> str:
     return ("", "", " ", ".", ", and so on", " then the next of these lines", "\nsee the rest of it", '" for all of them')[rng.integers(8)]
 
 
 def plain(rng: np.random.Generator, n: int) -> list[tuple[str, int, int]]:
-    """Long tokens that are no credentials: paths, numbered words, dates, identifiers of parts."""
-    words = ("report", "section", "chapter", "figure", "version", "release", "item", "table", "appendix", "volume")
+    """Long tokens that are no credentials: paths, numbered words, dates, identifiers of parts, hosts, placeholders."""
     out = []
     for _ in range(n):
-        w = [words[i] for i in rng.integers(len(words), size=3)]
-        k = rng.integers(5)
-        body = (f"{w[0]}/{w[1]}/{w[2]}-{rng.integers(99)}", f"{w[0]}_{w[1]}_{rng.integers(999)}", f"20{rng.integers(10, 30)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}_{w[0]}", f"{w[0]}-{w[1]}-{w[2]}-{rng.integers(10)}", f"{w[0]}{w[1]}{w[2]}{rng.integers(100)}")[k]
-        front = ("see ", "in ", "of the ", "at ", "")[rng.integers(5)]
+        w = [_WORDS[i] for i in rng.integers(len(_WORDS), size=3)]
+        k = rng.integers(8)
+        body = (
+            f"{w[0]}/{w[1]}/{w[2]}-{rng.integers(99)}", f"{w[0]}_{w[1]}_{rng.integers(999)}", f"20{rng.integers(10, 30)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}_{w[0]}", f"{w[0]}-{w[1]}-{w[2]}-{rng.integers(10)}",
+            f"{w[0]}{w[1]}{w[2]}{rng.integers(100)}", f"www.{w[0]}-{w[1]}.org/{w[2]}{rng.integers(100)}.html", f"{w[0].title()}{w[1].title()}{w[2].title()}V{rng.integers(1, 9)}", f"your_{w[0]}_key_here_{rng.integers(10)}",
+        )[k]
+        front = ("see ", "in ", "of the ", "at ", "", "token ", "key ")[rng.integers(7)]
+        out.append((front + body + _tail(rng), len(front), len(front) + len(body)))
+    return out
+
+
+def plain_values(rng: np.random.Generator, n: int) -> list[tuple[str, int, int]]:
+    """Values that are no credentials: numbered names, versions, dates, files, addresses, short serials."""
+    out = []
+    for _ in range(n):
+        w = [_WORDS[i] for i in rng.integers(len(_WORDS), size=2)]
+        a, b = rng.integers(1, 999, size=2)
+        body = (f"{w[0]}_{a}", f"v{a}.{b}-{w[0]}", f"20{a % 30:02d}-0{1 + b % 9}-1{a % 9}T10", f"{w[0]}{a}.txt", f"{w[0]}@{w[1]}.org", f"{w[0]}-{w[1]}-{a}", f"{w[0]}/{w[1]}{a}", f"{a}x{b}px{w[0]}", f"{w[0][:2].upper()}-{a:05d}-{b:03d}", f"${w[0].upper()}_{a}", f"{w[0]}+{w[1]}")[rng.integers(11)]
+        body += "-of-a1"[: max(0, 8 - len(body))]
+        front = PLAIN_NAMES[rng.integers(len(PLAIN_NAMES))]
         out.append((front + body + _tail(rng), len(front), len(front) + len(body)))
     return out
 
@@ -249,18 +345,20 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_candidates: int = FIT_CAN
                     text = b.text(i)
                     for a, z, kind in find_candidates(text, find_base(text)):
                         x = windows(text, a, z)
+                        if kind not in BASE_KINDS and not wordlike(text[a:z]):
+                            continue  # may be either
                         rows.append(x[np.unique(np.linspace(0, len(x) - 1, FIT_WINDOWS).astype(int))].tobytes())
-                        labels.append(int(kind != "token"))
+                        labels.append(int(kind in BASE_KINDS))
                         keys.append(f"{batch.column(0)[b.first_row + i]}:{a}:{kind}")
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(labels, pa.int32()), pa.array(keys, pa.string())], ["codes", "label", "name"])
 
-    got = some.mapInArrow(sample, "codes binary, label int, name string").orderBy(F.xxhash64("name"), "name").limit(fit_candidates).collect()
+    got = some.mapInArrow(lean(sample), "codes binary, label int, name string").orderBy(F.xxhash64("name"), "name").limit(fit_candidates).collect()
     rng = np.random.default_rng(seed)
     # candidates: windows, label, and labels of the windows (-1: not trained on); of a finding the first window counts
     x = [np.frombuffer(r.codes, dtype=np.uint8).reshape(-1, BEFORE + INSIDE + AFTER) for r in got]
     y = [r.label for r in got]
     each = [np.array([1] + [-1] * (len(w) - 1)) if label else np.zeros(len(w), dtype=int) for w, label in zip(x, y, strict=True)]
-    for source, label in ((generated, 1), (plain, 0)):
+    for source, label in ((generated, 1), (passwords, 1), (plain, 0), (plain_values, 0)):
         for text, a, z in source(rng, 800):
             x.append(windows(text, a, z))
             y.append(label)
@@ -282,7 +380,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_candidates: int = FIT_CAN
 
 
 def scored(net: Net, b: Block) -> Iterator[tuple[int, int, int, str, float]]:
-    """Row, start, end, kind and score of the base findings of a block, and of its tokens that pass the threshold."""
+    """Row, start, end, kind and score of the base findings of a block, and of its other candidates that pass the threshold."""
     found, codes = [], []
     for i in suspects(b).tolist():
         text = b.text(i)
@@ -291,7 +389,7 @@ def scored(net: Net, b: Block) -> Iterator[tuple[int, int, int, str, float]]:
             codes.append(windows(text, a, z))
     score = net.probability(np.concatenate(codes), [len(x) for x in codes]) if codes else np.zeros(0)
     for (i, a, z, kind), p in zip(found, score.tolist(), strict=True):
-        if kind != "token" or p >= net.threshold:
+        if kind in BASE_KINDS or p >= net.threshold:
             yield i, a, z, kind, p
 
 
@@ -310,10 +408,10 @@ def find_secrets(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
             for b in blocks(batch.column(1)):
                 rows: list[list[dict]] = [[] for _ in range(b.rows)]
                 for i, a, z, kind, p in scored(net, b):
-                    rows[i].append({"kind": kind, "start": a, "end": z, "base": kind != "token", "score": p})
+                    rows[i].append({"kind": kind, "start": a, "end": z, "base": kind in BASE_KINDS, "score": p})
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first_row, b.rows), pa.array(rows, pa.list_(item))], ["doc_id", "spans"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,base:boolean,score:double>>")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,base:boolean,score:double>>")
 
 
 MASK = "[secret]"
@@ -331,21 +429,27 @@ def mask(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_secrets(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """``docs`` (all columns) with the spans of ``find_secrets`` masked in ``text``, and ``n_chars`` counted again where it changed."""
+    """``docs`` (all columns) with the spans of ``find_secrets`` masked in ``text``, and ``n_chars`` counted again.
+
+    Rows are read once, in place, so null and repeated ids make no difference. Null texts stay null and empty ones empty; texts of
+    any length are scanned whole; other columns, whatever their names, are carried through; an empty table gives none.
+    """
     net = fit(pick(docs, doc_id="doc_id", text="text"), fit_docs)
+    plain_, (text,) = by_place(docs, "text")
+
+    at = plain_.columns.index(text)
 
-    def masked(text: pd.Series) -> pd.Series:
-        out = text.tolist()
-        for b in blocks(pa.array(text, pa.string())):
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             spans: dict[int, list[tuple[int, int]]] = {}
-            for i, a, z, _, _ in scored(net, b):
-                spans.setdefault(i, []).append((a, z))
-            for i, own in spans.items():
-                out[b.first_row + i] = mask(out[b.first_row + i], own)
-        return pd.Series(out, dtype=object)
-
-    new = F.pandas_udf(masked, "string")(F.col("text"))
-    out = docs.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    return out.select(*docs.columns)
+            for b in blocks(batch.column(at)):
+                for i, a, z, _, _ in scored(net, b):
+                    spans.setdefault(b.first_row + i, []).append((a, z))
+            if spans:
+                new = batch.column(at).to_pylist()
+                for i, own in spans.items():
+                    new[i] = mask(new[i], own)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            yield batch
+
+    return counted(plain_.mapInArrow(lean(masked), plain_.schema), text, docs.columns).toDF(*docs.columns)

@@ -64,6 +64,50 @@ def test_pii_random_texts():
 def test_pii_adds_accounts_and_urls():
     got = pii.find("Passport no: X1234567 and http://bob:pw@host.org/x, see account 12")
     assert got["account"] == [(13, 21)] and got["url"][0][0] == 26
+    text = "IBAN DE89 3704 0044 0532 0130 00 ok. SSN 123-45-6789; acct number 998877 and account " + "7" * 35
+    assert [text[a:z] for a, z in pii.find(text)["account"]] == ["DE89 3704 0044 0532 0130 00", "123-45-6789", "998877"]
+
+
+def brute_account(t):
+    """Identifier words, and what follows them up to 34 letters and digits, cut after the last word with a digit."""
+    out, done = [], 0
+    for m in re.finditer(r"iban|ssn|passport|account|acct", t, re.ASCII):
+        if m.start() < done or (m.start() and t[m.start() - 1].isalnum()):
+            continue
+        i = m.end()
+        while i < len(t) and t[i] in " :#=.":
+            i += 1
+        if i == m.end():
+            continue
+        a, n, z, at = i, 0, i, i
+        word = lambda k: k < len(t) and t[k].isascii() and t[k].isalnum()
+        while word(at) and n < 34:
+            at, n = at + 1, n + 1
+            if not word(at):
+                z = at  # only whole words count
+            if at < len(t) and t[at] in " -" and word(at + 1):
+                at += 1
+        words = t[a:z].split(" ")
+        while words and not any(c.isdigit() for c in words[-1]):
+            words.pop()
+        s = " ".join(words)
+        if words and any(c.isdigit() for c in words[0]) and sum(c.isdigit() for c in s) >= 6:
+            out.append((a, a + len(s)))
+            done = a + len(s)
+    return out
+
+
+def test_accounts_against_brute_force():
+    rnd = random.Random(12)
+    bits = ["account ", "iban: ", "ssn#", "x", " ", "12", "345678", "A1", "-", ", ", "passport ", "é", "9 9 9"]
+    for _ in range(4000):
+        t = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 9)))
+        assert pii.find(t)["account"] == brute_account(t), t
+
+
+def test_urls_with_addresses():
+    for t, want in (("http://a@b.c", [(0, 12)]), ("see mailto:x@y.z> or ssh://git@h:22/p q", [(4, 16), (21, 37)]), ("http://plain.org/x", []), ("xhttps://u:p@h", [(1, 14)])):
+        assert pii.find(t)["url"] == want, (t, pii.find(t)["url"])
 
 
 def test_secret_query(spark, small):
@@ -71,7 +115,7 @@ def test_secret_query(spark, small):
     rows = QUERIES["op9_secrets"](spark, small).collect()
     check(rows, zip(pdf.doc_id, pdf.text, strict=True), brute_secrets, secret_net.BASE_KINDS)
     for r in rows:
-        base = [x for x in r.spans.split(",") if x and not x.startswith("token:")]
+        base = [x for x in r.spans.split(",") if x.split(":")[0] in secret_net.BASE_KINDS]
         assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
 
 
@@ -92,6 +136,49 @@ def test_secret_random_texts():
             assert i in hit or not secret_net.find_candidates(t, base)
 
 
+HELD_OUT = (("glpat-", secret_net._ALNUM + "-_", 20, 20), ("npm_", secret_net._ALNUM, 36, 36), ("sk_live_", secret_net._ALNUM, 24, 24), ("SG.", secret_net._ALNUM + "-_", 22, 43), ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 32))
+
+
+def test_planted_secrets_that_no_rule_finds(spark, small, monkeypatch):
+    """Shapes that training has not seen, and passwords, logins and keys drawn anew; beside the corpus's own clean texts."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    net = secret_net.fit(docs, 200)
+    monkeypatch.setattr(secret_net, "fit", lambda *_: net)
+    rng = np.random.default_rng(77)
+    planted = [x for x in secret_net.generated(rng, 150, HELD_OUT) + secret_net.passwords(rng, 150) if not secret_net.find_base(x[0])]
+    decoys = secret_net.plain(rng, 150) + secret_net.plain_values(rng, 150)
+    rows = [(10**6 + i, "Some words before. " + t) for i, (t, _, _) in enumerate(planted)] + [(2 * 10**6 + i, "Some words before. " + t) for i, (t, _, _) in enumerate(decoys)]
+    got = {r.doc_id: r.spans for r in secret_net.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(any(s.start < z + 19 and a + 19 < s.end for s in got[10**6 + i]) for i, (_, a, z) in enumerate(planted))
+    false = sum(bool(got[2 * 10**6 + i]) for i in range(len(decoys)))
+    print("recall", hit / len(planted), "precision", hit / (hit + false), len(planted))
+    assert len(planted) > 200 and hit >= 0.9 * len(planted) and false <= 0.1 * len(decoys)
+    clean = [r for r in secret_net.find_secrets(docs).collect() if not any(s.base for s in r.spans)]
+    assert sum(bool(r.spans) for r in clean) <= 0.02 * len(clean)
+
+
+def test_wide_anchors():
+    def kinds(t):
+        return [(k, t[a:z]) for a, z, k in secret_net.find_candidates(t, secret_net.find_base(t))]
+
+    assert kinds("sk-AbCdEfGhIjKlMnOpQrStUvWx") == [("token", "sk-AbCdEfGhIjKlMnOpQrStUvWx")]
+    assert kinds("jwt eyJhbGci1.eyJzdWIi2.SflKxwRJ3.") == [("token", "eyJhbGci1.eyJzdWIi2.SflKxwRJ3")]
+    assert kinds("postgres://bob:hunter2!x@db.org/x") == [("login", "hunter2!x")]
+    assert kinds("db_pass: 'Winter2024!' and") == [("value", "Winter2024!")]
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----")[0][0] == "pem"
+    assert kinds("see http://host.org/p1 at 12:30:45, note: something") == []
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("account x" * 110_000, "account x " * 100_000, "a=" * 500_000, "://a:b" * 160_000, "-----BEGIN A" * 80_000, "x: y" * 250_000, "a1" * 250_000):
+        pii.find(t)
+        secret_net.find_candidates(t, secret_net.find_base(t))
+    assert time.time() - began < 60
+
+
 def test_keywords_across_texts_end():
     import faulthandler
 
