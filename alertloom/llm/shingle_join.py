@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from alertloom.operators.components import connected_components
 
-from .frames import Forest, block_tasks, pick, released, shared_dir, sorted_groups, written
+from .frames import Forest, block_count, block_tasks, by_place, lean, pick, released, shared_dir, sorted_groups, written
 from .textops import U64, blocks, mix, shingles, strings
 
 WORDS, LEAST = 5, 0.8
@@ -75,7 +75,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     ["uid", "digest", "n", "sig"],
                 )
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, digest binary, n long, sig binary")
+    return docs.select("uid", "text").mapInArrow(lean(run), "uid long, digest binary, n long, sig binary")
 
 
 def _bands(rows: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def _bands(rows: DataFrame) -> DataFrame:
                     key = mix(key * U64(0x100000001B3) + sig[:, :, r])
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))], ["key", "node"])
 
-    return rows.select("node", "sig").mapInArrow(run, "key long, node long")
+    return rows.select("node", "sig").mapInArrow(lean(run), "key long, node long")
 
 
 def agree(sig: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def _likely(tasks: DataFrame) -> DataFrame:
                 src, dst = [], []
         yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return tasks.mapInArrow(run, "src long, dst long")
+    return tasks.mapInArrow(lean(run), "src long, dst long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                 out = [np.unique(h[x:y]).tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(b.first_row, b.rows) for k in range(3)), pa.array(out, pa.binary())], ["component", "node", "copies", "set"])
 
-    return texts.mapInArrow(run, "component long, node long, copies long, set binary")
+    return texts.mapInArrow(lean(run), "component long, node long, copies long, set binary")
 
 
 def exact_links(sets: list[np.ndarray], rows: np.ndarray, others: np.ndarray, least: float = LEAST) -> Iterator[tuple[int, np.ndarray]]:
@@ -198,7 +198,7 @@ def _exact(tasks: DataFrame) -> DataFrame:
                 ["node", "other", "links"],
             )
 
-    return tasks.mapInArrow(run, "node long, other long, links long")
+    return tasks.mapInArrow(lean(run), "node long, other long, links long")
 
 
 def _likely_groups(members: DataFrame, signatures: DataFrame, base: str) -> DataFrame:
@@ -207,7 +207,7 @@ def _likely_groups(members: DataFrame, signatures: DataFrame, base: str) -> Data
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     meeting = written(bands.join(sizes, "key"), "meeting", base)
     released(members.sparkSession)
-    tasks = block_tasks(meeting.join(reps.join(meeting.select("node").distinct(), "node"), "node"), "key", "node", F.col("size"), BAND_BLOCK)
+    tasks = block_tasks(meeting.join(reps.join(meeting.select("node").distinct(), "node"), "node"), "node", F.ceil(F.col("size") / F.lit(BAND_BLOCK)).cast("int"))
     rows = tasks.select("key", "i", "j", "own", "node", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     likely = written(_likely(rows), "likely", base)
     released(members.sparkSession)
@@ -215,12 +215,12 @@ def _likely_groups(members: DataFrame, signatures: DataFrame, base: str) -> Data
 
 
 def _exact_links(keyed: DataFrame, members: DataFrame, groups: DataFrame, base: str) -> DataFrame:
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    wanted = groups.join(sizes, "component").join(members.where("uid = node").select("node", "copies"), "node")
+    wanted = groups.join(members.where("uid = node").select("node", "copies"), "node")
     texts = keyed.select("uid", "text").join(wanted.withColumnRenamed("node", "uid"), "uid").select("component", F.col("uid").alias("node"), "copies", "text")
     sets = written(_sets(texts), "sets", base)
     released(members.sparkSession)
-    tasks = block_tasks(sets.join(sizes, "component"), "component", "node", F.col("size"), GROUP_BLOCK)
+    sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("set")).alias("bytes"))
+    tasks = block_tasks(sets.join(sizes, "component"), "node", block_count(F.col("size"), F.col("bytes"), GROUP_BLOCK))
     rows = tasks.select("component", "i", "j", "own", "node", "copies", "set").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     return written(_exact(rows), "exact", base)
 
@@ -239,8 +239,10 @@ def near_texts(docs: DataFrame) -> DataFrame:
     base = shared_dir(docs.sparkSession)
     signatures = written(_signatures(keyed), "signatures", base)
     small = signatures.select("uid", "n", F.when(F.col("n") > 0, F.col("digest")).otherwise(F.col("uid").cast("string").cast("binary")).alias("digest"))
-    classes = small.groupBy("digest").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("copies"))
-    members = written(small.join(classes, "digest").select("uid", "node", "copies", "n"), "classes", base)
+    # only repeated texts are joined, and by a written table: a text with many copies is then split like any skewed join
+    classes = written(small.groupBy("digest").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeated", base)
+    named = small.join(classes, "digest", "left").select("uid", F.coalesce("node", "uid").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies"), "n")
+    members = written(named, "classes", base)
     groups = _likely_groups(members, signatures, base)
     exact = _exact_links(keyed, members, groups, base)
     found = connected_components(exact.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
@@ -252,15 +254,21 @@ def near_texts(docs: DataFrame) -> DataFrame:
     out = out.withColumn("kept", F.col("uid") == F.col("class_uid"))
     if plain:
         return out.select(F.col("uid").alias("doc_id"), F.col("class_uid").alias("class_id"), F.col("copy_uid").alias("copy_id"), "n_links", "kept")
-    name = lambda as_: keyed.select(F.col("uid").alias(f"{as_}_uid" if as_ != "doc" else "uid"), F.col("doc_id").cast("long").alias(f"{as_}_id"))
+    name = lambda as_: keyed.select(F.col("uid").alias(f"{as_}_uid" if as_ != "doc" else "uid"), F.col("doc_id").alias(f"{as_}_id"))
     return out.join(name("doc"), "uid").join(name("class"), "class_uid").join(name("copy"), "copy_uid").select("doc_id", "class_id", "copy_id", "n_links", "kept", "uid")
 
 
 def without_near_texts(docs: DataFrame) -> DataFrame:
-    """One row of each class of ``near_texts``: that of the smallest doc_id."""
+    """``docs`` (all columns) with one row of each class of ``near_texts``: that of the smallest doc_id.
+
+    Rows with a null or repeated doc_id are documents of their own (nulls first, equal ids by text, of equal rows one stays).
+    Null, empty and blank texts link with nothing and stay; texts of any length are compared whole; other columns, whatever
+    their names, are carried through; an empty table gives none.
+    """
     from .suffix_dedup import _keyed
 
-    keyed, plain = _keyed(docs)
-    found = near_texts(keyed.select(F.col("uid").alias("doc_id"), "text"))
+    plain, (doc_id, text) = by_place(docs, "doc_id", "text")
+    keyed, _ = _keyed(plain, doc_id, text)
+    found = near_texts(keyed.select(F.col("uid").alias("doc_id"), F.col(text).alias("text")))
     gone = found.where("not kept").select(F.col("doc_id").alias("uid"))
-    return keyed.join(gone, "uid", "left_anti").select(*docs.columns)
+    return keyed.join(gone, "uid", "left_anti").select(*plain.columns).toDF(*docs.columns)
