@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from alertloom.operators.components import connected_components
 
-from .frames import Forest, block_tasks, pick, shared_dir, sorted_groups, written
+from .frames import GROUP_BYTES, Forest, block_count, block_tasks, lean, pick, shared_dir, sorted_groups, written
 
 LEAST = 0.9
 #: The least probability to meet a pair at cosine LEAST that nothing else links, and the vectors of a bucket on average at most.
@@ -53,7 +53,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
                 out.append(x.tobytes() if np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "raw"])
 
-    return rows.mapInArrow(run, "vec_id long, raw binary")
+    return rows.mapInArrow(lean(run), "vec_id long, raw binary")
 
 
 def plan(n: int) -> tuple[int, int]:
@@ -82,7 +82,7 @@ def _codes(nodes: DataFrame, passes: int, bits: int, raw: bool) -> DataFrame:
                     cols = [pa.array(np.full(part.num_rows, d * passes + p)), pa.array(code[:, p].astype(np.int64)), part.column(0)]
                     yield pa.RecordBatch.from_arrays(cols + [part.column(1)] * raw, ["pass", "code", "node", "raw"][: 3 + raw])
 
-    return nodes.select("node", "raw").mapInArrow(run, "pass long, code long, node long" + ", raw binary" * raw)
+    return nodes.select("node", "raw").mapInArrow(lean(run), "pass long, code long, node long" + ", raw binary" * raw)
 
 
 def _joins(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -106,10 +106,12 @@ def _joins(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int,
 
 def _links(nodes: DataFrame) -> DataFrame:
     """Links (src, dst) that connect nodes just as all links found in the buckets of all passes do."""
-    passes, bits = plan(nodes.count())
-    crowded = _codes(nodes, passes, bits, False).groupBy("pass", "code").count().where(F.col("count") > BLOCK)
+    n, longest = nodes.agg(F.count(F.lit(1)), F.max(F.length("raw"))).first()
+    passes, bits = plan(n)
+    block = max(1, min(BLOCK, GROUP_BYTES // max(1, longest or 1)))
+    crowded = _codes(nodes, passes, bits, False).groupBy("pass", "code").count().where(F.col("count") > block)
     codes = _codes(nodes, passes, bits, True).join(crowded, ["pass", "code"], "left")
-    tasks = block_tasks(codes, "code", "node", F.coalesce("count", F.lit(1)), BLOCK)
+    tasks = block_tasks(codes, "node", F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block)).cast("int"))
     keys = ("pass", "code", "i", "j")
     rows = tasks.select(*keys, "own", "node", "raw").repartition(*keys).sortWithinPartitions(*keys, "node")
 
@@ -125,13 +127,13 @@ def _links(nodes: DataFrame) -> DataFrame:
             links = [(s, t) for s, t in _joins(hit, node[a], node[b]) if forest.join(s, t)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in links], pa.int64()), pa.array([t for _, t in links], pa.int64())], ["src", "dst"])
 
-    return written(rows.mapInArrow(run, "src long, dst long"), "links")
+    return written(rows.mapInArrow(lean(run), "src long, dst long"), "links")
 
 
 def _count_links(members: DataFrame) -> DataFrame:
     """Links of each node with the other nodes of its component (members: component, node, n, raw), weighted by their counts."""
-    sizes = members.groupBy("component").count()
-    tasks = block_tasks(members.join(sizes, "component"), "component", "node", F.col("count"), BLOCK)
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("count"), F.sum(F.length("raw")).alias("bytes"))
+    tasks = block_tasks(members.join(sizes, "component"), "node", block_count(F.col("count"), F.col("bytes"), BLOCK))
     rows = tasks.select("component", "i", "j", "own", "node", "n", "raw").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +152,7 @@ def _count_links(members: DataFrame) -> DataFrame:
                 links[a], links[b] = hit @ n[b], n[a] @ hit
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64))], ["node", "links"])
 
-    return rows.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return rows.mapInArrow(lean(run), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
