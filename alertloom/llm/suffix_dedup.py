@@ -26,6 +26,9 @@ from .textops import U64, Block, blocks, mix, powers, ragged, strings
 LENGTH, GRAM = 100, 24
 #: Anchors, and bytes of contexts, that a task holds before it drops its own repeats; bytes of contexts sorted at once.
 HOLD_ANCHORS, HOLD_BYTES, SORT_BYTES = 1 << 20, 8 << 20, 2 << 20
+#: Contexts of an anchor above which they are dealt out by further bytes, and the places of the anchor in a window that part them.
+HOT = 2048
+PLACES = tuple((p, min(p + 11, LENGTH - GRAM + 1)) for p in range(0, LENGTH - GRAM + 1, 11))
 
 
 def window_anchors(block: Block) -> tuple[np.ndarray, ...]:
@@ -94,7 +97,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(lean(run), "key long, known boolean, uid long, at int")
 
 
-_PARTS = "uid long, key long, lo int, hi int, body binary"
+_PARTS = "uid long, key long, lo int, hi int, at int, body binary"
 
 
 def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -111,8 +114,8 @@ def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal n
-            uid, key, lo, hi, digest, size = (np.concatenate([x[i] for x in held]) for i in range(6))
-            data = np.concatenate([x[6] for x in held])
+            uid, key, lo, hi, place, digest, size = (np.concatenate([x[i] for x in held]) for i in range(7))
+            data = np.concatenate([x[7] for x in held])
             with np.errstate(over="ignore"):
                 first, _ = _first_of(mix(key + U64(1)) ^ digest)
             off = np.cumsum(size) - size
@@ -123,8 +126,8 @@ def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
             held.clear()
             n = 0
             return pa.RecordBatch.from_arrays(
-                [pa.array(uid), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(first), [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])],
-                ["uid", "key", "lo", "hi", "body"],
+                [pa.array(uid), pa.array(key.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, place - lo)), pa.Array.from_buffers(pa.binary(), len(first), [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])],
+                ["uid", "key", "lo", "hi", "at", "body"],
             )
 
         for batch in batches:
@@ -137,10 +140,10 @@ def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 marks = at[b.first_row : b.first_row + b.rows + 1]
                 marked[flat[marks[0] : marks[-1]] + np.repeat(b.offsets[:-1], np.diff(marks))] = True
                 hit = marked[place + b.offsets[row]]
-                row, lo, hi, h = row[hit], lo[hit], hi[hit], h[hit]
+                row, lo, hi, place, h = row[hit], lo[hit], hi[hit], place[hit], h[hit]
                 start = b.offsets[row] + lo
                 length = hi - lo + LENGTH
-                held.append((own[row], h, lo, hi, b.hashes(start, start + length), length, b.data[ragged(start, length)]))
+                held.append((own[row], h, lo, hi, place, b.hashes(start, start + length), length, b.data[ragged(start, length)]))
                 n += int(length.sum())
                 if n >= HOLD_BYTES:
                     yield flush()
@@ -274,6 +277,44 @@ def later_windows(data: np.ndarray, need: np.ndarray) -> np.ndarray:
     return flags
 
 
+def _dealt(contexts: DataFrame) -> DataFrame:
+    """uid, key, lo, body of all contexts; those of an anchor that has more than ``HOT`` get keys of their own by further bytes.
+
+    Equal windows have their anchor at the same place, so windows part by that place into ``PLACES``; within one of these all
+    windows hold the same bytes around the anchor (90 of their 100), and these join the key. So an ordinary phrase in ever new
+    surroundings is no hot key.
+    """
+    hot = written(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")), "hot")
+    if not hot.limit(1).count():
+        return contexts.select("uid", "key", "lo", "body")
+    rows = contexts.join(hot, "key", "left")  # a table of known size; one too large to broadcast is joined by shuffling
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, key, lo, hi, at = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
+            raw, off = strings(batch.column(5))
+            data, start = raw[off[0] : off[-1]], off[:-1] - off[0]
+            b = Block(data, off - off[0], 0)
+            for r, (p, q) in enumerate(PLACES):
+                first, last = np.maximum(lo, lo + at - q + 1), np.minimum(hi, lo + at - p)
+                own = np.flatnonzero(first <= last)
+                if not len(own):
+                    continue
+                anchor = start[own] + at[own]
+                with np.errstate(over="ignore"):
+                    sub = mix(key[own].view(U64) + U64(r + 1)) ^ b.hashes(anchor - p, anchor + LENGTH + 1 - q)
+                size = (last - first)[own] + LENGTH
+                body = data[ragged(start[own] + (first - lo)[own], size)]
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uid[own]), pa.array(sub.view(np.int64)), pa.array(first[own].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])],
+                    ["uid", "key", "lo", "body"],
+                )
+
+    split = rows.where("hot").select("uid", "key", "lo", "hi", "at", "body").mapInArrow(lean(run), "uid long, key long, lo int, body binary")
+    return rows.where("hot is null").select("uid", "key", "lo", "body").unionByName(split)
+
+
 def _later(contexts: DataFrame) -> DataFrame:
     """Ranges (uid, lo, hi: first and last window) of windows that have an earlier copy in another context of their anchor."""
 
@@ -329,7 +370,7 @@ def _later(contexts: DataFrame) -> DataFrame:
         if bodies and (got := ranges(np.concatenate(uid), np.concatenate(key), np.concatenate(lo).astype(np.int64), bodies)) is not None:
             yield got
 
-    sorted_ = contexts.select("uid", "key", "lo", "body").repartition("key").sortWithinPartitions("key", "uid", "lo")
+    sorted_ = _dealt(contexts).repartition("key").sortWithinPartitions("key", "uid", "lo")
     return sorted_.mapInArrow(lean(run), "uid long, lo int, hi int")
 
 

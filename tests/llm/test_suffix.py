@@ -79,3 +79,19 @@ def test_suffix_order_is_sorted(alphabet):
         want[i] = raw[i : i + 100] in seen
         seen.add(raw[i : i + 100])
     assert (sd.later_windows(data, need) == want).all()
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """One phrase in ever new surroundings, some of which come again."""
+    monkeypatch.setattr(sd, "HOT", 8)
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    phrase = "the same forty bytes and some more of it "
+    sides = [word(60) for _ in range(12)]
+    texts = [rnd.choice([word(60), rnd.choice(sides)]) + phrase + rnd.choice([word(60), rnd.choice(sides)]) for _ in range(150)]
+    texts += [(phrase + word(70)) * 2 + phrase for _ in range(20)] + [phrase * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert result(sd.remove_repeats(docs)) == brute(texts)
+    contexts = sd._written_contexts(docs.selectExpr("doc_id as uid", "text")).where("body is not null")
+    most = lambda df: df.groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert most(sd._dealt(contexts)) < most(contexts) / 2
