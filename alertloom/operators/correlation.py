@@ -57,6 +57,33 @@ def _keyed(df: DataFrame, id_col: str, roles: FieldRoles, subsets: list[tuple[li
     return rows.select("id", *[F.col(c) for c in rows.columns if c not in ("id", "x")], "x.s", "x.w", "x.key")
 
 
+def _networks(roles: FieldRoles) -> Column:
+    return F.array_distinct(F.filter(F.array(*[subnet24(clean(c)) for c in roles.addresses]), lambda x: x.isNotNull()))
+
+
+def blocked_links(df: DataFrame, roles: FieldRoles, threshold: float, id_col: str = "alert_idx") -> DataFrame:
+    """Links as of ``links`` without pairs whose /24 networks are disjoint; a row without networks is blocked from none.
+
+    A common address is a common network, so only groups by users alone are parted: within one, rows of a network link with
+    its first, and all rows with the first that has no network.
+    """
+    roles.check(df)
+    need = threshold * scale(roles) - 1e-9
+    strong = [(s, w) for s, w in _subsets(roles) if w >= need]
+    least = [(s, w) for s, w in strong if not any(set(t) < set(s) for t, _ in strong)]
+    rows = _keyed(df, id_col, roles, least, [_networks(roles).alias("nets")])
+    tied = F.col("s").isin(*[i for i, (s, _) in enumerate(least) if not set(s) & set(roles.addresses)])
+
+    def linked(part: DataFrame, by: list[str], heads: DataFrame) -> DataFrame:
+        first = heads.groupBy(*by).agg(F.min("id").alias("dst"))
+        return part.join(first, by).where("id <> dst").select(F.col("id").alias("src"), "dst")
+
+    free, users = rows.where(~tied).drop("nets"), rows.where(tied)
+    nets = users.select("id", "s", "key", F.explode("nets").alias("net"))
+    out = linked(free, ["s", "key"], free).unionByName(linked(nets, ["s", "key", "net"], nets))
+    return out.unionByName(linked(users, ["s", "key"], users.where(F.size("nets") == 0))).distinct()
+
+
 def links(df: DataFrame, roles: FieldRoles, threshold: float, id_col: str = "alert_idx", time_col: str | None = None) -> DataFrame:
     """Links (src, dst) whose components are those of the full pair graph."""
     roles.check(df)
@@ -117,6 +144,30 @@ def correlate(df: DataFrame, roles: FieldRoles | None = None, threshold: float =
     return clusters_of(df, links(df, roles, threshold, id_col, time_col), id_col)
 
 
+def tier(df: DataFrame, roles: FieldRoles, override: float | None = None, confidence: str | None = None, adaptive: bool = True, time_col: str | None = "EndDate") -> tuple[float, str]:
+    """The threshold to use and where it is from: a given one, else that of a confidence column, else one adapted to the data, else
+    the baseline."""
+    if override is not None:
+        return float(override), "override"
+    if confidence is not None:
+        return float(confidence_threshold(df, confidence).first()[0]), "confidence_guided"
+    if adaptive:
+        return float(adaptive_threshold(df, roles, time_col).first()[0]), "adaptive_stats"
+    return BASELINE, "baseline"
+
+
+def correlate_by_tier(
+    df: DataFrame, roles: FieldRoles | None = None, override: float | None = None, confidence: str | None = None, adaptive: bool = True, blocking: bool = False,
+    id_col: str = "alert_idx", time_col: str | None = None, span_col: str | None = "EndDate",
+) -> DataFrame:
+    """``correlate`` at the threshold of ``tier``, with each row's best score, ``correlation_threshold_used`` and ``threshold_source``."""
+    roles = roles or FieldRoles()
+    threshold, source = tier(df, roles, override, confidence, adaptive, span_col)
+    edges = blocked_links(df, roles, threshold, id_col) if blocking else links(df, roles, threshold, id_col, time_col)
+    out = clusters_of(df, edges, id_col).join(max_scores(df, roles, id_col), id_col)
+    return out.withColumn("correlation_threshold_used", F.lit(threshold)).withColumn("threshold_source", F.lit(source))
+
+
 def candidate_links(df: DataFrame, candidates: DataFrame, roles: FieldRoles, threshold: float, id_col: str = "alert_idx") -> DataFrame:
     """Given pairs (src, dst) that reach the threshold, with their scores."""
     cols = [*roles.addresses, *roles.usernames]

@@ -51,12 +51,27 @@ def balance(df: DataFrame, label: str, how: str = "hybrid", id_col: str = "alert
     Rows of larger classes are left out by hash order; those of smaller ones repeat (``copy`` counts from 0), the first in
     hash order once more than the others.
     """
+    return _resized(df, label, _target(df, label, how), id_col, seed)
+
+
+def _resized(df: DataFrame, label: str, want: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """Each class at its wanted size (label, _n, _want), as ``balance`` does it."""
     w = Window.partitionBy(label).orderBy(hash_order(id_col, seed))
-    r = df.join(_target(df, label, how), label).withColumn("_r", F.row_number().over(w))
+    r = df.join(want, label).withColumn("_r", F.row_number().over(w))
     copies = F.floor((F.col("_want") - F.col("_r")) / F.col("_n")) + 1
     return r.where(F.col("_r") <= F.col("_want")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), copies).cast("int") - 1))).drop("_n", "_want", "_r")
 
 
+def balance_normal(df: DataFrame, label: str, normal: str = "normal", least: int = 500, id_col: str = "alert_idx", seed: int = 42) -> DataFrame:
+    """Normal rows down to twice the attacks; each attack up to the size of the rarest (``least`` at least), or down to twice that."""
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    attack = F.col(label) != normal
+    one = n.agg(F.greatest(F.min(F.when(attack, F.col("_n"))), F.lit(least)).alias("_t"), F.sum(F.when(attack, F.col("_n"))).alias("_a"))
+    size = F.when(~attack, F.least(F.col("_n"), 2 * F.col("_a"))).when(F.col("_n") < F.col("_t"), F.col("_t")).otherwise(F.least(2 * F.col("_t"), F.col("_n")))
+    want = n.crossJoin(F.broadcast(one)).select(label, "_n", size.cast("long").alias("_want"))  # one row
+    return _resized(df, label, want, id_col, seed)
+
+
 def balance_auto(df: DataFrame, label: str, id_col: str = "alert_idx") -> DataFrame:
     """``over`` up to an imbalance of 3, ``hybrid`` up to 10, else ``under``."""
     ratio = class_distribution(df, label).agg(F.max("imbalance")).first()[0] or 1.0

@@ -158,3 +158,29 @@ def test_streaming_counts_equal_batch(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("slots").agg(F.sum("n")).first()[0] == a.count()
+
+
+def test_tiers_correlate_like_their_threshold(spark, small):
+    from alertloom.operators import correlation as co
+    from alertloom.schema import FieldRoles, alerts
+
+    a = alerts(spark, small)
+    got = co.correlate_by_tier(a, override=0.5)
+    want = {r.alert_idx: r.pred_cluster for r in co.correlate(a, FieldRoles(), 0.5).collect()}
+    rows = got.select("alert_idx", "pred_cluster", "correlation_threshold_used", "threshold_source", "max_correlation_score").collect()
+    assert {r.alert_idx: r.pred_cluster for r in rows} == want
+    assert {(r.correlation_threshold_used, r.threshold_source) for r in rows} == {(0.5, "override")}
+    assert co.tier(a, FieldRoles(), adaptive=False) == (0.3, "baseline")
+
+
+def test_cluster_without_local_folder(spark, monkeypatch):
+    import pytest
+
+    from alertloom.plans import stage
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        stage.shared_dir(Elsewhere)
