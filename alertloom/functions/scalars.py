@@ -140,6 +140,12 @@ def attack_stage(tactics: Column) -> Column:
     return out.otherwise("Other")
 
 
+def related_groups(label: Column) -> Column:
+    """Numbers of the groups of related attacks that the label has a keyword of."""
+    mask = related_mask(label)
+    return F.filter(F.array(*[F.lit(k) for k in range(len(RELATED))]), lambda k: F.getbit(mask, k) == 1)
+
+
 def related_mask(label: Column) -> Column:
     """A bit for each group of related attacks that the label has a keyword of."""
     low, mask = F.lower(label), F.lit(0)

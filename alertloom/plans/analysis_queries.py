@@ -312,11 +312,11 @@ _MATCH = f"ft AS (SELECT DISTINCT pred_cluster, lower({_TACTIC}) AS t FROM c)",
 
 def _found(spark, d):
     intel = en.malware_table(spark).withColumn("tactics", F.transform("tactics", lambda x: F.replace(x, F.lit("_"), F.lit(" "))))
-    c = clustered(spark, d).withColumn("tactic", s.tactic_exact(F.col("MalwareIntelAttackType"))).where("user_id % 2 = 0 OR MalwareIntelAttackType = 'DoS'")
+    c = clustered(spark, d).withColumn("tactic", s.tactic_exact(F.col("MalwareIntelAttackType")))
     return en.matches(c, intel), intel
 
 
-_CE = CLUSTERED.replace("FROM alerts", "FROM alerts WHERE user_id % 2 = 0 OR MalwareIntelAttackType = 'DoS'")
+_CE = CLUSTERED
 
 
 @query(over_alerts("SELECT pred_cluster, id AS entity_id FROM fm", _CE, _MAL, *_MATCH))
@@ -345,11 +345,12 @@ def j15_map_back(spark, d):
 # --- sampling
 _H = "md5('42:' || CAST(alert_idx AS VARCHAR))"
 _RK = f"rk AS (SELECT *, row_number() OVER (PARTITION BY MalwareIntelAttackType ORDER BY {_H}) AS r, count(*) OVER (PARTITION BY MalwareIntelAttackType) AS n FROM im0)"
-_IM0 = "im0 AS (SELECT * FROM alerts WHERE MalwareIntelAttackType <> 'DoS' OR k < 20)"
+_IM0 = "im0 AS (SELECT * REPLACE (CASE WHEN MalwareIntelAttackType = 'DoS' AND k >= 20 THEN 'Exploits' ELSE MalwareIntelAttackType END AS MalwareIntelAttackType) FROM alerts)"
 
 
 def _uneven(spark, d):
-    return alerts(spark, d).where("MalwareIntelAttackType <> 'DoS' OR k < 20")
+    kind = F.col("MalwareIntelAttackType")
+    return alerts(spark, d).withColumn("MalwareIntelAttackType", F.when((kind == "DoS") & (F.col("k") >= 20), "Exploits").otherwise(kind))
 
 
 @query(over_alerts("SELECT alert_idx FROM rk WHERE r <= 20", _IM0, _RK))

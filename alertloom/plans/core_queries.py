@@ -101,15 +101,28 @@ def s1_tactic_rules(spark, d):
     return alerts(spark, d).select(F.col("MalwareIntelAttackType").alias("label"), s.tactic_by_rules(F.col("MalwareIntelAttackType")).alias("tactic")).distinct()
 
 
-@query(over_alerts(f"SELECT pred_cluster, CASE WHEN sum(CASE WHEN t IN ('INITIAL ACCESS') THEN 1 ELSE 0 END) > 0 THEN 'Initial' ELSE 'Other' END AS stage FROM (SELECT pred_cluster, {_TACTIC} AS t FROM c) GROUP BY 1", CLUSTERED))
+#: Tactics in turn; a user's alerts show the first few of them, as many as the user's number says.
+_TACTIC_LIST = tuple(dict.fromkeys(t for _, own in s.STAGES for t in own)) + ("BENIGN",)
+_STAGE = " ".join(f"WHEN list_has_all(t, [{', '.join(repr(x) for x in own)}]) THEN '{name}'" for name, own in s.STAGES)
+
+
+@query(over_alerts(f"SELECT pred_cluster, CASE {_STAGE} ELSE 'Other' END AS stage FROM (SELECT pred_cluster, list([{', '.join(map(repr, _TACTIC_LIST))}][k % (user_id % {len(_TACTIC_LIST)} + 1) + 1]) AS t FROM c GROUP BY 1)", CLUSTERED))
 def s9_attack_stage(spark, d):
-    return clustered(spark, d).groupBy("pred_cluster").agg(s.attack_stage(F.collect_set(s.tactic_exact(F.col("MalwareIntelAttackType")))).alias("stage"))
+    place = (F.col("k") % (F.col("user_id") % len(_TACTIC_LIST) + 1) + 1).cast("int")
+    c = clustered(spark, d).withColumn("t", F.element_at(F.array(*map(F.lit, _TACTIC_LIST)), place))
+    return c.groupBy("pred_cluster").agg(s.attack_stage(F.collect_set("t")).alias("stage"))
+
+
+_NAMES = ("recon-x", "Scan 2", "SQL inject", "web-app", "bruteforce", "password", "ddos", "Flood", "mirai", "BotNet", "rootkit", "backdoor", "other", "scan web")
+_NAMED = f"nm AS (SELECT DISTINCT [{', '.join(map(repr, _NAMES))}][k % {len(_NAMES)} + 1] AS l FROM alerts)"
+_RELATED = " OR ".join(f"(regexp_matches(lower(x.l), '{'|'.join(w)}') AND regexp_matches(lower(y.l), '{'|'.join(w)}'))" for w in s.RELATED)
 
 
-@query(over_alerts("SELECT x.l AS a, y.l AS b FROM (SELECT DISTINCT MalwareIntelAttackType AS l FROM alerts) x, (SELECT DISTINCT MalwareIntelAttackType AS l FROM alerts) y WHERE x.l < y.l AND (regexp_matches(lower(x.l), 'scan|recon') AND regexp_matches(lower(y.l), 'scan|recon') OR regexp_matches(lower(x.l), 'exploit|web|sql') AND regexp_matches(lower(y.l), 'exploit|web|sql'))"))
+@query(over_alerts(f"SELECT x.l AS a, y.l AS b FROM nm x, nm y WHERE x.l < y.l AND ({_RELATED})", _NAMED))
 def s10_related_attacks(spark, d):
-    l = alerts(spark, d).select(F.col("MalwareIntelAttackType").alias("l")).distinct().withColumn("m", s.related_mask(F.col("l")))
-    return l.alias("x").join(F.broadcast(l.alias("y")), (F.col("x.l") < F.col("y.l")) & (F.col("x.m").bitwiseAND(F.col("y.m")) != 0)).select(F.col("x.l").alias("a"), F.col("y.l").alias("b"))  # labels: a fixed few
+    l = alerts(spark, d).select(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("k") % len(_NAMES) + 1).cast("int")).alias("l")).distinct().withColumn("m", F.explode(s.related_groups(F.col("l"))))
+    pairs = l.alias("x").join(l.alias("y"), (F.col("x.m") == F.col("y.m")) & (F.col("x.l") < F.col("y.l")))  # labels of a common group
+    return pairs.select(F.col("x.l").alias("a"), F.col("y.l").alias("b")).distinct()
 
 
 @query(over_alerts("SELECT alert_idx, MalwareIntelAttackType AS name, AttackSeverity AS severity, SourceAddress AS src, DestinationAddress AS dst, SourceUserName AS suser FROM alerts"))
@@ -192,15 +205,16 @@ def k6_subnet_groups(spark, d):
     return co.signature_groups(alerts(spark, d), ROLES.addresses, subnets=True)
 
 
-@query(over_alerts("SELECT alert_idx, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM k", "s0 AS (SELECT alert_idx, 'u' || CAST(user_id AS VARCHAR) AS v FROM alerts WHERE k % 9 = 0 UNION ALL SELECT alert_idx, 'k' || CAST(k AS VARCHAR) FROM alerts WHERE k % 9 = 0 AND k > 40)", "l AS (SELECT x.alert_idx AS i, y.alert_idx AS j FROM s0 x JOIN s0 y USING (v))", "b AS (SELECT DISTINCT alert_idx FROM s0)", _COMPONENTS.format(a="b"), recursive=True))
+@query(over_alerts("SELECT alert_idx, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM k", "s0 AS (SELECT alert_idx, 'u' || CAST(alert_idx // 5 AS VARCHAR) AS v FROM alerts UNION ALL SELECT alert_idx, 't' || CAST((alert_idx + 2) // 3 AS VARCHAR) FROM alerts WHERE k > 40)", "l AS (SELECT x.alert_idx AS i, y.alert_idx AS j FROM s0 x JOIN s0 y USING (v))", "b AS (SELECT DISTINCT alert_idx FROM s0)", _COMPONENTS.format(a="b"), recursive=True))
 def j5_shared_labels(spark, d):
-    a = alerts(spark, d).where("k % 9 = 0").select("alert_idx", F.col("user_id").cast("string").alias("u"), F.when(F.col("k") > 40, F.col("k").cast("string")).alias("t"))
+    i = F.col("alert_idx")
+    a = alerts(spark, d).select(i, F.floor(i / 5).cast("string").alias("u"), F.when(F.col("k") > 40, F.floor((i + 2) / 3).cast("string")).alias("t"))
     return co.shared_label_components(a, ["u", "t"]).select("alert_idx", "cluster")
 
 
-@query(over_alerts("SELECT alert_idx, dense_rank() OVER (ORDER BY f) - 1 AS cluster FROM (SELECT alert_idx, min(alert_idx) OVER (PARTITION BY user_id) AS f FROM alerts)"))
+@query(over_alerts("SELECT alert_idx, dense_rank() OVER (ORDER BY f) - 1 AS cluster FROM (SELECT alert_idx, min(alert_idx) OVER (PARTITION BY user_id, k) AS f FROM alerts)"))
 def j18_consensus(spark, d):
-    return co.consensus(alerts(spark, d), "user_id", "k").select("alert_idx", "cluster")
+    return co.consensus(alerts(spark, d), "user_id", "k", (0.5, 0.5)).select("alert_idx", "cluster")
 
 
 @query(over_alerts("SELECT c.alert_idx, CASE WHEN severity < 0.5 THEN q.n + (SELECT max(pred_cluster) FROM c) + 1 ELSE pred_cluster END AS pred_cluster FROM c LEFT JOIN (SELECT alert_idx, dense_rank() OVER (ORDER BY root) - 1 AS n FROM k) q USING (alert_idx)", CLUSTERED, "lo AS (SELECT * FROM alerts WHERE severity < 0.5)", _PAIRS.format(a="lo"), "l AS (SELECT i, j FROM p WHERE w >= 13.5)", _COMPONENTS.format(a="lo"), recursive=True))
@@ -208,9 +222,9 @@ def j28_confidence_refine(spark, d):
     return co.refine(clustered(spark, d), "severity", 0.5, ROLES, 0.5).select("alert_idx", "pred_cluster")
 
 
-@query(over_alerts("SELECT id AS node, min(root) AS component FROM r GROUP BY id", "l AS (SELECT user_id AS i, user_id + 7 AS j FROM (SELECT DISTINCT user_id FROM alerts WHERE user_id % 3 = 0) UNION SELECT user_id + 7, user_id FROM (SELECT DISTINCT user_id FROM alerts WHERE user_id % 3 = 0))", "r(id, root) AS (SELECT i, i FROM l UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.id)", recursive=True))
+@query(over_alerts("SELECT id AS node, min(root) AS component FROM r GROUP BY id", "l AS (SELECT user_id AS i, user_id + 7 AS j FROM (SELECT DISTINCT user_id FROM alerts) UNION SELECT user_id + 7, user_id FROM (SELECT DISTINCT user_id FROM alerts))", "r(id, root) AS (SELECT i, i FROM l UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.id)", recursive=True))
 def g1_components(spark, d):
-    u = alerts(spark, d).where("user_id % 3 = 0").select("user_id").distinct()
+    u = alerts(spark, d).select("user_id").distinct()
     return connected_components(u.select(F.col("user_id").alias("src"), (F.col("user_id") + 7).alias("dst")))
 
 
@@ -266,11 +280,11 @@ def f5_membership(spark, d):
     return cl.keep_selected(clustered(spark, d), cl.top_clusters(_scores(spark, d), "size")).select("alert_idx")
 
 
-@query(over_alerts("SELECT pred_cluster FROM top UNION SELECT pred_cluster FROM q WHERE r <= 5", CLUSTERED, *_SCORES, "c2 AS (SELECT pred_cluster, CASE WHEN pred_cluster % 4 = 0 THEN MalwareIntelAttackType ELSE 'DoS' END AS t FROM c)", "top AS (SELECT pred_cluster FROM im WHERE pred_cluster % 4 = 1 ORDER BY size DESC, pred_cluster LIMIT 3)", "rare AS (SELECT t FROM (SELECT DISTINCT pred_cluster, t FROM c2) LEFT JOIN top USING (pred_cluster) GROUP BY t HAVING count(top.pred_cluster) < 2)", "q AS (SELECT pred_cluster, t, row_number() OVER (PARTITION BY t ORDER BY round(importance, 9) DESC, pred_cluster) AS r FROM (SELECT DISTINCT pred_cluster, t FROM c2) JOIN rare USING (t) JOIN im USING (pred_cluster))".replace("FROM top", "FROM top")))
+@query(over_alerts("SELECT pred_cluster FROM top UNION SELECT pred_cluster FROM q WHERE r <= 5", CLUSTERED, *_SCORES, "c2 AS (SELECT pred_cluster, CASE WHEN pred_cluster % 4 = 0 THEN MalwareIntelAttackType ELSE 'DoS' END AS t FROM c)", "top AS (SELECT pred_cluster FROM im ORDER BY size DESC, pred_cluster LIMIT 3)", "rare AS (SELECT t FROM (SELECT DISTINCT pred_cluster, t FROM c2) LEFT JOIN top USING (pred_cluster) GROUP BY t HAVING count(top.pred_cluster) < 2)", "q AS (SELECT pred_cluster, t, row_number() OVER (PARTITION BY t ORDER BY round(importance, 9) DESC, pred_cluster) AS r FROM (SELECT DISTINCT pred_cluster, t FROM c2) JOIN rare USING (t) JOIN im USING (pred_cluster))".replace("FROM top", "FROM top")))
 def t4_backfill(spark, d):
     c = clustered(spark, d).withColumn("MalwareIntelAttackType", F.when(F.col("pred_cluster") % 4 == 0, F.col("MalwareIntelAttackType")).otherwise("DoS"))
     sc = _scores(spark, d).withColumn("importance", F.round("importance", 9))
-    return cl.backfill_rare(c, sc, cl.top_clusters(sc.where("pred_cluster % 4 = 1"), "size", 3), reservoir=5)
+    return cl.backfill_rare(c, sc, cl.top_clusters(sc, "size", 3), reservoir=5)
 
 
 @query(over_alerts(f"SELECT pred_cluster, count(*) AS events, CAST(epoch(min(EndDate)) AS BIGINT) AS first_seen, CAST(epoch(max(EndDate)) AS BIGINT) AS last_seen, string_agg(DISTINCT MalwareIntelAttackType, ',' ORDER BY MalwareIntelAttackType) AS types, string_agg(DISTINCT {_TACTIC}, ',' ORDER BY {_TACTIC}) AS tactics, min(SourceAddress) AS addresses, round(avg(severity), 9) AS avg_severity FROM c GROUP BY 1", CLUSTERED))

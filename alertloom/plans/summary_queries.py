@@ -99,7 +99,7 @@ def e17_sweep_row(spark, d):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
-_DOMINANT = "cl AS (SELECT *, (k + user_id) % 13 AS c, 'camp-' || CAST(user_id % 11 AS VARCHAR) AS camp FROM alerts WHERE k % 9 <> user_id % 5), dom AS (SELECT camp, arg_max(c, (n, -c)) AS dominant FROM (SELECT camp, c, count(*) AS n FROM cl GROUP BY 1, 2) GROUP BY 1)"
+_DOMINANT = "cl AS (SELECT *, (k + user_id) % 13 AS c, 'camp-' || CAST(user_id % 11 AS VARCHAR) AS camp FROM alerts), dom AS (SELECT camp, arg_max(c, (n, -c)) AS dominant FROM (SELECT camp, c, count(*) AS n FROM cl GROUP BY 1, 2) GROUP BY 1)"
 
 
 @query(
@@ -109,7 +109,7 @@ _DOMINANT = "cl AS (SELECT *, (k + user_id) % 13 AS c, 'camp-' || CAST(user_id %
     )
 )
 def e18_campaign_f1(spark, d):
-    a = alerts(spark, d).where("k % 9 <> user_id % 5").select(((F.col("k") + F.col("user_id")) % 13).alias("c"), F.concat(F.lit("camp-"), (F.col("user_id") % 11).cast("string")).alias("camp"), F.concat("MalwareIntelAttackType", (F.col("user_id") % 4).cast("string")).alias("t"))
+    a = alerts(spark, d).select(((F.col("k") + F.col("user_id")) % 13).alias("c"), F.concat(F.lit("camp-"), (F.col("user_id") % 11).cast("string")).alias("camp"), F.concat("MalwareIntelAttackType", (F.col("user_id") % 4).cast("string")).alias("t"))
     return su.campaign_f1(a, "camp", "c", "t").select("camp", "dominant", F.round("f1", 9).alias("f1"))
 
 

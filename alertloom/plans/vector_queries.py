@@ -9,10 +9,10 @@ from alertloom.plans.registry import over_alerts, query
 from alertloom.schema import alerts, table
 
 
-@query("SELECT label, round(avg(x), 5) AS first_mean, count(*) AS n FROM (SELECT label, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY 1")
+@query("SELECT label, CAST(i AS INT) AS place, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2")
 def m_centroids(spark, d):
-    e = table(spark, d, "embeddings")
-    return ba.centroids(e, "embedding", "label").join(e.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label").select("label", F.round(F.col("centroid")[0], 5).alias("first_mean"), "n")
+    c = ba.centroids(table(spark, d, "embeddings"), "embedding", "label")
+    return c.select("label", F.posexplode("centroid").alias("place", "mean")).withColumn("mean", F.round("mean", 5))
 
 
 @query("WITH RECURSIVE p AS (SELECT x.vec_id AS i, y.vec_id AS j FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.35), r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.j, r.root FROM r JOIN p ON p.i = r.id) SELECT id AS node, min(root) AS component FROM r WHERE id IN (SELECT i FROM p) GROUP BY 1")
@@ -43,9 +43,9 @@ def j3_lsh_candidates(spark, d):
     return ba.cosine_links(table(spark, d, "embeddings"), "embedding", "vec_id", 0.35, bits=4, tables=20)  # 0.95 of the pairs at the threshold, more above
 
 
-@query(over_alerts("SELECT alert_idx, min(root) AS cluster FROM rr WHERE NOT EXISTS (SELECT 1 FROM pa WHERE pa.id = rr.root AND pa.up <> pa.id) GROUP BY 1", "sm AS (SELECT * FROM alerts WHERE alert_idx < 600)", "pa AS (SELECT x.alert_idx AS id, arg_min(y.alert_idx, (y.EndDate, y.alert_idx)) AS up FROM sm x JOIN sm y ON y.EndDate <= x.EndDate AND epoch_us(x.EndDate) - epoch_us(y.EndDate) <= 21600000000 AND (x.SourceAddress = y.SourceAddress OR x.DestinationHostName = y.DestinationHostName) GROUP BY 1)", "rr(alert_idx, root) AS (SELECT id, up FROM pa UNION SELECT rr.alert_idx, pa.up FROM rr JOIN pa ON pa.id = rr.root)", recursive=True))
+@query(over_alerts("SELECT alert_idx, min(root) AS cluster FROM rr WHERE NOT EXISTS (SELECT 1 FROM pa WHERE pa.id = rr.root AND pa.up <> pa.id) GROUP BY 1", "pa AS (SELECT x.alert_idx AS id, arg_min(y.alert_idx, (y.EndDate, y.alert_idx)) AS up FROM alerts x JOIN alerts y ON y.EndDate <= x.EndDate AND epoch_us(x.EndDate) - epoch_us(y.EndDate) <= 21600000000 AND (x.SourceAddress = y.SourceAddress OR x.DestinationHostName = y.DestinationHostName) GROUP BY 1)", "rr(alert_idx, root) AS (SELECT id, up FROM pa UNION SELECT rr.alert_idx, pa.up FROM rr JOIN pa ON pa.id = rr.root)", recursive=True))
 def j16_greedy_windows(spark, d):
-    return ba.greedy_windows(alerts(spark, d).where("alert_idx < 600"), ["SourceAddress", "DestinationHostName"], 21600.0)
+    return ba.greedy_windows(alerts(spark, d), ["SourceAddress", "DestinationHostName"], 21600.0)
 
 
 @query(over_alerts("SELECT c, t AS label FROM (SELECT k // 10 AS c, MalwareIntelAttackType AS t, row_number() OVER (PARTITION BY k // 10 ORDER BY count(*) DESC, MalwareIntelAttackType) AS r FROM alerts GROUP BY 1, 2) WHERE r = 1"))
