@@ -9,6 +9,7 @@ sort, never its square.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ from alertloom.operators.components import connected_components
 from alertloom.schema import FieldRoles, clean
 
 BASELINE, LOW, HIGH = 0.3, 0.1, 0.8
+#: Columns of a group's digest; the subset is hashed into it.
+KEY = ["h", "g"]
 
 
 def confidence_threshold(df: DataFrame, confidence: str) -> DataFrame:
@@ -40,21 +43,36 @@ def adaptive_threshold(df: DataFrame, roles: FieldRoles, time_col: str | None =
     return one.select(F.when(F.col("n") == 0, F.lit(BASELINE)).otherwise(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), value))).alias("threshold"))
 
 
-def _subsets(roles: FieldRoles) -> list[tuple[list[str], int]]:
-    """All non-empty subsets of the role columns with their weights (in tenths)."""
-    cols = [(c, 6) for c in roles.addresses] + [(c, 3) for c in roles.usernames]
-    return [([c for c, _ in s], sum(w for _, w in s)) for k in range(1, len(cols) + 1) for s in combinations(cols, k)]
+def _subsets(roles: FieldRoles) -> list[tuple[frozenset[int], int]]:
+    """All non-empty subsets of the role columns (by place) with their weights (in tenths)."""
+    tenths = [6] * len(roles.addresses) + [3] * len(roles.usernames)
+    return [(frozenset(s), sum(tenths[i] for i in s)) for k in range(1, len(tenths) + 1) for s in combinations(range(len(tenths)), k)]
 
 
 def scale(roles: FieldRoles, temporal: bool = False) -> int:
     return 6 * len(roles.addresses) + 3 * len(roles.usernames) + temporal
 
 
-def _keyed(df: DataFrame, id_col: str, roles: FieldRoles, subsets: list[tuple[list[str], int]], extra: list[Column]) -> DataFrame:
-    """A row for each row and subset whose values it has all of: subset number, its weight, the values."""
-    options = [F.when(F.concat(*[clean(c) for c in s]).isNotNull(), F.struct(F.lit(i).alias("s"), F.lit(w).alias("w"), F.concat_ws("\x1f", *[clean(c) for c in s]).alias("key"))) for i, (s, w) in enumerate(subsets)]
-    rows = df.select(F.col(id_col).alias("id"), *extra, F.explode(F.filter(F.array(*options), lambda x: x.isNotNull())).alias("x"))
-    return rows.select("id", *[F.col(c) for c in rows.columns if c not in ("id", "x")], "x.s", "x.w", "x.key")
+def _mask(places: Iterable[int]) -> int:
+    return sum(1 << i for i in places)
+
+
+def _keyed(df: DataFrame, id_col: str, roles: FieldRoles, subsets: list[tuple[frozenset[int], int]], extra: list[Column]) -> DataFrame:
+    """A row for each row and subset whose values it has all of: the subset as bits ``s``, its weight, a digest of the values (h, g).
+
+    The digest has 128 bits, so that two groups meet in one with negligible probability. Values are hashed once a row, subsets
+    combine the hashes: short keys, and an expression that stays within generated code.
+    """
+    cols = [clean(c) for c in (*roles.addresses, *roles.usernames)]
+    absent = sum((F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(cols)), F.lit(0))
+    hashed = [F.xxhash64(c).alias(f"_h{i}") for i, c in enumerate(cols)] + [F.xxhash64(F.lit(1), c).alias(f"_g{i}") for i, c in enumerate(cols)]
+    base = df.select(F.col(id_col).alias("id"), *extra, absent.alias("_absent"), *hashed)
+    kept = base.columns[: 1 + len(extra)]
+    rows = base.withColumn("s", F.explode(F.array(*[F.lit(_mask(s)) for s, _ in subsets]))).where(F.col("s").bitwiseAND(F.col("_absent")) == 0)
+    bit = lambda i: F.col("s").bitwiseAND(F.lit(1 << i)) != 0
+    weight = 6 * F.bit_count(F.col("s").bitwiseAND(F.lit(_mask(range(len(roles.addresses)))))) + 3 * F.bit_count(F.shiftright("s", len(roles.addresses)))
+    parts = lambda p: [F.when(bit(i), F.col(f"_{p}{i}")).otherwise(F.lit(0).cast("long")) for i in range(len(cols))]
+    return rows.select(*kept, "s", weight.alias("w"), F.xxhash64("s", *parts("h")).alias("h"), F.xxhash64(*parts("g"), "s").alias("g"))
 
 
 def _networks(roles: FieldRoles) -> Column:
@@ -70,18 +88,18 @@ def blocked_links(df: DataFrame, roles: FieldRoles, threshold: float, id_col: st
     roles.check(df)
     need = threshold * scale(roles) - 1e-9
     strong = [(s, w) for s, w in _subsets(roles) if w >= need]
-    least = [(s, w) for s, w in strong if not any(set(t) < set(s) for t, _ in strong)]
+    least = [(s, w) for s, w in strong if not any(t < s for t, _ in strong)]
     rows = _keyed(df, id_col, roles, least, [_networks(roles).alias("nets")])
-    tied = F.col("s").isin(*[i for i, (s, _) in enumerate(least) if not set(s) & set(roles.addresses)])
+    tied = F.col("s").bitwiseAND(F.lit(_mask(range(len(roles.addresses))))) == 0
 
     def linked(part: DataFrame, by: list[str], heads: DataFrame) -> DataFrame:
         first = heads.groupBy(*by).agg(F.min("id").alias("dst"))
         return part.join(first, by).where("id <> dst").select(F.col("id").alias("src"), "dst")
 
     free, users = rows.where(~tied).drop("nets"), rows.where(tied)
-    nets = users.select("id", "s", "key", F.explode("nets").alias("net"))
-    out = linked(free, ["s", "key"], free).unionByName(linked(nets, ["s", "key", "net"], nets))
-    return out.unionByName(linked(users, ["s", "key"], users.where(F.size("nets") == 0))).distinct()
+    nets = users.select("id", *KEY, F.explode("nets").alias("net"))
+    out = linked(free, KEY, free).unionByName(linked(nets, [*KEY, "net"], nets))
+    return out.unionByName(linked(users, KEY, users.where(F.size("nets") == 0))).distinct()
 
 
 def links(df: DataFrame, roles: FieldRoles, threshold: float, id_col: str = "alert_idx", time_col: str | None = None) -> DataFrame:
@@ -89,28 +107,40 @@ def links(df: DataFrame, roles: FieldRoles, threshold: float, id_col: str = "ale
     roles.check(df)
     full, subsets = scale(roles, time_col is not None), _subsets(roles)
     need = threshold * full - 1e-9
-    if time_col is None:
-        strong = [(s, w) for s, w in subsets if w >= need]
-        least = [(s, w) for s, w in strong if not any(set(t) < set(s) for t, _ in strong)]  # larger sets add no link
-        rows = _keyed(df, id_col, roles, least, [])
-        firsts = rows.groupBy("s", "key").agg(F.min("id").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        return rows.join(firsts, ["s", "key"]).where("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
-    possible = [(s, w) for s, w in subsets if w + 1 >= need]
-    rows = _keyed(df, id_col, roles, possible, [F.unix_micros(F.col(time_col).cast("timestamp")).alias("us")])
-    by = Window.partitionBy("s", "key")
-    prev = rows.withColumn("p", F.lag("id").over(by.orderBy("us", "id"))).withColumn("pu", F.lag("us").over(by.orderBy("us", "id"))).withColumn("head", F.min("id").over(by))
-    near = F.coalesce(F.greatest(F.lit(0.0), 1 - (F.col("us") - F.col("pu")) / 3.6e9), F.lit(0.0))
-    timed = prev.where(F.col("p").isNotNull() & (F.col("w") + near >= need)).select(F.col("id").alias("src"), F.col("p").alias("dst"))
-    plain = prev.where((F.col("w") >= need) & (F.col("id") != F.col("head"))).select(F.col("id").alias("src"), F.col("head").alias("dst"))
-    return timed.unionByName(plain).distinct()
+    strong = [(s, w) for s, w in subsets if w >= need]
+    least = [(s, w) for s, w in strong if not any(t < s for t, _ in strong)]  # larger sets add no link
+    rows = _keyed(df, id_col, roles, least, []) if least else None
+    plain = None
+    if rows is not None:
+        firsts = rows.groupBy(*KEY).agg(F.min("id").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        plain = rows.join(firsts, KEY).where("id <> dst").select(F.col("id").alias("src"), "dst")
+    close = [(s, w) for s, w in subsets if w < need <= w + 1] if time_col else []  # these need nearness in time as well
+    if close:
+        timed = _keyed(df, id_col, roles, close, [F.unix_micros(F.col(time_col).cast("timestamp")).alias("us")])
+        order = Window.partitionBy(*KEY).orderBy("us", "id")
+        prev = timed.withColumn("p", F.lag("id").over(order)).withColumn("pu", F.lag("us").over(order))
+        near = F.coalesce(F.greatest(F.lit(0.0), 1 - (F.col("us") - F.col("pu")) / 3.6e9), F.lit(0.0))
+        near_links = prev.where(F.col("p").isNotNull() & (F.col("w") + near >= need)).select(F.col("id").alias("src"), F.col("p").alias("dst"))
+        plain = near_links if plain is None else plain.unionByName(near_links)
+    if plain is None:
+        return df.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst")).where(F.lit(False))
+    return plain.distinct()
 
 
 def max_scores(df: DataFrame, roles: FieldRoles, id_col: str = "alert_idx") -> DataFrame:
-    """Per row the best score with any other row (non-temporal): the heaviest subset that it shares."""
-    rows = _keyed(df, id_col, roles, _subsets(roles), [])
-    shared = rows.groupBy("s", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "key")
-    best = rows.join(shared, ["s", "key"]).groupBy("id").agg((F.max("w") / scale(roles)).alias("best"))
-    return df.select(F.col(id_col)).join(best, F.col(id_col) == F.col("id"), "left").select(id_col, F.coalesce("best", F.lit(0.0)).alias("max_correlation_score"))
+    """Per row the best score with any other row (non-temporal): the heaviest subset that it shares.
+
+    Rows of equal role values have one answer, so they are folded into one before subsets are dealt out.
+    """
+    cols = [*roles.addresses, *roles.usernames]
+    values = [F.coalesce(clean(c), F.lit("")) for c in cols]  # an empty text is no value
+    own = [F.xxhash64(*values).alias("t"), F.xxhash64(F.lit(1), *values[::-1]).alias("u")]
+    tuples = df.groupBy(*[clean(c).alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("n")).select("*", F.struct(*own).alias("id"))
+    rows = _keyed(tuples, "id", roles, _subsets(roles), [F.col("n")])
+    shared = rows.groupBy(*KEY).agg(F.sum("n").alias("m")).where("m > 1").select(*KEY)
+    best = rows.join(shared, KEY).groupBy("id").agg((F.max("w") / scale(roles)).alias("best"))
+    found = best.select(F.col("id.t").alias("t"), F.col("id.u").alias("u"), "best")
+    return df.select(F.col(id_col), *own).join(found, ["t", "u"], "left").select(id_col, F.coalesce("best", F.lit(0.0)).alias("max_correlation_score"))
 
 
 def clusters_of(df: DataFrame, edges: DataFrame, id_col: str = "alert_idx", name: str = "pred_cluster") -> DataFrame:
