@@ -54,11 +54,14 @@ def normalise(df: DataFrame, mapping: dict[str, str] | None = None, customer: st
 
 
 def ensure_timestamp(df: DataFrame, base: str = "2024-01-01 00:00:00", id_col: str | None = None) -> DataFrame:
-    """``timestamp`` from the first present time column; without one, ticks of a second in order of ``id_col``."""
+    """``timestamp`` from the first present time column; without one, ticks of a second a row in order of ``id_col`` (unique)."""
     found = first_present(df, TIME_COLUMNS)
     if found:
         return df.withColumn("timestamp", F.col(found).try_cast("timestamp")).where("timestamp is not null")
-    return df.withColumn("timestamp", F.timestamp_seconds(F.unix_timestamp(F.lit(base).cast("timestamp")) + F.col(id_col or df.columns[0])))
+    from alertloom.operators.correlation import dense
+
+    placed = dense(df, id_col or df.columns[0], "_place")
+    return placed.withColumn("timestamp", F.timestamp_seconds(F.unix_timestamp(F.lit(base).cast("timestamp")) + F.col("_place"))).select(*df.columns, "timestamp")
 
 
 def new_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:

@@ -56,6 +56,12 @@ class LiveCorrelator:
         writer = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
+    def counters(self, spark: SparkSession) -> DataFrame:
+        """One row from the tables, so a restart loses none: events and batches kept, correlations run, clusters emitted, the last event's arrival."""
+        kept = spark.read.parquet(f"{self.folder}/alerts").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("batch").alias("batches"), (F.countDistinct(F.when((F.col("batch") + 1) % self.every == 0, F.col("batch")))).alias("correlations"), F.max("_ingested_at").alias("last_ingested"))
+        found = self.emitted(spark).agg(F.count(F.lit(1)).alias("clusters"))
+        return kept.crossJoin(F.broadcast(found))  # one row each
+
     def emitted(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/emitted")
 

@@ -148,6 +148,8 @@ def test_live_loop_finds_what_a_batch_finds(spark, small, tmp_path):
     emitted = {r.cluster_key for r in loop.emitted(spark).collect()}
     whole = {r.cluster_key for r in live.cluster_keys(co.correlate(a, FieldRoles(), 0.5)).where("size >= 2").collect()}
     assert whole <= emitted and loop.emitted(spark).count() == len(emitted)
+    c = loop.counters(spark).first()
+    assert (c.events, c.batches, c.correlations, c.clusters) == (240, 3, 3, len(emitted))
 
 
 def test_streaming_counts_equal_batch(spark, small, tmp_path):
