@@ -11,6 +11,9 @@ from alertloom.functions.scalars import cosine
 from alertloom.operators.components import connected_components
 from alertloom.plans.stage import written
 
+#: Rows of a block that are compared with another block's at once.
+BLOCK_ROWS = 2048
+
 
 def centroids(df: DataFrame, vector: str, group: str) -> DataFrame:
     """Mean vector of each group, a component at a time, so it is a plain aggregation."""
@@ -20,10 +23,11 @@ def centroids(df: DataFrame, vector: str, group: str) -> DataFrame:
 
 def cosine_links(df: DataFrame, vector: str, id_col: str, least: float, bits: int = 0, tables: int = 1, seed: int = 7) -> DataFrame:
     """Pairs (src < dst) of cosine ``least`` or more. With ``bits`` > 0 only pairs that agree in the signs of that many random
-    projections in any of ``tables`` tables are compared; with 0, meant for few rows (centroids), all pairs are, in blocks."""
+    projections in any of ``tables`` tables are compared; with 0, meant for few rows (centroids), all pairs are, in blocks whose size
+    doesn't grow with the table."""
     base = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     if bits == 0:
-        blocks = 16
+        blocks = max(16, -(-base.count() // BLOCK_ROWS))
         own = base.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         side = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("*", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
         rows = side.select("p", "q", "b", "id", "v")

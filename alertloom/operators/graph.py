@@ -61,19 +61,18 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: i
 def betweenness(edges: DataFrame, sources: int = 100, most_edges: int = 200_000) -> DataFrame:
     """Brandes' betweenness from up to ``sources`` nodes (all, or those of the smallest hash), divided by the largest.
 
-    The adjacency goes to every task, so graphs of more than ``most_edges`` distinct edges are refused; cut the graph to a
-    campaign first.
+    Up to ``most_edges`` distinct edges the adjacency goes to every task; a larger graph is searched level by level with joins.
     """
     pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     rows = pairs.limit(most_edges + 1).collect()
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    start = nodes.orderBy(F.xxhash64("node"), "node").limit(sources)
     if len(rows) > most_edges:
-        raise ValueError(f"more than {most_edges} edges")
+        return _shares(nodes, _dependencies(pairs, start))
     near: dict[str, list[str]] = {}
     for r in rows:
         near.setdefault(r.a, []).append(r.b)
         near.setdefault(r.b, []).append(r.a)
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    start = nodes.orderBy(F.xxhash64("node"), "node").limit(sources)
 
     def brandes(batches):
         for batch in batches:
@@ -99,12 +98,38 @@ def betweenness(edges: DataFrame, sources: int = 100, most_edges: int = 200_000)
                         total[w] = total.get(w, 0.0) + gain[w]
             yield pd.DataFrame({"node": list(total), "b": list(total.values())})
 
-    sums = start.repartition(8).mapInPandas(brandes, "node string, b double").groupBy("node").agg(F.sum("b").alias("b"))
+    return _shares(nodes, start.repartition(8).mapInPandas(brandes, "node string, b double"))
+
+
+def _shares(nodes: DataFrame, gains: DataFrame) -> DataFrame:
+    sums = gains.groupBy("node").agg(F.sum("b").alias("b"))
     top = sums.agg(F.max("b").alias("_m"))
     scored = sums.crossJoin(F.broadcast(top)).select("node", F.when(F.col("_m") > 0, F.col("b") / F.col("_m")).otherwise(0.0).alias("betweenness"))  # one row
     return nodes.join(scored, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
+def _dependencies(pairs: DataFrame, start: DataFrame) -> DataFrame:
+    """What each source (smallest hash first) adds to each node: paths are counted level by level, each level a written table, then gains go back
+    up the same levels. A row for each source and node; the driver holds only the number of levels."""
+    both = written(pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).union(pairs.select("b", "a")), "both")
+    levels = [written(start.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")), "level")]
+    while True:
+        reached = levels[-1].join(both, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        for seen in levels[-2:]:  # a neighbour of a level is in it, in the one before or in the next
+            reached = reached.join(seen.select("s", "v"), ["s", "v"], "left_anti")
+        level = written(reached, "level")
+        if level.limit(1).count() == 0:
+            break
+        levels.append(level)
+    out, below = None, levels[-1].withColumn("gain", F.lit(0.0))
+    for up in reversed(levels[:-1]):
+        out = below if out is None else out.unionByName(below)
+        shares = below.select("s", F.col("v").alias("w"), ((1 + F.col("gain")) / F.col("paths")).alias("x")).join(both, "w").groupBy("s", "v").agg(F.sum("x").alias("x"))
+        below = written(up.join(shares, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("gain")), "gains")
+    found = below if out is None else out.unionByName(below)
+    return found.where("s <> v").select(F.col("v").alias("node"), F.col("gain").alias("b"))
+
+
 def campaign_graph(df: DataFrame, hosts: tuple[str, ...] = ("SourceHostName", "DestinationHostName"), tactic: str = "MalwareIntelAttackType") -> DataFrame:
     """Weighted edges host to tactic."""
     rows = df.select(F.col(tactic).alias("tactic"), F.explode(F.array(*[clean(h) for h in hosts])).alias("host")).where("host is not null")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertloom.operators import correlation as co
+from alertloom.operators import graph as gr
 from alertloom.operators import reports as re_
 from alertloom.schema import FieldRoles
 from alertloom.sources import connectors as cn
@@ -45,6 +46,16 @@ def test_cluster_weights(spark):
     assert re_.cluster_weights(none, "w", "n").count() == 0
 
 
+@pytest.mark.parametrize("sources", [5, 100])
+def test_betweenness_is_the_same_by_joins(spark, sources):
+    r = random.Random(3)
+    edges = {(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(45)} | {("x", "y"), ("y", "z"), ("q", "q")}
+    df = spark.createDataFrame(sorted(edges), "src string, dst string")
+    small = {x.node: x.betweenness for x in gr.betweenness(df, sources).collect()}
+    large = {x.node: x.betweenness for x in gr.betweenness(df, sources, most_edges=3).collect()}
+    assert large == pytest.approx(small) and max(small.values()) == 1.0
+
+
 def test_feature_baseline_finds_plain_groups(spark):
     rows = [(i, float(i % 3) * 100 + i * 0.01, "abc"[i % 3]) for i in range(60)]
     got = re_.feature_baseline(spark.createDataFrame(rows, "alert_idx long, x double, kind string"), ["x"], "kind").first()
