@@ -1,8 +1,8 @@
 """Cost-balanced packing of token streams into fixed-length training sequences.
 
 Method: a piece of n tokens costs ``LINEAR * n + QUADRATIC * n**2`` (feed-forward and attention). Pieces are taken in descending
-length and each goes to the sequence of lowest cost that still has room; a piece that fits nowhere is cut at the room of the
-lowest-cost open sequence. Groups of about ``GROUP_TOKENS`` tokens are packed by the task that read them, so there is no
+length and each goes to the sequence of lowest cost that still has room; a piece that fits nowhere is cut at the largest room, that of
+the sequence of lowest cost among equals. Groups of about ``GROUP_TOKENS`` tokens are packed by the task that read them, so there is no
 shuffle; capacities of a group add up to exactly its tokens (full sequences, then powers of two for the rest), so nothing is
 padding.
 """
