@@ -99,8 +99,8 @@ def fusion_summary(df: DataFrame, windows: DataFrame, entities: tuple[str, ...],
     main = rows.groupBy("window").agg(F.min(time).alias("timestamp"), F.array_sort(F.collect_set(domain)).alias("d"), F.array_sort(F.collect_set(tactic)).alias("t"), filled.alias("num_entities")).where(F.size("d") > 1)
     both = lambda pair: F.array_contains("d", pair[0]) & F.array_contains("d", pair[1])
     found = F.filter(F.array(F.concat(F.lit("multi_domain:"), F.size("d").cast("string"), F.lit("_domains")), *[F.when(both(pair), name) for name, pair in CROSS_DOMAIN.items()]), lambda x: x.isNotNull())
-    text = lambda c, name: [F.size(c).alias(f"num_{name}"), F.array_join(c, ",").alias(name)]
-    return main.select("window", "timestamp", *text("d", "domains"), *text("t", "tactics"), *text(found, "indicators"), "num_entities")
+    text = lambda c, name: [F.size(c).cast("long").alias(f"num_{name}"), F.array_join(c, ",").alias(name)]
+    return main.select("window", "timestamp", *text("d", "domains"), *text("t", "tactics"), *text(found, "indicators"), F.col("num_entities").cast("long").alias("num_entities"))
 
 
 def detection_report(times: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def g2_cluster_weights(spark, d):
 
 @query(
     over_alerts(
-        "SELECT head AS \"window\", count(DISTINCT dm) AS num_domains, string_agg(DISTINCT dm, ',' ORDER BY dm) AS domains, count(DISTINCT MalwareIntelAttackType) AS num_tactics, string_agg(DISTINCT MalwareIntelAttackType, ',' ORDER BY MalwareIntelAttackType) AS tactics, 1 + (bool_or(dm = 'host') AND bool_or(dm = 'network'))::INT + (bool_or(dm = 'email') AND bool_or(dm = 'network'))::INT + (bool_or(dm = 'cloud') AND bool_or(dm = 'endpoint'))::INT AS num_indicators, 'multi_domain:' || count(DISTINCT dm) || '_domains' || CASE WHEN bool_or(dm = 'host') AND bool_or(dm = 'network') THEN ',suspected_lateral_movement' ELSE '' END || CASE WHEN bool_or(dm = 'email') AND bool_or(dm = 'network') THEN ',suspected_phishing_campaign' ELSE '' END || CASE WHEN bool_or(dm = 'cloud') AND bool_or(dm = 'endpoint') THEN ',suspected_cloud_compromise' ELSE '' END AS indicators, (count(SourceAddress) > 0)::INT + (count(nullif(DeviceAddress, 'NIL')) > 0)::INT + (count(DestinationHostName) > 0)::INT AS num_entities FROM m GROUP BY head HAVING count(DISTINCT dm) > 1",
+        "SELECT head AS \"window\", count(DISTINCT dm) AS num_domains, string_agg(DISTINCT dm, ',' ORDER BY dm) AS domains, count(DISTINCT MalwareIntelAttackType) AS num_tactics, string_agg(DISTINCT MalwareIntelAttackType, ',' ORDER BY MalwareIntelAttackType) AS tactics, 1 + (bool_or(dm = 'host') AND bool_or(dm = 'network'))::INT + (bool_or(dm = 'email') AND bool_or(dm = 'network'))::INT + (bool_or(dm = 'cloud') AND bool_or(dm = 'endpoint'))::BIGINT AS num_indicators, 'multi_domain:' || count(DISTINCT dm) || '_domains' || CASE WHEN bool_or(dm = 'host') AND bool_or(dm = 'network') THEN ',suspected_lateral_movement' ELSE '' END || CASE WHEN bool_or(dm = 'email') AND bool_or(dm = 'network') THEN ',suspected_phishing_campaign' ELSE '' END || CASE WHEN bool_or(dm = 'cloud') AND bool_or(dm = 'endpoint') THEN ',suspected_cloud_compromise' ELSE '' END AS indicators, (count(SourceAddress) > 0)::INT + (count(nullif(DeviceAddress, 'NIL')) > 0)::INT + (count(DestinationHostName) > 0)::BIGINT AS num_entities FROM m GROUP BY head HAVING count(DISTINCT dm) > 1",
         _ROWS[0], _WINDOWS,
         f"m AS (SELECT wd.head, alerts.*, {_sql_list(DOMAINS)}[1 + CAST(k % 5 AS INT)] AS dm FROM wd JOIN alerts USING (alert_idx))",
         recursive=True,
@@ -193,7 +193,7 @@ def src12_flow_alerts(spark, d):
     return out.drop("timestamp")
 
 
-@query("SELECT name, 'parquet' AS format, 1 AS n_files, false AS streaming FROM (VALUES ('nation_set'), ('region_set')) v(name)")
+@query("SELECT name, 'parquet' AS format, 1::BIGINT AS n_files, false AS streaming FROM (VALUES ('nation_set'), ('region_set')) v(name)")
 def src5_discover(spark, d):
     from alertloom.plans.stage import shared_dir
 
@@ -223,7 +223,7 @@ def src10_load_flows(spark, d):
     return ds.load_flows(spark, path).select("alert_idx", "SourceAddress", "SourceHostName", "alert_type")
 
 
-@query("SELECT 10000 AS n, true AS shares, true AS ports, true AS ordered")
+@query("SELECT 10000::BIGINT AS n, true AS shares, true AS ports, true AS ordered")
 def src24_generated_flows(spark, d):
     f = ds.generated_flows(spark, 10000)
     normal = F.avg((F.col("Label") == "Normal").cast("double"))
