@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from alertloom.functions.scalars import alert_severity
 from alertloom.operators.correlation import correlate
+from alertloom.plans.stage import removed
 from alertloom.schema import FieldRoles
 
 
@@ -29,20 +30,44 @@ def newest(df: DataFrame, n: int, id_col: str = "alert_idx") -> DataFrame:
     return df.orderBy(F.col("EndDate").desc(), F.col(id_col).desc()).limit(n)
 
 
+def _numbered(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the finished tables in a folder, ascending."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [f.getPath() for f in fs.listStatus(at)]
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(done(p, "_SUCCESS")))
+
+
 class LiveCorrelator:
     """Keeps alerts and emitted clusters as tables in ``folder``; each micro-batch appends, correlates the ``window`` newest alerts
-    and appends those clusters of two or more alerts whose key no batch has emitted. A batch that runs again after a failure
-    overwrites what it wrote."""
+    (None: all) and appends those clusters of two or more alerts whose key no batch has emitted. The newest alerts are a table of
+    their own, made from the last one and the batch, so a batch costs the window and not the history. A batch that runs again
+    after a failure overwrites what it wrote."""
 
-    def __init__(self, folder: str, roles: FieldRoles | None = None, threshold: float = 0.5, window: int = 5000, least: int = 2, every: int = 1):
+    def __init__(self, folder: str, roles: FieldRoles | None = None, threshold: float = 0.5, window: int | None = 5000, least: int = 2, every: int = 1):
         self.folder, self.roles, self.threshold, self.window, self.least, self.every = folder.rstrip("/"), roles or FieldRoles(), threshold, window, least, every
 
+    def _buffer(self, df: DataFrame, number: int) -> DataFrame:
+        """The newest alerts up to this batch. The tables of the two batches before stay, for one that runs again."""
+        spark, path = df.sparkSession, f"{self.folder}/newest"
+        own = spark.read.schema(df.schema).parquet(f"{self.folder}/alerts/batch={number}")
+        last = _numbered(spark, path)
+        before = [n for n in last if n < number]
+        both = own.unionByName(spark.read.schema(df.schema).parquet(f"{path}/{before[-1]}")) if before else own
+        newest(both, self.window).write.mode("overwrite").parquet(f"{path}/{number}")
+        for n in before[:-2]:
+            removed(spark, f"{path}/{n}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{number}")
+
     def batch(self, df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         df.withColumn("_ingested_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{self.folder}/alerts/batch={number}")
+        recent = self._buffer(df, number) if self.window else spark.read.parquet(f"{self.folder}/alerts").where(F.col("batch") <= number)
         if (number + 1) % self.every:
             return
-        recent = newest(spark.read.parquet(f"{self.folder}/alerts").where(F.col("batch") <= number), self.window)
         found = cluster_keys(correlate(recent, self.roles, self.threshold)).where(F.col("size") >= self.least)
         try:
             known = spark.read.parquet(f"{self.folder}/emitted").where(F.col("batch") < number).select("cluster_key")

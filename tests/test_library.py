@@ -97,6 +97,15 @@ def test_hungarian_against_all_permutations():
         assert sum(c[i][j] for i, j in enumerate(ev.hungarian(c))) == best
 
 
+def test_mapped_accuracy_of_uneven_tables(spark):
+    rnd = random.Random(5)
+    cells = {("a", p): rnd.randint(1, 9) for p in range(4)} | {("b", p): rnd.randint(1, 9) for p in range(2)} | {("c", 7): 5, ("d", 7): 6, ("e", 8): 2}
+    t = spark.createDataFrame([(x, y, n) for (x, y), n in cells.items()], "true string, pred int, n long")
+    best = max(sum(cells.get((x, y), 0) for x, y in zip("abcde", p)) for p in itertools.permutations([0, 1, 2, 3, 7, 8], 5))
+    assert abs(ev.mapped_accuracy(t) - best / sum(cells.values())) < 1e-12
+    assert ev.mapped_accuracy(t.limit(0)) == 0.0
+
+
 def test_betweenness_of_a_star(spark):
     e = spark.createDataFrame([("hub", x) for x in "abcde"], "src string, dst string")
     got = {r.node: r.betweenness for r in gr.betweenness(e).collect()}
@@ -148,8 +157,17 @@ def test_live_loop_finds_what_a_batch_finds(spark, small, tmp_path):
     emitted = {r.cluster_key for r in loop.emitted(spark).collect()}
     whole = {r.cluster_key for r in live.cluster_keys(co.correlate(a, FieldRoles(), 0.5)).where("size >= 2").collect()}
     assert whole <= emitted and loop.emitted(spark).count() == len(emitted)
+    kept = sorted(int(p.name) for p in (tmp_path / "out" / "newest").iterdir())
+    assert kept == [0, 1, 2] and spark.read.parquet(f"{tmp_path}/out/newest/2").count() == 240
     c = loop.counters(spark).first()
     assert (c.events, c.batches, c.correlations, c.clusters) == (240, 3, 3, len(emitted))
+    loop.window = 100
+    loop.batch(a.limit(0), 3)
+    top = {r.alert_idx for r in live.newest(a, 100).collect()}
+    assert {r.alert_idx for r in spark.read.parquet(f"{tmp_path}/out/newest/3").collect()} == top
+    assert sorted(int(p.name) for p in (tmp_path / "out" / "newest").iterdir()) == [1, 2, 3]
+    loop.batch(a.limit(0), 3)  # again, as after a failure
+    assert {r.alert_idx for r in spark.read.parquet(f"{tmp_path}/out/newest/3").collect()} == top
 
 
 def test_streaming_counts_equal_batch(spark, small, tmp_path):
