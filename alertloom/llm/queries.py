@@ -72,6 +72,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_copies
+
+    return exact_copies(table(spark, sf_dir, "documents"))
+
+
+def op12_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .target_sampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .late_sessions import session_versions, turn_events
+
+    return session_versions(turn_events(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_secrets,
         op10_quality_rules,
+        op11_exact_dedup,
+        op12_target_sampling,
+        op13_late_sessions,
     )
 }
 
