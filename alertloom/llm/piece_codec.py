@@ -11,6 +11,7 @@ life; texts are put together from them.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .frames import lean, pick
-from .textops import U64, Block, blocks, ragged
+from .textops import Block, blocks, exact_groups, ragged
 
 BLANK = "▁"
 _BLANK_BYTES = BLANK.encode()
 #: Words that a worker remembers at most; beyond that it starts over.
 CACHE_WORDS = 700_000
-_PREFIXED = U64(0x5851F42D4C957F2D)
+#: Words of more characters are merged on their own, rank by rank.
+LONG_WORD = 400
 _FAR = np.int64(1) << 40
 
 
@@ -87,6 +89,10 @@ class Model:
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Piece ids of words that have no blanks but at most one in front."""
+        long = {i: self.merge_long(w) for i, w in enumerate(words) if len(w) > LONG_WORD}
+        if long:
+            short = iter(self.merge([w for i, w in enumerate(words) if i not in long]))
+            return [long[i] if i in long else next(short) for i in range(len(words))]
         text = "".join(words)
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -152,6 +158,78 @@ class Model:
             out.append(own)
         return out
 
+    def merge_long(self, word: str) -> list[int]:
+        """Piece ids of one long word. Its pairs wait by rank; a round takes those of the least rank, merges them from the left and looks
+        up only the pairs that are new, so a word costs its length and not its length for each rank."""
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        chars, inverse = np.unique(points, return_inverse=True)
+        n = len(points)
+        sym = np.append(np.array([self.symbol.get(chr(c), self.foreign) for c in chars], dtype=np.int64)[inverse], self.foreign)
+        before, after = np.arange(-1, n), np.arange(1, n + 2)
+        rank, made = np.full(n + 1, _FAR), np.zeros(n + 1, dtype=np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Ranks of the pairs that begin at these places, which then wait for their turn."""
+            rank[at], made[at] = self.look_up(sym[at], sym[after[at]])
+            at = at[rank[at] != _FAR]
+            by = at[np.lexsort((at, rank[at]))]
+            r = rank[by]
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for own in np.split(by, cuts) if len(by) else []:
+                k = int(rank[own[0]])
+                if k not in waiting:
+                    waiting[k] = []
+                    heapq.heappush(ranks, k)
+                waiting[k].append(own)
+
+        look(np.arange(max(0, n - 1)))
+        while ranks:
+            k = heapq.heappop(ranks)
+            parts = waiting.pop(k)
+            at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            at = at[rank[at] == k]
+            if not len(at):
+                continue
+            every, nxt = at, after[at]
+            if (nxt[:-1] == at[1:]).any():  # of overlapping ones every other, from the left
+                run = np.concatenate([[True], nxt[:-1] != at[1:]])
+                place = np.arange(len(at))
+                skip = (place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 1
+                at = at[~skip]
+            if self.alone[made[at]].any():  # what one makes may rank above the others, which then wait
+                front, behind = before[at], after[after[at]]
+                left = np.where(front >= 0, sym[front], self.foreign)
+                met = np.concatenate([[False], after[at[:-1]] == front[1:]])
+                left[met] = made[at[np.flatnonzero(met) - 1]]
+                above = np.minimum(self.look_up(left, made[at])[0], self.look_up(made[at], np.where(behind < n, sym[np.minimum(behind, n)], self.foreign))[0]) < k
+                if above.any():
+                    last = int(np.argmax(above)) + 1
+                    if last < len(at):
+                        waiting[k] = [every[every >= at[last]]]
+                        heapq.heappush(ranks, k)
+                    at = at[:last]
+            gone = after[at]
+            far = after[gone]
+            sym[at] = made[at]
+            sym[gone] = -1
+            rank[gone] = _FAR
+            after[at] = far
+            before[far] = at
+            front = before[at]
+            fresh = np.unique(np.concatenate([at[far < n], front[front >= 0]]))
+            rank[at] = _FAR
+            look(fresh[after[fresh] < n])
+        left = np.flatnonzero(sym[:n] >= 0)
+        limit, out = len(self.pieces), []
+        for s, c in zip(sym[left].tolist(), points[left].tolist(), strict=True):
+            if s < limit:
+                out.append(s)
+            else:
+                out += [self.bytes[b] for b in chr(c).encode("utf-8", "replace")]
+        return out
+
     def run(self, n: int) -> list[int]:
         """Ids of n blanks that no letter follows: again and again the leftmost two neighbours that make a piece become it."""
         whole = max(0, n // self.longest - 2)  # these end as longest pieces, which merge with nothing
@@ -232,20 +310,18 @@ class Codec:
         blanks += place - blanks == off[doc]  # the blank that is put in front of a text
         if len(word):
             prefixed = blanks[: len(word)] > 0
-            h = block.hashes(word, end) ^ np.where(prefixed, _PREFIXED, U64(0))
-            codes, keys = pd.factorize(h)
-            keys = keys.tolist()
+            codes, first = exact_groups(data, word, end, block.hashes(word, end))
+            codes, pairs = pd.factorize(2 * codes + prefixed)
+            raw, pre = data.tobytes(), (pairs % 2 == 1).tolist()
+            at = first[pairs // 2]
+            keys = [(b"\x01" if p else b"\x00") + raw[a:b] for a, b, p in zip(word[at].tolist(), end[at].tolist(), pre, strict=True)]
             if len(self.row) + len(keys) > self.cache_words:
                 self.clear()
             known = [self.row.get(k, -1) for k in keys]
             new = [i for i, r in enumerate(known) if r < 0]
             if new:
-                at = np.zeros(len(keys), dtype=np.int64)
-                at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-                at, raw = at[new], data.tobytes()
-                pre = prefixed[at].tolist()
-                words = [(BLANK if p else "") + raw[a:b].decode("utf-8", "replace") for a, b, p in zip(word[at].tolist(), end[at].tolist(), pre, strict=True)]
-                self._learn([(keys[i], p) for i, p in zip(new, pre, strict=True)], self.model.merge(words))
+                words = [(BLANK if pre[i] else "") + keys[i][1:].decode("utf-8", "replace") for i in new]
+                self._learn([(keys[i], pre[i]) for i in new], self.model.merge(words))
                 known = [self.row[k] for k in keys]
             own = np.array(known, dtype=np.int64)[codes]
             blanks[: len(word)] += np.where(prefixed, self.lone[own] - 1, 0)
@@ -319,7 +395,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
     """Per row: doc_id, n_tokens, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded text; with ``with_ids``
     also ids and decoded text.
 
-    Null counts as empty (no ids, empty text). Null doc_ids and repeated rows are carried through; an empty table gives none;
+    Null counts as empty (no ids, empty text). Texts and words of any length are encoded whole. Null doc_ids and repeated rows are carried through; an empty table gives none;
     other columns are ignored. No id begins or ends a text.
     """
     path = model or default_path()

@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import lean, pick
-from .textops import LEAD, SPACE, U64, Block, blocks, mix
+from .textops import LEAD, SPACE, Block, blocks, exact_groups
 
 #: Labelled rows that the forest is fitted on at most, those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -63,36 +64,35 @@ def block_stats(block: Block) -> np.ndarray:
     starts, ends, at = block.words()
     n_words = np.diff(at)
     row = np.repeat(np.arange(n), n_words)
-    with np.errstate(over="ignore"):
-        salt = mix((np.arange(n) + 1).astype(U64) * U64(0xD1342543DE82EF95))
-        h = block.hashes(starts, ends) + salt[row]
-        word_key = mix(h)
-        windows = mix(mix(h[:-2] * U64(3) + h[1:-1]) * U64(5) + h[2:]) if len(h) > 2 else np.zeros(0, dtype=U64)
-    inside = row[2:] == row[:-2] if len(h) > 2 else np.zeros(0, dtype=bool)
-    hit = np.zeros(len(h), dtype=bool)
+    word, first = exact_groups(data, starts, ends, block.hashes(starts, ends))
+    k = max(1, len(first))
+    inside = row[2:] == row[:-2] if len(word) > 2 else np.zeros(0, dtype=bool)
+    hit = np.zeros(len(word), dtype=bool)
     if inside.any():
-        rep = np.zeros(len(windows), dtype=bool)
-        rep[inside] = _repeated(windows[inside])
-        for k in range(3):
-            hit[k : len(h) - 2 + k] |= rep
+        at_ = np.flatnonzero(inside)
+        two, _ = pd.factorize(word[at_].astype(np.int64) * k + word[at_ + 1])
+        three, _ = pd.factorize(two.astype(np.int64) * k + word[at_ + 2])
+        rep = np.zeros(len(inside), dtype=bool)
+        rep[at_] = _repeated(three.astype(np.int64) * n + row[at_])
+        for j in range(3):
+            hit[j : len(word) - 2 + j] |= rep
     sums = np.concatenate([[0], np.cumsum(hit)])
     lines, line_ends, line_row = block.lines()
     full_sums = np.concatenate([[0], np.cumsum(~SPACE[data])])
     full = full_sums[line_ends] > full_sums[lines]
-    with np.errstate(over="ignore"):
-        keys = mix(block.hashes(lines[full], line_ends[full]) + salt[line_row[full]])
+    line, _ = exact_groups(data, lines[full], line_ends[full], block.hashes(lines[full], line_ends[full]))
     n_lines = np.bincount(line_row[full], minlength=n)
     out = {
         "n_words": n_words,
         "word_chars": block.count(LEAD[data] & ~SPACE[data]),
         "n_symbols": block.count(_SYMBOL[data]),
-        "n_dup_lines": n_lines - _distinct(line_row[full], keys, n),
+        "n_dup_lines": n_lines - _distinct(line_row[full], line.astype(np.int64) * n + line_row[full], n),
         "n_repeat_words": sums[at[1:]] - sums[at[:-1]],
         "n_upper": block.count(_UPPER[data]),
         "n_digits": block.count(_DIGIT[data]),
         "n_marks": block.count(_MARK[data]),
         "n_lines": n_lines,
-        "n_distinct_words": _distinct(row, word_key, n),
+        "n_distinct_words": _distinct(row, word.astype(np.int64) * n + row, n),
     }
     return np.stack([out[x] for x in STATS], axis=1).astype(np.int64)
 

@@ -1,7 +1,8 @@
 """Vectorised text primitives: Arrow strings as flat byte arrays, words, lines and their 64-bit hashes.
 
 A word is a maximal run of bytes other than ASCII white space (0x20, 0x09-0x0D). Hashes are polynomials modulo 2**64 over
-prefix sums, finished by a mixer, so any substring of a block costs two look-ups.
+prefix sums, finished by a mixer, so any substring of a block costs two look-ups. Texts can be made whose hashes are equal; where
+a result must be exact, ``exact_groups`` compares the bytes.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -143,6 +145,54 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+#: Bytes that are compared eight at a time; what lies beyond is compared as a whole.
+_STRIDES = 64
+
+
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pairs of ranges, from ``a`` and ``b`` on and of ``size`` bytes each, hold the same bytes."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    same, todo = np.ones(len(a), dtype=bool), np.flatnonzero(size > 0)
+    for k in range(0, 8 * _STRIDES, 8):
+        if not len(todo):
+            return same
+        x, y, left = a[todo] + k, b[todo] + k, size[todo] - k
+        ok = ((eight[x] ^ eight[y]) & _MASKS[np.minimum(left, 8)]) == 0
+        same[todo] = ok
+        todo = todo[ok & (left > 8)]
+    for i in todo.tolist():
+        k, n = 8 * _STRIDES, int(size[i])
+        same[i] = np.array_equal(data[a[i] + k : a[i] + n], data[b[i] + k : b[i] + n])
+    return same
+
+
+def exact_groups(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal strings [start, end), from 0 on in order of their first place, and these places. Hashes only suggest what may be equal: bytes are
+    compared, and strings that differ from the first with their hash are numbered by themselves."""
+    codes, _ = pd.factorize(hashes)
+    n = int(codes.max()) + 1 if len(codes) else 0
+    first = np.zeros(n, dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    lead = first[codes]
+    size = ends - starts
+    same = size == size[lead]
+    other = np.flatnonzero(same & (lead != np.arange(len(codes))))
+    same[other] = equal_ranges(data, starts[other], starts[lead[other]], size[other])
+    if not same.all():
+        known: dict[bytes, int] = {}
+        extra = []
+        for i in np.flatnonzero(~same).tolist():
+            own = data[starts[i] : ends[i]].tobytes()
+            if own not in known:
+                known[own] = n + len(extra)
+                extra.append(i)
+            codes[i] = known[own]
+        first = np.concatenate([first, np.array(extra, dtype=np.int64)])
+    return codes, first
+
+
 def shingles(block: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``words`` words (a shorter text: one run of all its words), and counts before each row."""
     starts, ends, at = block.words()

@@ -166,7 +166,8 @@ def _once(cut: DataFrame) -> DataFrame:
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write the store under ``path``.
 
-    Null text counts as empty (its stream is the end id). Null ids sort first, equal ids by their content, repeated rows are
+    Null text counts as empty (its stream is the end id); texts of any length are cut whole. Ids are whole numbers, others are an
+    error. Null ids sort first, equal ids by their content, repeated rows are
     documents of their own; an empty table gives a store without documents; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -199,9 +200,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "documents": [len(own)], "tokens": [sum(x[1] for x in own)], "root": pa.array([merkle([x[2] for x in own])], pa.binary())})
 
     parts = spark.read.parquet(f"{path}/recipes").select("part", "row", "n_tokens", "root").repartition("part").mapInArrow(lean(roots), "part int, documents long, tokens long, root binary").orderBy("part").collect()  # a row for each recipe file
-    before, lines = 0, []
+    before, lines, whole = 0, [], merkle([bytes(p.root) for p in parts])
     for p in parts:
-        lines.append((p.part, p.documents, p.tokens, before, bytes(p.root), merkle([bytes(x.root) for x in parts])))
+        lines.append((p.part, p.documents, p.tokens, before, bytes(p.root), whole))
         before += p.tokens
     spark.createDataFrame(lines, "part int, documents long, tokens long, tokens_before long, root binary, store_root binary").coalesce(1).write.parquet(f"{path}/manifest")
 
@@ -216,7 +217,7 @@ def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
     r = spark.read.schema("part int, row long, doc_id long, n_tokens long, start_in_part long, recipe binary, root binary").parquet(f"{path}/recipes")
     m = spark.read.schema("part int, documents long, tokens long, tokens_before long, root binary, store_root binary").parquet(f"{path}/manifest").select("part", "tokens_before")
-    return r.join(F.broadcast(m), "part").select("part", "row", "doc_id", "n_tokens", (F.col("tokens_before") + F.col("start_in_part")).alias("start"), "recipe", "root")  # a row for each recipe file
+    return r.join(m, "part").select("part", "row", "doc_id", "n_tokens", (F.col("tokens_before") + F.col("start_in_part")).alias("start"), "recipe", "root")  # Spark broadcasts the manifest if its size allows
 
 
 def _references(recipes: DataFrame) -> DataFrame:

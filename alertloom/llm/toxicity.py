@@ -86,23 +86,24 @@ class Lexicon:
 
 
 def segments(score: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first word, word after the last, score) of a sequence, in one pass (Ruzzo and Tompa)."""
+    """All maximal-scoring segments (first word, word after the last, score) of a sequence, in one pass (Ruzzo and Tompa).
+
+    Each segment keeps a link to the last one before it whose total in front is smaller; what lies between is never looked at again."""
     s = score - drift
     total = np.concatenate([[0.0], np.cumsum(s)])
-    gain = np.flatnonzero(s > 0).tolist()
-    found: list[tuple[int, int, float, float]] = []  # first, after, total in front, total at the end
-    for i in gain:
-        a, z, left, right = i, i + 1, float(total[i]), float(total[i + 1])
-        while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= left:
-                k -= 1
-            if k < 0 or found[k][3] >= right:
-                break
-            a, left = found[k][0], found[k][2]
+    gain = np.flatnonzero(s > 0)
+    lefts, rights = total[gain].tolist(), total[gain + 1].tolist()
+    found: list[tuple[int, int, float, float, int]] = []  # first, after, total in front, total at the end, link
+    for i, left, right in zip(gain.tolist(), lefts, rights, strict=True):
+        a, k = i, len(found) - 1
+        while k >= 0 and found[k][2] >= left:
+            k = found[k][4]
+        while k >= 0 and found[k][3] < right:  # one segment from there on
+            a, _, left, _, link = found[k]
             del found[k:]
-        found.append((a, z, left, right))
-    return [(a, z, right - left) for a, z, left, right in found]
+            k = link
+        found.append((a, i + 1, left, right, k))
+    return [(a, z, right - left) for a, z, left, right, _ in found]
 
 
 class Model:
@@ -157,7 +158,10 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     """Distinct labelled texts to learn from (text, toxic): rows whose crc32(doc_id as text) mod 3 is not 1, ``fit_rows`` at most."""
     lab = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 != 1")
     lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return docs.join(F.broadcast(lab), "doc_id").where("text is not null")  # fit_rows rows of 12 bytes at most
+    each = docs.select("doc_id").join(F.broadcast(lab), "doc_id").groupBy("doc_id", "toxic").count()  # fit_rows rows of 12 bytes at most
+    so_far = F.sum("count").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # ids may repeat
+    few = each.withColumn("_n", so_far).where(F.col("_n") <= fit_rows).select("doc_id", "toxic")
+    return docs.join(F.broadcast(few), "doc_id").where("text is not null")
 
 
 def _without_copies(rows: DataFrame) -> DataFrame:
@@ -252,7 +256,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     """Per row: doc_id, held_out, score, predicted, and the significant segments as word positions.
 
     Null and empty texts have no segments and get the score of such; null ids are carried through (held_out null); repeated rows
-    score alike; other columns are never read. Without labelled rows of both classes every score is 0.
+    score alike; texts of any length are scored whole, in linear time; other columns are never read. Without labelled rows of both classes every score is 0.
     """
     src = pick(docs, doc_id="doc_id", text="text")
     model = fit(src, labels, fit_rows)

@@ -1,6 +1,7 @@
 """Token ids of whole texts with a ``tokenizers`` BPE file whose pre-tokens never cross white space.
 
-Pre-tokens are found, lower-cased and hashed in bulk; each distinct one reaches the library once per worker and cache life.
+Pre-tokens are found, lower-cased, hashed and compared in bulk; each distinct one reaches the library once per worker and cache
+life.
 Words with anything but ASCII and Latin-1 letters, and words with an apostrophe or ``<|``, are units as a whole and go through
 the library's whole chain. Ids of a text are the concatenated ids of its units, which holds for this family of files: white
 space separates pre-tokens and is dropped, and special-token strings hold no white space.
@@ -11,9 +12,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 
-from .textops import SPACE, Block, ragged
+from .textops import SPACE, Block, exact_groups, ragged
 
 #: Units that a worker remembers at most; beyond that it starts over.
 CACHE_UNITS = 900_000
@@ -84,7 +84,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        self.row: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.begin = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
@@ -98,7 +98,7 @@ class WordEncoder:
             s = "".join([self.alphabet[b] for b in raw])
         return [t.id for t in self.model.tokenize(s)]
 
-    def _learn(self, keys: list[int], ids: list[list[int]]) -> None:
+    def _learn(self, keys: list[bytes], ids: list[list[int]]) -> None:
         n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat = np.fromiter((x for part in ids for x in part), dtype=np.int32, count=int(n.sum()))
         first = len(self.row)
@@ -119,19 +119,15 @@ class WordEncoder:
         low, starts, ends, whole, at = _units(block)
         if not len(starts):
             return np.zeros(0, dtype=np.int32), np.zeros(block.rows + 1, dtype=np.int64)
-        codes, keys = pd.factorize(low.hashes(starts, ends))
-        if len(self.row) + len(keys) > self.cache_units:
+        codes, first = exact_groups(low.data, starts, ends, low.hashes(starts, ends))
+        if len(self.row) + len(first) > self.cache_units:
             self.clear()
-        keys = keys.tolist()
-        get = self.row.get
+        raw, get = low.data.tobytes(), self.row.get
+        keys = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         known = [get(k, -1) for k in keys]
         new = [i for i, r in enumerate(known) if r < 0]
         if new:
-            first = np.zeros(len(keys), dtype=np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            at_new = first[new]
-            raw = low.data.tobytes()
-            self._learn([keys[i] for i in new], [self._ids(raw[x:y], w) for x, y, w in zip(starts[at_new].tolist(), ends[at_new].tolist(), whole[at_new].tolist(), strict=True)])
+            self._learn([keys[i] for i in new], [self._ids(keys[i], w) for i, w in zip(new, whole[first[new]].tolist(), strict=True)])
             known = [self.row[k] for k in keys]
         rows = np.array(known, dtype=np.int64)[codes]
         n = self.length[rows]
