@@ -22,17 +22,26 @@ def baseline(act: DataFrame) -> DataFrame:
     return act.groupBy("user", "day_type", "key").agg(F.sum("n").alias("total")).join(days, ["user", "day_type"]).select("user", "day_type", "key", (F.col("total") / F.col("days")).alias("avg"), "days")
 
 
-def anomalies(current: DataFrame, base: DataFrame, factor: float = 2.0, new_keys: bool = False, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Counts whose risk leaves [low, high]; users without a baseline, and with ``new_keys`` keys without one, have risk 100."""
+def with_baseline(current: DataFrame, base: DataFrame) -> DataFrame:
+    """Rows with what is expected of them: ``avg`` of their key, ``total`` of the user's type of day, ``known`` (the user has a baseline)."""
     sums = base.groupBy("user", "day_type").agg(F.sum("avg").alias("total"))
     known = base.select("user").distinct().withColumn("known", F.lit(True))
-    j = current.join(base.select("user", "day_type", "key", "avg"), ["user", "day_type", "key"], "left").join(sums, ["user", "day_type"], "left").join(known, "user", "left")
+    return current.join(base.select("user", "day_type", "key", "avg"), ["user", "day_type", "key"], "left").join(sums, ["user", "day_type"], "left").join(known, "user", "left")
+
+
+def judged(rows: DataFrame, factor: float = 2.0, new_keys: bool = False, low: float = LOW, high: float = HIGH, keep: list[str] | None = None) -> DataFrame:
+    """Of counts with their expectation, those whose risk leaves [low, high]."""
     x = (F.col("n") - F.coalesce("avg", F.lit(0.0))) / F.greatest(F.coalesce("total", F.lit(0.0)), F.lit(1.0)) * factor
     is_new = F.col("known").isNull() | (F.col("avg").isNull() if new_keys else F.lit(False))
-    out = j.select("user", "day_type", "day", "key", "n", is_new.alias("is_new"), F.when(is_new, 100.0).otherwise(risk_score(x)).alias("risk"))
+    out = rows.select("user", "day_type", "day", "key", "n", is_new.alias("is_new"), F.when(is_new, 100.0).otherwise(risk_score(x)).alias("risk"), *(keep or []))
     return out.where((F.col("risk") > high) | (F.col("risk") < low))
 
 
+def anomalies(current: DataFrame, base: DataFrame, factor: float = 2.0, new_keys: bool = False, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """Counts whose risk leaves [low, high]; users without a baseline, and with ``new_keys`` keys without one, have risk 100."""
+    return judged(with_baseline(current, base), factor, new_keys, low, high)
+
+
 def update_baseline(base: DataFrame, verdicts: DataFrame) -> DataFrame:
     """New means after judged counts (user, day_type, key, n, verdict): ``normal`` counts enter the mean, ``positive`` ones leave
     it as it is, keys without a baseline start with their count unless they are positive."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,23 +58,37 @@ def adapt_thresholds(df: DataFrame, user: str, risk: str, anomalous: str, order:
 
 
 def online_centroids(df: DataFrame, by: list[str], vector: str, order: str, least: float = 0.7, decay: float = 0.99) -> DataFrame:
-    """Each row joins the nearest centroid of its key (cosine above ``least``), which moves towards it, or starts a new one. The
-    order of a key's rows matters, so a key is folded in one task; keys are independent."""
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + f", id {df.schema[order].dataType.simpleString()}, cluster int"
+    """Each row joins the nearest centroid of its key (cosine above ``least``), which moves towards it, or starts a new one.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        centres, out = [], []
-        for v in pdf[vector]:
-            x = np.asarray(v, dtype=float)
-            sims = [float(c @ x / (np.linalg.norm(c) * np.linalg.norm(x) + 1e-8)) for c in centres]
-            k = int(np.argmax(sims)) if sims else -1
-            if k >= 0 and sims[k] > least:
-                centres[k] = decay * centres[k] + (1 - decay) * x
-            else:
-                k = len(centres)
-                centres.append(x)
-            out.append(k)
-        return pdf[by].assign(id=pdf[order], cluster=out)
-
-    return df.select(*by, vector, order).groupBy(*by).applyInPandas(fold, schema)
+    The order of a key's rows matters, so a key is folded in one task, row after row as they come sorted: memory holds a batch and the
+    centroids, not the key. Rows with a null vector or order have none. ``streaming.stateful.centroid_stream`` does this on a stream.
+    """
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + f", id {df.schema[order].dataType.simpleString()}, cluster int"
+    keys = len(by)
+    rows = df.where(F.col(vector).isNotNull() & F.col(order).isNotNull()).select(*by, order, F.col(vector).cast("array<double>").alias("_vector"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, centres, norms = None, 0, np.zeros((0, 0)), np.zeros(0)
+        for batch in batches:
+            out = []
+            for *key, x in zip(*[batch.column(i).to_pylist() for i in range(keys)], batch.column(keys + 1).to_pylist(), strict=True):
+                x = np.array(x)
+                if key != last:
+                    last, n, centres, norms = key, 0, np.zeros((8, len(x))), np.zeros(8)
+                k = -1
+                if n:
+                    sims = centres[:n] @ x / (norms[:n] * np.linalg.norm(x) + 1e-8)
+                    k = int(np.argmax(sims))
+                    k = k if sims[k] > least else -1
+                if k < 0:
+                    if n == len(norms):
+                        centres, norms = np.concatenate([centres, np.zeros_like(centres)]), np.concatenate([norms, np.zeros_like(norms)])
+                    k, n = n, n + 1
+                    centres[k] = x
+                else:
+                    centres[k] = decay * centres[k] + (1 - decay) * x
+                norms[k] = np.linalg.norm(centres[k])
+                out.append(k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: keys + 1], pa.array(out, pa.int32())], [*by, "id", "cluster"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(fold, schema)
