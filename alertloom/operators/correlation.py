@@ -102,6 +102,18 @@ def blocked_links(df: DataFrame, roles: FieldRoles, threshold: float, id_col: st
     return out.unionByName(linked(users, KEY, users.where(F.size("nets") == 0))).distinct()
 
 
+def group_keys(df: DataFrame, roles: FieldRoles, threshold: float, id_col: str = "alert_idx") -> DataFrame:
+    """``id`` and the digest (h, g) of each group whose members are all linked: two rows are linked if and only if they share one. A plain
+    projection, so it runs on a stream as well."""
+    roles.check(df)
+    need = threshold * scale(roles) - 1e-9
+    strong = [(s, w) for s, w in _subsets(roles) if w >= need]
+    least = [(s, w) for s, w in strong if not any(t < s for t, _ in strong)]  # larger sets add no link
+    if not least:
+        return df.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g")).where(F.lit(False))
+    return _keyed(df, id_col, roles, least, []).select("id", *KEY)
+
+
 def links(df: DataFrame, roles: FieldRoles, threshold: float, id_col: str = "alert_idx", time_col: str | None = None) -> DataFrame:
     """Links (src, dst) whose components are those of the full pair graph."""
     roles.check(df)
