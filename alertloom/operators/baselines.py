@@ -54,6 +54,43 @@ def cosine_links(df: DataFrame, vector: str, id_col: str, least: float, bits: in
     return near.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
 
 
+def mean_similarity_clusters(df: DataFrame, cluster: str, vector: str, least: float = 0.7, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``cluster`` and ``merged`` (the least cluster that it is joined with): clusters whose members' pairwise cosines average ``least`` or more join.
+
+    The mean of all pairwise cosines of two clusters is the dot product of their mean unit vectors, so no pair of members is ever made.
+    That is at most the product of the two means' lengths: clusters are laid in blocks by length, longest first, and only pairs of
+    blocks whose longest means reach ``least`` are compared. Rows without a vector or with a zero one count as members with cosine 0; a null cluster is none.
+    """
+    rows = df.where(F.col(cluster).isNotNull()).select(F.col(cluster).alias("c"), F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    parts = rows.select("c", F.posexplode_outer(F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))).alias("i", "x"))
+    sizes = rows.groupBy("c").agg(F.count("*").alias("n"))
+    sums = parts.where("i is not null").groupBy("c", "i").agg(F.sum("x").alias("s")).groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("s"))
+    means = sizes.join(sums, "c", "left").select("c", F.transform(F.coalesce("s", F.array().cast("array<double>")), lambda x: x / F.col("n")).alias("m"))
+    means = written(means.withColumn("length", F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))), "means")
+    blocks = max(1, -(-means.count() // block_rows))
+    laid = written(means.repartitionByRange(blocks, F.col("length").desc()).withColumn("b", F.spark_partition_id()), "laid")
+    most = {r.b: r.most for r in laid.groupBy("b").agg(F.max("length").alias("most")).collect()}  # a row for each block
+    near = [(i, j) for i in sorted(most) for j in sorted(most) if i <= j and most[i] * most[j] >= least - 1e-9]
+    if not near:
+        return means.select(F.col("c").alias(cluster), F.col("c").alias("merged"))
+    tasks = df.sparkSession.createDataFrame(near, "p int, q int")
+    side = laid.join(tasks, (F.col("b") == F.col("p")) | (F.col("b") == F.col("q"))).select("p", "q", "b", "c", "m")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+        a, b = pdf[pdf["b"] == p], pdf[pdf["b"] == q]
+        width = max(map(len, pdf["m"]), default=0)
+        stack = lambda x: np.stack([np.pad(np.asarray(m, dtype=float), (0, width - len(m))) for m in x])
+        i, j = np.nonzero(stack(a["m"]) @ stack(b["m"]).T >= least - 1e-12)
+        s, t = a["c"].to_numpy()[i], b["c"].to_numpy()[j]
+        return pd.DataFrame({"src": s[s != t], "dst": t[s != t]})
+
+    kind = df.schema[cluster].dataType.simpleString()
+    comp = connected_components(side.groupBy("p", "q").applyInPandas(compare, f"src {kind}, dst {kind}"))
+    return means.select(F.col("c").alias(cluster)).join(comp, F.col(cluster) == F.col("node"), "left").select(cluster, F.coalesce("component", cluster).alias("merged"))
+
+
 def density_clusters(links: DataFrame, nodes: DataFrame, id_col: str, least: int = 3) -> DataFrame:
     """DBSCAN over given links: core rows have ``least`` neighbours or more (themselves included); border rows join their
     smallest core's cluster; others are clusters of their own."""

@@ -236,9 +236,14 @@ def _scores(spark, d):
     return cl.score_clusters(clustered(spark, d))
 
 
-@query(over_alerts("SELECT pred_cluster, size, round(mean_severity, 9) AS mean_severity, max_severity, tactics, n_tactics, critical_flag, round(importance, 9) AS importance, CASE WHEN size >= 10 THEN 'Large cluster (' || CAST(size AS VARCHAR) || ' alerts)' ELSE '' END || CASE WHEN size >= 10 AND critical_flag > 0 THEN '; ' ELSE '' END || CASE WHEN critical_flag > 0 THEN 'Critical tactic detected' ELSE '' END AS reason FROM im WHERE size >= 10 OR critical_flag > 0", CLUSTERED, *_SCORES))
+_SEVERE = "c AS (SELECT * REPLACE (CASE WHEN user_id % 5 = 0 THEN 0.75 + severity / 4 ELSE severity END AS severity), user_id * 40 + alert_idx % 40 // 2 AS pred_cluster FROM alerts)"
+
+
+@query(over_alerts("SELECT pred_cluster, size, round(mean_severity, 9) AS mean_severity, round(max_severity, 9) AS max_severity, tactics, n_tactics, critical_flag, round(importance, 9) AS importance, CASE WHEN size < 10 AND mean_severity < 0.7 AND critical_flag = 0 THEN 'Standard cluster' ELSE concat_ws('; ', CASE WHEN size >= 10 THEN 'Large cluster (' || CAST(size AS VARCHAR) || ' alerts)' END, CASE WHEN mean_severity >= 0.7 THEN 'High severity' END, CASE WHEN critical_flag > 0 THEN 'Critical tactic detected' END) END AS reason FROM im", _SEVERE, *_SCORES))
 def a1_cluster_scores(spark, d):
-    return _scores(spark, d).where("(size >= 10 OR critical_flag > 0) AND mean_severity < 0.7").select("pred_cluster", "size", F.round("mean_severity", 9).alias("mean_severity"), "max_severity", "tactics", "n_tactics", "critical_flag", F.round("importance", 9).alias("importance"), "reason")
+    i, u = F.col("alert_idx"), F.col("user_id")
+    a = alerts(spark, d).withColumn("severity", F.when(u % 5 == 0, 0.75 + F.col("severity") / 4).otherwise(F.col("severity"))).withColumn("pred_cluster", u * 40 + F.floor(i % 40 / 2))
+    return cl.score_clusters(a).select("pred_cluster", "size", F.round("mean_severity", 9).alias("mean_severity"), F.round("max_severity", 9).alias("max_severity"), "tactics", "n_tactics", "critical_flag", F.round("importance", 9).alias("importance"), "reason")
 
 
 def _top(by: str, cols: str = "pred_cluster, size") -> str:
