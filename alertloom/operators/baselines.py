@@ -123,11 +123,19 @@ def hierarchy(df: DataFrame, vector: str, id_col: str, micro: int = 20, merge: f
 
 def greedy_windows(df: DataFrame, columns: list[str], width_s: float = 86400.0, time: str = "EndDate", id_col: str = "alert_idx") -> DataFrame:
     """Each row joins the cluster of the earliest row before it that shares a value with it (in the same column) within ``width_s``
-    seconds. The earliest match makes a forest; pointers double to its roots."""
-    us = F.unix_micros(time)
-    rows = df.select(F.col(id_col).alias("id"), us.alias("us"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).where("x.v is not null and x.v <> 'NIL'").select("id", "us", "x.c", "x.v")
-    w = Window.partitionBy("c", "v").orderBy("us").rangeBetween(-int(width_s * 1e6), 0)
-    first = rows.withColumn("f", F.min(F.struct("us", "id")).over(w)).groupBy("id").agg(F.min("f").alias("f"))
+    seconds. The earliest match makes a forest; pointers double to its roots. Rows without a time, and values that are null, match nothing."""
+    width = int(width_s * 1e6)
+    rows = df.select(F.col(id_col).alias("id"), F.unix_micros(time).alias("us"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).where("us is not null and x.v is not null and x.v <> 'NIL'").select("id", "us", "x.c", "x.v")
+    # a span of ``width`` ends in the row's own slice of time and begins in the slice before: its first row is the first at or behind its beginning
+    # there, or else the first of the own slice. So a value of any number of rows is cut by time
+    slice_of = lambda t: F.floor(t / width)
+    begins = rows.select("c", "v", slice_of(F.col("us") - width).alias("slice"), (F.col("us") - width).alias("at"), F.lit(0).alias("kind"), F.col("id").alias("asks"), F.lit(None).cast("struct<us:bigint,id:bigint>").alias("row"))
+    there = rows.select("c", "v", slice_of(F.col("us")).alias("slice"), F.col("us").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("asks"), F.struct("us", F.col("id").cast("long").alias("id")).alias("row"))
+    backwards = Window.partitionBy("c", "v", "slice").orderBy(F.desc("at"), F.desc("kind"), F.desc("row.id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = begins.unionByName(there).withColumn("f", F.last("row", True).over(backwards)).where("kind = 0")
+    heads = there.groupBy("c", "v", "slice").agg(F.min("row").alias("head"))
+    found = met.withColumn("slice", F.col("slice") + 1).join(heads, ["c", "v", "slice"]).select(F.col("asks").alias("id"), F.coalesce("f", "head").alias("f"))
+    first = found.groupBy("id").agg(F.min("f").alias("f"))
     up = written(df.select(F.col(id_col).alias("id")).join(first, "id", "left").select("id", F.coalesce("f.id", "id").alias("up")), "parents")
     while True:
         ahead = up.select(F.col("id").alias("up"), F.col("up").alias("next"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.scalars import attack_stage, importance, tactic_exact
 
+#: Names of tactics and columns.
 CRITICAL_TACTICS = ("Exploits", "Backdoors")
 ASSET_COLUMNS = ("SourceAddress", "DestinationAddress", "DeviceAddress", "SourceHostName", "DestinationHostName")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +13,8 @@ from alertloom.operators.correlation import consensus, correlate
 from alertloom.schema import FieldRoles
 
 Scorer = Callable[[DataFrame], DataFrame]
+#: Stands for no user yet, as a user may be null.
+_NOBODY = object()
 
 
 def correlate_auto(df: DataFrame, roles: FieldRoles, threshold: float = 0.3, scorer: Scorer | None = None, small: int = 100, large: int = 1000) -> DataFrame:
@@ -40,21 +41,36 @@ def agreement(df: DataFrame, first: str, second: str, confidence: str | None = N
 
 
 def adapt_thresholds(df: DataFrame, user: str, risk: str, anomalous: str, order: str, low: float = 31.0, high: float = 69.0, step: float = 1.0, bounds: tuple[float, float, float] = (5.0, 50.0, 95.0)) -> DataFrame:
-    """Per user the thresholds after all its judged rows in order: a false alarm widens them, a miss narrows them, within bounds."""
+    """Per user the thresholds after all its judged rows in order: a false alarm widens them, a miss narrows them, within bounds.
+
+    Rows come sorted and are folded as they come, so a task holds one user's thresholds and not its rows. Rows without a risk or a verdict count for nothing."""
     least, middle, most = bounds
+    rows = df.select(F.col(user).cast("string").alias("user"), F.col(risk).cast("double").alias("risk"), F.col(anomalous).cast("boolean").alias("bad"), order).where("risk is not null and bad is not null")
+    rows = rows.repartition("user").sortWithinPartitions("user", order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, a, b, counts = _NOBODY, low, high, dict.fromkeys(("tp", "fp", "tn", "fn"), 0)
+        names = ["user", "low", "high", *counts]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, counts = low, high, {"tp": 0, "fp": 0, "tn": 0, "fn": 0}
-        for r, truth in pdf.sort_values(order)[[risk, anomalous]].itertuples(index=False):
-            said = r < a or r > b
-            counts[("t" if said == bool(truth) else "f") + ("p" if said else "n")] += 1
-            if said and not truth:
-                a, b = max(least, a - step), min(most, b + step)
-            elif truth and not said:
-                a, b = min(middle, a + step), max(middle, b - step)
-        return pd.DataFrame({"user": [pdf[user].iloc[0]], "low": [a], "high": [b], **{k: [v] for k, v in counts.items()}})
-
-    return df.select(user, risk, anomalous, order).groupBy(user).applyInPandas(fold, "user string, low double, high double, tp long, fp long, tn long, fn long")
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.array([a]), pa.array([b]), *[pa.array([n], pa.int64()) for n in counts.values()]], names)
+
+        for batch in batches:
+            for u, r, truth in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if u != at:
+                    if at is not _NOBODY:
+                        yield row()
+                    at, a, b, counts = u, low, high, dict.fromkeys(counts, 0)
+                said = r < a or r > b
+                counts[("t" if said == truth else "f") + ("p" if said else "n")] += 1
+                if said and not truth:
+                    a, b = max(least, a - step), min(most, b + step)
+                elif truth and not said:
+                    a, b = min(middle, a + step), max(middle, b - step)
+        if at is not _NOBODY:
+            yield row()
+
+    return rows.mapInArrow(fold, "user string, low double, high double, tp long, fp long, tn long, fn long")
 
 
 def online_centroids(df: DataFrame, by: list[str], vector: str, order: str, least: float = 0.7, decay: float = 0.99) -> DataFrame:

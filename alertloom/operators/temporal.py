@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.scalars import related_mask
 
+#: Names of stages.
 CRITICAL_STAGES = ("Initial Access", "Persistence", "Lateral Movement", "Exfiltration")
 EARLY, MIDDLE, LATE = ("Reconnaissance", "Initial Access"), ("Execution", "Persistence", "Discovery"), ("Lateral Movement", "Exfiltration", "Impact")
 

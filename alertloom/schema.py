@@ -7,12 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names of columns, in the order in which they are looked for.
 ALERT_COLUMNS = (
     "AlertId", "SourceAddress", "DestinationAddress", "DeviceAddress", "SourceUserName", "SourceHostName", "DeviceHostName",
     "DestinationHostName", "MalwareIntelAttackType", "AttackSeverity", "EndDate", "CustomerName",
 )
 #: Strings that stand for no value.
 SENTINELS = ("nan", "NIL", "UNKNOWN", "None", "")
+#: Fixed values, as above.
 SEVERITY_COLUMNS = ("AttackSeverity", "severity", "Severity", "score")
 TACTIC_COLUMNS = ("MalwareIntelAttackType", "AttackType")
 TIME_COLUMNS = ("EndDate", "timestamp", "Timestamp", "ts", "time", "date", "start_time", "event_time")

@@ -67,6 +67,7 @@ def load_flows(spark: SparkSession, path: str) -> DataFrame:
     """Flow records of a CSV file as alerts, its columns found by any of their usual names."""
     df = read_csv(spark, path)
     low = {c.lower(): c for c in reversed(df.columns)}
+    # Names of columns in known datasets
     names = {"src": ("src ip", "source ip", "src_ip", "source"), "dst": ("dst ip", "destination ip", "dst_ip", "destination"), "time": ("timestamp", "time", "ts"), "label": ("label", "attack", "category")}
     for new, old in names.items():
         hit = next((low[o] for o in old if o in low), None)
