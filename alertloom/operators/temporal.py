@@ -8,16 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.functions.scalars import related_mask
+from alertloom.plans.stage import written
 
 #: Names of stages.
 CRITICAL_STAGES = ("Initial Access", "Persistence", "Lateral Movement", "Exfiltration")
 EARLY, MIDDLE, LATE = ("Reconnaissance", "Initial Access"), ("Execution", "Persistence", "Discovery"), ("Lateral Movement", "Exfiltration", "Impact")
 
+#: Rows of a block of an entity's time that one task holds, about.
+BLOCK_ROWS = 50_000
+
 
 def _order(by: list[str], time: str, id_col: str):
     return Window.partitionBy(*by).orderBy(time, id_col)
@@ -88,10 +95,109 @@ def significant_chains(summary: DataFrame, events: int = 3, seconds: float = 5.0
     return summary.where((F.col("events") >= events) & (F.col("seconds") >= seconds))
 
 
-def anchored_windows(df: DataFrame, by: list[str], width_s: float = 300.0, time: str = "EndDate", id_col: str = "alert_idx") -> DataFrame:
-    """``id`` and the first row of its window: a window opens at a row and holds all up to ``width_s`` seconds after it."""
-    base = segments(df, by, width_s, time, id_col, "_run").select(*by, F.col(id_col).cast("long").alias("id"), "_run", F.unix_micros(time).alias("_us"), F.unix_micros(time).alias("_at"))
-    return _heads(base, by, ["_at"], lambda head, row: row[0] - head[0] <= width_s * 1e6, "window")
+def anchored_windows(df: DataFrame, by: list[str], width_s: float = 300.0, time: str = "EndDate", id_col: str = "alert_idx", block_widths: int | None = None) -> DataFrame:
+    """``by``, ``id`` and the first row of its window: a window opens at a row and holds all up to ``width_s`` seconds after it; the next opens at the
+    first row behind it. Rows without a time are left out; a null entity is one.
+
+    An entity is cut into blocks of ``block_widths`` windows of time (by default so that the densest holds about ``BLOCK_ROWS`` rows), each with its
+    neighbours' nearest rows. A gap of more than a width opens a window
+    whatever came before, so most blocks know their windows by themselves. Where a run goes through a whole block, the block tells for each row that its first
+    window may open at where the next block's does, and these pointers double until every block of the run knows its own; so the rounds
+    grow with the logarithm of the longest run, and an entity with any share of the rows is the work of many tasks.
+    """
+    width = int(width_s * 1e6)
+    rows = df.select(*by, F.col(id_col).cast("long").alias("id"), F.unix_micros(time).alias("us")).where("us is not null")
+    dense = rows.groupBy(*by, F.floor(F.col("us") / (256 * width))).agg(F.count("*").alias("n"), F.min("us").alias("low"), F.max("us").alias("high"))
+    most, low, high = dense.agg(F.max("n"), F.min("low"), F.max("high")).first()
+    low, high = low or 0, high or 0
+    span = width * (block_widths or max(4, min(1 << 16, 256 * BLOCK_ROWS // (most or 1))))
+    own, at = F.floor((F.col("us") - low) / span), F.pmod(F.col("us") - low, F.lit(span))
+    blocks = F.array_compact(F.array(own, F.when(at <= 2 * width, own - 1), F.when(at >= span - width, own + 1)))
+    dealt = rows.withColumn("_own", own).withColumn("_block", F.explode(blocks))
+    keys, names = [*by, "_block"], ["_block", "entry", "next_entry", "head"]
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def parts(table: pa.Table) -> tuple:
+        """Rows in order of time: times, ids, where the block's own begin and end, which of them open a run, and each row's next window."""
+        block = table.column("_block")[0].as_py()
+        table = table.take(pa.array(np.lexsort((table.column("id").to_numpy(), table.column("us").to_numpy()))))
+        us, ids, mine = (table.column(c).to_numpy() for c in ("us", "id", "_own"))
+        lo, hi = int(np.searchsorted(mine, block)), int(np.searchsorted(mine, block, side="right"))
+        start = np.concatenate([[True], us[1:] - us[:-1] > width])
+        return table, us, ids, lo, hi, start, np.searchsorted(us, us + width, side="right")
+
+    def orbit(first: np.ndarray, after: np.ndarray, hi: int) -> np.ndarray:
+        """All places that pointers reach from the marked ones, by doubling."""
+        seen, jump = np.append(first, False), np.append(np.minimum(after, len(after)), len(after))
+        while True:
+            new = seen.copy()
+            new[jump[np.flatnonzero(seen)]] = True
+            new[len(after)] = False
+            jump = jump[jump]
+            if (new == seen).all() and (jump >= hi).all():
+                return seen[:-1]
+            seen = new
+
+    def borders(table: pa.Table) -> pa.Table:
+        table, us, ids, lo, hi, start, after = parts(table)
+        found = []
+        if lo < hi:
+            reach = np.arange(len(us))  # of each row the last window of the block if one opens there
+            reach[lo:hi] = np.where(after[lo:hi] >= hi, reach[lo:hi], after[lo:hi])
+            while (reach[reach] != reach).any():
+                reach = reach[reach]
+            opened = np.flatnonzero(start[lo:hi]) + lo
+            entries = [(None, int(opened[-1]))] if len(opened) else [(int(ids[i]), i) for i in range(lo, hi) if us[i] < us[lo] + 2 * width]
+            for name, i in entries:
+                last = int(reach[i])
+                k = int(after[last])
+                goes_on = k < len(us) and not start[k]
+                if goes_on or (hi < len(us) and us[hi] <= us[last] + width):
+                    found.append((name, int(ids[k]) if goes_on else None, int(ids[last])))
+        key = [pa.array([table.column(c)[0].as_py()] * len(found), table.schema.field(c).type) for c in by]
+        block = pa.array([table.column("_block")[0].as_py()] * len(found), pa.int64())
+        return pa.Table.from_arrays([*key, block, *[pa.array([f[j] for f in found], pa.int64()) for j in range(3)]], [*by, *names])
+
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(f"_{i}") for i, c in enumerate(by)]  # compared with nulls
+    same = [f"_{i}" for i in range(len(by))]
+    if (high - low) // span == 0:  # one block holds all
+        edges = df.select(*by, *[F.lit(None).cast("long").alias(c) for c in names]).where(F.lit(False))
+    else:
+        edges = written(dealt.groupBy(*keys).applyInArrow(borders, f"{kinds}, _block long, entry long, next_entry long, head long"), "borders")
+    step = edges.select(*key, *by, (F.col("_block") + 1).alias("_block"), F.col("_block").alias("_from"), "entry", "next_entry", "head")
+    reached = step.where("entry is null").select(*same, *by, "_block", F.col("next_entry").alias("entry"), "head")
+    jump = step.where("entry is not null").select(*same, "_from", "entry", F.col("_block").alias("_to"), "next_entry", "head")
+    while (high - low) // span > 1 and not jump.isEmpty():
+        more = reached.alias("r").where("entry is not null").join(jump.alias("j"), [*same, "entry"]).where("r._block = j._from")
+        reached = written(reached.unionByName(more.select(*same, *[f"r.{c}" for c in by], F.col("j._to").alias("_block"), F.col("j.next_entry").alias("entry"), F.col("j.head").alias("head"))), "reached")
+        ahead = jump.select(*same, F.col("_from").alias("_to"), F.col("entry").alias("next_entry"), F.col("_to").alias("_to2"), F.col("next_entry").alias("next2"), F.col("head").alias("head2"))
+        jump = written(jump.drop("head").join(ahead, [*same, "_to", "next_entry"]).select(*same, "_from", "entry", F.col("_to2").alias("_to"), F.col("next2").alias("next_entry"), F.col("head2").alias("head")), "jump")
+
+    def windows(table: pa.Table) -> pa.Table:
+        note = table.filter(pc.is_null(table.column("us")))
+        table, us, ids, lo, hi, start, after = parts(table.filter(pc.is_valid(table.column("us"))))
+        first, before = start.copy(), None
+        first[:lo] = first[hi:] = False
+        if note.num_rows:
+            before = note.column("head")[0].as_py()
+            if (entry := note.column("entry")[0].as_py()) is not None:
+                first[lo + int(np.flatnonzero(ids[lo:hi] == entry)[0])] = True
+        opens = orbit(first, after, hi)
+        opens[hi:] = False
+        place = np.maximum.accumulate(np.where(opens, np.arange(len(us)), -1))[lo:hi]
+        head = np.where(place >= 0, ids[np.maximum(place, 0)], before if before is not None else -1)
+        return pa.Table.from_arrays([*[table.column(c).slice(lo, hi - lo) for c in by], pa.array(ids[lo:hi]), pa.array(head.astype(np.int64))], [*by, "id", "window"])
+
+    long = F.lit(None).cast("long")
+    known = reached.select(*by, long.alias("id"), long.alias("us"), long.alias("_own"), "_block", "entry", "head")
+    both = dealt.withColumn("entry", long).withColumn("head", long).unionByName(known)
+    return both.groupBy(*keys).applyInArrow(lambda t: windows(t) if pc.any(pc.equal(t.column("_own"), t.column("_block"))).as_py() else _none(t, by), f"{kinds}, id long, window long")
+
+
+def _none(table: pa.Table, by: list[str]) -> pa.Table:
+    """No rows, of a block that has but its neighbours' ones."""
+    none = table.slice(0, 0)
+    return pa.Table.from_arrays([*[none.column(c) for c in by], none.column("id"), none.column("id")], [*by, "id", "window"])
 
 
 def sliding_windows(df: DataFrame, by: list[str], size: int = 256, overlap: int = 32, least: int = 10, time: str = "EndDate", id_col: str = "alert_idx") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alertloom.operators import baselines as ba
 from alertloom.operators import decisions as de
+from alertloom.operators import temporal as te
 from alertloom.plans.catalog import QUERIES
 
 
@@ -98,3 +99,25 @@ def test_greedy_windows_against_pairs(spark):
         root[k] = r
     got = {r.alert_idx: r.cluster for r in ba.greedy_windows(df, ["a", "b"], 100.0).collect()}
     assert got == root
+
+
+def test_anchored_windows_of_runs_over_many_blocks(spark):
+    """Blocks of four windows: runs that go through blocks as a whole, ties, gaps, a null entity, times below zero."""
+    rnd, rows = random.Random(11), []
+    for u in ("hot", "calm", None, "tied"):
+        t = -2000.0
+        for _ in range({"hot": 700}.get(u, 120)):
+            t += {"hot": rnd.choice([1, 2, 9, 10]), "tied": rnd.choice([0, 0, 10])}.get(u, rnd.choice([1, 5, 11, 40]))
+            rows.append((u, len(rows), t))
+    rows.append(("hot", len(rows), None))
+    df = spark.createDataFrame(rows, "u string, alert_idx long, s double").withColumn("EndDate", F.expr("timestamp_micros(cast(s * 1000000 as long))"))
+    want, anchor = {}, {}
+    for u, i, t in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[1])):
+        if u not in anchor or t - anchor[u][0] > 10:
+            anchor[u] = (t, i)
+        want[i] = anchor[u][1]
+    for block_widths in (4, None):
+        got = te.anchored_windows(df, ["u"], 10.0, block_widths=block_widths).collect()
+        assert {r.id: r.window for r in got} == want and len(got) == len(want)
+        assert all(rows[r.id][0] == r.u for r in got)
+    assert te.anchored_windows(df.limit(0), ["u"], 10.0).count() == 0
