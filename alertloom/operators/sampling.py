@@ -10,19 +10,37 @@ def hash_order(id_col: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+def hash_ranked(df: DataFrame, by: list[str], id_col: str = "alert_idx", seed: int = 42) -> DataFrame:
+    """``df`` with each row's place (``_r`` from 1, ``_tied`` the same for equal ids) in its group's hash order, and the group's size ``_n``. Null is a group.
+
+    Hashes are even, so a group is cut into 4,096 ranges of them; ranges are counted first, and each is ranked by itself: a group
+    with any share of the rows is the work of many tasks.
+    """
+    rows = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_b", F.coalesce(F.substring("_h", 1, 3), F.lit("")))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb"), before.alias("_before"), F.sum("_c").over(group).alias("_n"))
+    same = F.col("_b") == F.col("_kb")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*by, "_b").orderBy("_h")
+    out = rows.join(sizes, same).withColumn("_r", F.col("_before") + F.row_number().over(inside)).withColumn("_tied", F.col("_before") + F.rank().over(inside))
+    return out.drop("_h", "_b", "_kb", "_before", *[f"_k{i}" for i in range(len(by))])
+
+
 def reservoir(df: DataFrame, k: int, strata: list[str] | None = None, id_col: str = "alert_idx", seed: int = 42) -> DataFrame:
     """At most k rows, of each stratum if given (null is one)."""
     if not strata:
         return df.orderBy(hash_order(id_col, seed)).limit(k)
-    w = Window.partitionBy(*strata).orderBy(hash_order(id_col, seed))
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    order = hash_order(id_col, seed)
+    part = F.pmod(F.xxhash64(id_col), F.lit(256))  # at most 256 k rows of a stratum meet in the end
+    some = df.withColumn("_s", part).withColumn("_r", F.row_number().over(Window.partitionBy(*strata, "_s").orderBy(order))).where(F.col("_r") <= k)
+    return some.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(order))).where(F.col("_r") <= k).drop("_r", "_s")
 
 
 def stratified(df: DataFrame, strata: list[str], share: float, id_col: str = "alert_idx", seed: int = 42) -> DataFrame:
     """The same share of each stratum, one row at least."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    w = Window.partitionBy(*strata).orderBy(hash_order(id_col, seed))
-    return df.withColumn("_n", n).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n", "_r")
+    return hash_ranked(df, strata, id_col, seed).where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n", "_r", "_tied")
 
 
 def topped_up(df: DataFrame, strata: list[str], share: float, total: int, id_col: str = "alert_idx", seed: int = 42) -> DataFrame:
@@ -56,8 +74,7 @@ def balance(df: DataFrame, label: str, how: str = "hybrid", id_col: str = "alert
 
 def _resized(df: DataFrame, label: str, want: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Each class at its wanted size (label, _n, _want), as ``balance`` does it."""
-    w = Window.partitionBy(label).orderBy(hash_order(id_col, seed))
-    r = df.join(want, label).withColumn("_r", F.row_number().over(w))
+    r = hash_ranked(df.where(F.col(label).isNotNull()), [label], id_col, seed).drop("_n", "_tied").join(want, label)
     copies = F.floor((F.col("_want") - F.col("_r")) / F.col("_n")) + 1
     return r.where(F.col("_r") <= F.col("_want")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), copies).cast("int") - 1))).drop("_n", "_want", "_r")
 
@@ -87,8 +104,8 @@ def ensembles(df: DataFrame, label: str, id_col: str = "alert_idx") -> DataFrame
 
 def split(df: DataFrame, label: str, train: float = 0.8, id_col: str = "alert_idx", seed: int = 42) -> DataFrame:
     """``part``: train or test, with the same share of each class."""
-    w = Window.partitionBy(label).orderBy(hash_order(id_col, seed))
-    return df.withColumn("part", F.when(F.percent_rank().over(w) < train, "train").otherwise("test"))
+    share = F.when(F.col("_n") > 1, (F.col("_tied") - 1) / (F.col("_n") - 1)).otherwise(0.0)
+    return hash_ranked(df, [label], id_col, seed).withColumn("part", F.when(share < train, "train").otherwise("test")).drop("_n", "_r", "_tied")
 
 
 def kl_shift(a: DataFrame, b: DataFrame, label: str, floor: float = 0.001) -> DataFrame:

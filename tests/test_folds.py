@@ -1,5 +1,6 @@
 """k-means, hierarchies, threshold adaptation and greedy windows against plain Python."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from alertloom.operators import baselines as ba
 from alertloom.operators import decisions as de
+from alertloom.operators import sampling as sa
 from alertloom.operators import temporal as te
 from alertloom.plans.catalog import QUERIES
 
@@ -121,3 +123,20 @@ def test_anchored_windows_of_runs_over_many_blocks(spark):
         assert {r.id: r.window for r in got} == want and len(got) == len(want)
         assert all(rows[r.id][0] == r.u for r in got)
     assert te.anchored_windows(df.limit(0), ["u"], 10.0).count() == 0
+
+
+def test_ranks_by_ranges_of_hashes(spark):
+    rows = [(k if k % 50 else k // 100, None if k % 7 == 0 else "big" if k % 3 else "small") for k in range(3000)]
+    df = spark.createDataFrame(rows, "alert_idx long, c string")
+    md5 = lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest()
+    want = {}
+    for c in (None, "big", "small"):
+        own = sorted(md5(i) for i, x in rows if x == c)
+        for h in own:
+            want[c, h] = (own.index(h) + 1, len(own))
+    got = sa.hash_ranked(df, ["c"]).collect()
+    assert len(got) == len(rows) and all(want[r.c, md5(r.alert_idx)] == (r._tied, r._n) for r in got)
+    for c in (None, "big", "small"):
+        assert sorted(r._r for r in got if r.c == c) == list(range(1, 1 + sum(x == c for _, x in rows)))
+    least = {(c, h) for c in (None, "big", "small") for h in sorted(md5(i) for i, x in rows if x == c)[:5]}
+    assert {(r.c, md5(r.alert_idx)) for r in sa.reservoir(df, 5, ["c"]).collect()} == least
