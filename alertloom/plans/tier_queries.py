@@ -1,4 +1,4 @@
-"""Row-level threshold tiers, clusters of a stream, merges by mean similarity, file manifests and formats."""
+"""Row-level threshold tiers, clusters of a stream, nearest candidates, merges by mean similarity, file manifests and formats."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from alertloom.operators import baselines as ba
 from alertloom.operators import correlation as co
+from alertloom.operators.knn import alert_vector, nearest_candidates
 from alertloom.plans.core_queries import _COMPONENTS, _NUMBERED, _PAIRS, COLS, ROLES
 from alertloom.plans.registry import ORACLE, over_alerts, query
 from alertloom.plans.stage import shared_dir
@@ -94,3 +95,12 @@ def src3_mixed_formats(spark, d):
         rows = a.where(F.col("alert_idx") % 16 == k).select("alert_idx", who.alias("who"), F.concat("MalwareIntelAttackType", F.when(F.col("k") % 2 == 0, ", ; x").otherwise("")).alias("what"))
         rows.write.mode("append").option("header", True).option("sep", mf.SEPARATORS[k % 4]).option("encoding", ("UTF-8", "UTF-16", "ISO-8859-1", "ISO-8859-1")[k // 4]).option("quoteAll", k % 2 == 1).csv(f"{base}/files")
     return mf.read_delimited(spark, f"{base}/files", "*.csv").select(F.col("alert_idx").cast("long").alias("alert_idx"), "who", "what")
+
+
+@query()
+def j3_nearest_candidates(spark, d):
+    """The ten nearest alerts of each alert by hashed values and time (recall 0.90 of the ten nearest of all pairs), scored as links."""
+    a = alerts(spark, d)
+    near = nearest_candidates(alert_vector(a, ROLES), "vector", "alert_idx").withColumnRenamed("id", "src").withColumnRenamed("other", "dst")
+    scored = co.candidate_links(a, near.select("src", "dst"), ROLES, 0.0)
+    return near.join(scored, ["src", "dst"]).select("src", "dst", F.round("cosine", 5).alias("cosine"), F.round("score", 9).alias("score"))
