@@ -1,21 +1,17 @@
 """Chains, segments, sessions, dormant gaps, windows and campaigns over time-ordered alerts, per entity.
 
-All of these are partitioned by an entity. Where a rule looks back at the head of its own chain or window, which no fixed frame
-expresses, ``lag`` first cuts the rows into runs that such a rule can't cross, and only these runs are folded in order.
+All of these are partitioned by an entity. A rule that looks back at the head of its own chain or window, which no fixed frame
+expresses, is folded in blocks, whose heads are found by pointers from block to block (``chains.chains``, ``anchored_windows``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.functions.scalars import related_mask
 from alertloom.plans.stage import written
 
 #: Names of stages.
@@ -53,38 +49,6 @@ def stage_chain(df: DataFrame, by: list[str], tactic: str, time: str = "EndDate"
     return firsts.groupBy(*by).agg(F.array_join(chain, ">").alias("chain"), F.count(F.lit(1)).alias("length"))
 
 
-def chains(df: DataFrame, by: list[str], label: str, gap_s: float = 300.0, time: str = "EndDate", id_col: str = "alert_idx") -> DataFrame:
-    """``id``, ``by`` and the first row of the chain that each row belongs to. A chain goes on while the gap to the row before is at most
-    ``gap_s`` and the label equals, or is related to, that of the chain's first row."""
-    base = segments(df, by, gap_s, time, id_col, "_run").select(*by, F.col(id_col).cast("long").alias("id"), "_run", F.col(label).alias("_label"), related_mask(F.col(label)).alias("_mask"), F.unix_micros(time).alias("_us"))
-
-    def goes_on(head: tuple, row: tuple) -> bool:
-        return row[0] == head[0] or bool(row[1] & head[1])
-
-    return _heads(base, by, ["_label", "_mask"], goes_on, "chain")
-
-
-def _heads(base: DataFrame, by: list[str], values: list[str], goes_on: Callable[[tuple, tuple], bool], name: str) -> DataFrame:
-    """``by``, ``id`` and the id of the row that heads each row's group, folding the rows of a run in order: a row joins the
-    current group if ``goes_on(values of its head, own values)``. Runs come sorted and one after the other, so a task holds one
-    head at a time."""
-    keys = [*by, "_run"]
-    rows = base.select(*keys, "_us", "id", *values).repartition(*keys).sortWithinPartitions(*keys, "_us", "id")
-    schema = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in by) + f", id long, {name} long"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, head, start = None, None, None
-        for pdf in batches:
-            out = []
-            for k, i, v in zip(zip(*[pdf[c] for c in keys], strict=True), pdf["id"], zip(*[pdf[c] for c in values], strict=True), strict=True):
-                if k != key or not goes_on(start, v):
-                    key, head, start = k, i, v
-                out.append(head)
-            yield pdf[[*by, "id"]].assign(**{name: out})
-
-    return rows.mapInPandas(run, schema)
-
-
 def chain_summary(df: DataFrame, chain: str = "chain", time: str = "EndDate") -> DataFrame:
     seconds = (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 1e6
     out = df.groupBy(chain).agg(F.count(F.lit(1)).alias("events"), seconds.alias("seconds"), F.min(time).alias("chain_start"), F.max(time).alias("chain_end"))

@@ -12,6 +12,7 @@ from alertloom.operators import evaluation as ev
 from alertloom.operators import graph as gr
 from alertloom.operators import sampling as sa
 from alertloom.operators import temporal as te
+from alertloom.operators.chains import chains
 from alertloom.plans.core_queries import _SCORES, _TACTIC, _scores, clustered
 from alertloom.plans.registry import CLUSTERED, over_alerts, query
 from alertloom.schema import alerts, table
@@ -55,11 +56,11 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 @query(over_alerts("SELECT alert_idx AS id, head AS chain FROM ch", *_ROWS, _CHAINS, recursive=True))
 def w1_chains(spark, d):
-    return te.chains(_labelled(spark, d), BY, "label", 28800.0).select("id", "chain")
+    return chains(_labelled(spark, d), BY, "label", 28800.0).select("id", "chain")
 
 
 def _chain_rows(spark, d):
-    c = te.chains(_labelled(spark, d), BY, "label", 28800.0).select(F.col("id").alias("alert_idx"), "chain")
+    c = chains(_labelled(spark, d), BY, "label", 28800.0).select(F.col("id").alias("alert_idx"), "chain")
     return te.chain_summary(alerts(spark, d).join(c, "alert_idx"))
 
 
