@@ -129,18 +129,6 @@ def first_of_addresses(df: DataFrame, addresses: list[str], users: list[str], id
     return some.withColumn("_r", F.row_number().over(Window.partitionBy(*addresses).orderBy(id_col))).where("_r = 1").drop("_r")
 
 
-def anchor_chains(df: DataFrame, cluster: str = "pred_cluster", addresses: tuple[str, ...] = ("SourceAddress", "DestinationAddress", "DeviceAddress"), id_col: str = "alert_idx", least: float = 0.3) -> DataFrame:
-    """Score of each row as an anchor of later rows of its cluster that share addresses in any column: c1 / 2 + sum of (ck + 0.8 k)
-    over its matches in order, k from 2; rows that score above ``least``."""
-    sets = df.select(cluster, F.col(id_col).alias("id"), F.array_distinct(F.filter(F.array(*addresses), lambda x: x.isNotNull() & (x != "NIL"))).alias("v"))
-    v = sets.select(cluster, "id", F.explode("v").alias("x"))
-    pairs = v.alias("a").join(v.alias("b"), (F.col(f"a.{cluster}") == F.col(f"b.{cluster}")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id")))
-    counts = pairs.groupBy(F.col(f"a.{cluster}").alias(cluster), F.col("a.id").alias("anchor"), F.col("b.id").alias("id")).agg(F.count(F.lit(1)).alias("c"))
-    k = F.row_number().over(Window.partitionBy(cluster, "anchor").orderBy("id"))
-    part = F.when(F.col("k") == 1, F.col("c") / 2).otherwise(F.col("c") + 0.8 * F.col("k"))
-    return counts.withColumn("k", k).groupBy(cluster, "anchor").agg(F.round(F.sum(part), 9).alias("score"), F.count(F.lit(1)).alias("matches")).where(F.col("score") > least)
-
-
 def feature_chains(df: DataFrame, columns: list[str], cluster: str = "pred_cluster") -> DataFrame:
     """Columns of a cluster that hold a value which two or more of its rows hold, in any column."""
     v = df.select(cluster, F.col("alert_idx").alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])).alias("x")).where("x.v is not null and x.v <> 'NIL'").select(cluster, "id", "x.c", "x.v")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alertloom.functions import scalars as s
 from alertloom.operators import clusters as cl
 from alertloom.operators import correlation as co
+from alertloom.operators.anchors import anchor_scores, best_chains
 from alertloom.operators.components import connected_components
 from alertloom.plans.registry import CLUSTERED, over_alerts, query
 from alertloom.schema import FieldRoles, alerts, clean, table
@@ -331,7 +332,25 @@ def f1_first_of_addresses(spark, d):
 
 @query(over_alerts("SELECT pred_cluster, anchor, round(sum(CASE WHEN k = 1 THEN n / 2.0 ELSE n + 0.8 * k END), 9)::DOUBLE AS score, count(*) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY id) AS k FROM m) GROUP BY 1, 2", "q AS (SELECT alert_idx, user_id // 4 * 100 + k % 20 AS pred_cluster, SourceAddress AS a, DestinationAddress AS b, nullif(DeviceAddress, 'NIL') AS c0 FROM alerts)", "v AS (SELECT pred_cluster, alert_idx AS id, a AS x FROM q UNION SELECT pred_cluster, alert_idx, b FROM q UNION SELECT pred_cluster, alert_idx, c0 FROM q WHERE c0 IS NOT NULL)", "m AS (SELECT x.pred_cluster, x.id AS anchor, y.id, count(*) AS n FROM v x JOIN v y ON x.pred_cluster = y.pred_cluster AND x.x = y.x AND x.id < y.id GROUP BY 1, 2, 3)"))
 def a9_anchor_chains(spark, d):
-    return cl.anchor_chains(alerts(spark, d).withColumn("pred_cluster", F.floor(F.col("user_id") / 4) * 100 + F.col("k") % 20))
+    return anchor_scores(_pair_clusters(spark, d), ROLES.addresses)
+
+
+def _pair_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return alerts(spark, d).withColumn("pred_cluster", F.floor(F.col("user_id") / 4) * 100 + F.col("k") % 20)
+
+
+_BOTH = (
+    "q AS (SELECT alert_idx, user_id // 4 * 100 + k % 20 AS pred_cluster, SourceAddress AS a, DestinationAddress AS b, nullif(DeviceAddress, 'NIL') AS c0, SourceUserName AS u FROM alerts)",
+    "v AS (SELECT pred_cluster, alert_idx AS id, a AS x, 0 AS role FROM q UNION SELECT pred_cluster, alert_idx, b, 0 FROM q UNION SELECT pred_cluster, alert_idx, c0, 0 FROM q WHERE c0 IS NOT NULL UNION SELECT pred_cluster, alert_idx, u, 1 FROM q)",
+    "m AS (SELECT x.pred_cluster, x.id AS anchor, y.id, count(*) AS n FROM v x JOIN v y ON x.pred_cluster = y.pred_cluster AND x.x = y.x AND x.role = y.role AND x.id < y.id GROUP BY 1, 2, 3 HAVING count(DISTINCT x.role) = 2)",
+    "sc AS (SELECT pred_cluster, anchor, round(sum(CASE WHEN k = 1 THEN n / 2.0 ELSE n + 0.8 * k END), 9)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY id) AS k FROM m) GROUP BY 1, 2)",
+    "best AS (SELECT pred_cluster, score, anchor FROM sc QUALIFY row_number() OVER (PARTITION BY pred_cluster ORDER BY score DESC, anchor) = 1)",
+)
+
+
+@query(over_alerts("SELECT pred_cluster, anchor, score, anchor AS id FROM best UNION ALL SELECT pred_cluster, anchor, score, id FROM best JOIN m USING (pred_cluster, anchor)", *_BOTH))
+def j6_best_chains(spark, d):
+    return best_chains(_pair_clusters(spark, d), ROLES.addresses, ("SourceUserName",), require_both=True)
 
 
 @query(over_alerts("SELECT pred_cluster, string_agg(DISTINCT n, ',' ORDER BY n) AS columns FROM v JOIN (SELECT pred_cluster, x FROM v GROUP BY 1, 2 HAVING count(DISTINCT id) > 1) USING (pred_cluster, x) GROUP BY 1", CLUSTERED, "v AS (SELECT pred_cluster, alert_idx AS id, 'SourceAddress' AS n, SourceAddress AS x FROM c UNION ALL SELECT pred_cluster, alert_idx, 'DeviceAddress', DeviceAddress FROM c WHERE DeviceAddress <> 'NIL' UNION ALL SELECT pred_cluster, alert_idx, 'DeviceHostName', DeviceHostName FROM c WHERE DeviceHostName IS NOT NULL)"))
