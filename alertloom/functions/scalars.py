@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
@@ -219,3 +221,17 @@ def parse_cef(line: Column) -> Column:
 
 def without_sentinels(columns: list[str]) -> list[Column]:
     return [clean(c, SENTINELS).alias(c) for c in columns]
+
+
+# Public research datasets, and words in names of synthetic ones. Case, ``_`` and ``-`` don't count.
+PUBLIC_SOURCES = ("unswnb15", "nslkdd", "cicids2017", "toniot", "cicaptiiot", "ynuiotmal")
+SYNTHETIC_WORDS = ("synthetic", "generated", "simulated", "fake", "mock")
+
+
+def source_status(name: Column, approved: tuple[str, ...] = PUBLIC_SOURCES) -> Column:
+    """``approved`` if the name holds that of an approved dataset, else ``rejected`` if a word that tells a synthetic one, else ``unknown``."""
+    low = F.regexp_replace(F.lower(name), "[_-]", "")
+    known = [low.contains(re.sub("[_-]", "", a.lower())) for a in approved]
+    marked = [low.contains(w) for w in SYNTHETIC_WORDS]
+    none = F.lit(False)
+    return F.when(reduce(Column.__or__, known, none), "approved").when(reduce(Column.__or__, marked, none), "rejected").otherwise("unknown")

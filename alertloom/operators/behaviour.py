@@ -61,8 +61,10 @@ def feedback_trend(fb: DataFrame) -> DataFrame:
     return fb.groupBy(F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(fp, 1)).alias("false_positives"))
 
 
-def false_positives(fb: DataFrame, confidence: float = 0.0) -> DataFrame:
-    return fb.where((F.col("feedback_type") == "false_positive") & (F.col("confidence") >= confidence))
+def false_positives(fb: DataFrame, confidence: float = 0.0, since: str | None = None, kind: str = "false_positive") -> DataFrame:
+    """Feedback of one type with at least this confidence and, if given, from ``since`` (a time) on."""
+    out = fb.where((F.col("feedback_type") == kind) & (F.col("confidence") >= confidence))
+    return out.where(F.col("timestamp") >= F.lit(since).cast("timestamp")) if since else out
 
 
 def fp_patterns(fb: DataFrame) -> DataFrame:

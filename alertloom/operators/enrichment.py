@@ -2,51 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.functions.scalars import threat_score
-
-# Default malware families (name, severity, tactics, groups).
-MALWARE = (
-    ("Emotet", 0.8, ("initial_access", "execution", "persistence"), ("TA542",)),
-    ("TrickBot", 0.85, ("execution", "persistence", "credential_access"), ("WizardSpider",)),
-    ("CobaltStrike", 0.75, ("execution", "command_and_control", "lateral_movement"), ("WizardSpider", "APT29")),
-    ("Ryuk", 0.9, ("impact",), ("WizardSpider",)),
-    ("QakBot", 0.8, ("initial_access", "execution", "persistence"), ()),
-)
-# How severe a technique of each tactic is.
-TACTIC_WEIGHTS = {
-    "initial_access": 0.8, "execution": 0.7, "persistence": 0.8, "privilege_escalation": 0.9, "defense_evasion": 0.8, "credential_access": 0.9,
-    "discovery": 0.5, "lateral_movement": 0.8, "collection": 0.6, "command_and_control": 0.7, "exfiltration": 0.9, "impact": 0.9,
-}
-_SCHEMA = "entity_id string, kind string, name string, severity double, tactics array<string>, groups array<string>"
-
-
-def malware_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"malware:{n}", "malware", n, s, list(t), list(g)) for n, s, t, g in MALWARE], _SCHEMA)
-
-
-def technique_table(spark: SparkSession, path: str) -> DataFrame:
-    """Techniques of a JSON file (id, name, tactics), each as severe as its most severe tactic."""
-    raw = spark.read.schema("techniques array<struct<id:string,name:string,tactics:array<string>>>").option("multiLine", True).json(path).select(F.explode("techniques").alias("t"))
-    table = F.create_map(*[F.lit(x) for kv in TACTIC_WEIGHTS.items() for x in kv])
-    weights = F.transform("t.tactics", lambda x: F.coalesce(table[F.lower(x)], F.lit(0.5)))
-    return raw.select(F.concat(F.lit("technique:"), "t.id").alias("entity_id"), F.lit("technique").alias("kind"), "t.name", F.coalesce(F.array_max(weights), F.lit(0.5)).alias("severity"), "t.tactics", F.array().cast("array<string>").alias("groups"))
-
-
-def by_name(intel: DataFrame, name: str) -> DataFrame:
-    return intel.where(F.lower("name") == name.lower())
-
-
-def by_tactic(intel: DataFrame, tactic: str) -> DataFrame:
-    return intel.where(F.exists("tactics", lambda x: F.lower(x) == tactic.lower()))
+from alertloom.operators.intel import names_in_texts
 
 
 def matches(df: DataFrame, intel: DataFrame, cluster: str = "pred_cluster", tactic: str = "tactic", text: str | None = None, most: int = 100_000) -> DataFrame:
     """Distinct (cluster, entity) matches: tactic equal to an entity's name or one of its tactics, or ``text`` holding its name.
 
-    Values are made distinct before they meet the intelligence table, which is broadcast if it has at most ``most`` rows.
+    Values are made distinct before they meet the intelligence table, which is broadcast if it has at most ``most`` rows; texts are
+    read once for all names. An empty name is in no text.
     """
     small = intel.limit(most + 1).count() <= most
     hint = F.broadcast if small else (lambda x: x)  # the size is checked
@@ -54,8 +21,9 @@ def matches(df: DataFrame, intel: DataFrame, cluster: str = "pred_cluster", tact
     names = intel.select("entity_id", F.explode(F.array_union(F.array(F.lower("name")), F.transform("tactics", lambda x: F.lower(x)))).alias("v")).distinct()
     found = values.join(hint(names), "v").select(cluster, "entity_id")
     if text:
-        words = df.select(cluster, F.lower(text).alias("t")).distinct()
-        found = found.unionByName(words.join(hint(intel.select("entity_id", F.lower("name").alias("n"))), F.col("t").contains(F.col("n"))).select(cluster, "entity_id"))
+        words, named = df.select(cluster, F.lower(text).alias("t")).distinct(), intel.select("entity_id", F.lower("name").alias("n"))
+        hits = names_in_texts(words, named).join(hint(named), "n").select("t", "entity_id")
+        found = found.unionByName(words.join(hits, "t").select(cluster, "entity_id"))
     return found.distinct()
 
 

@@ -13,6 +13,7 @@ from alertloom.operators import graph as gr
 from alertloom.operators import sampling as sa
 from alertloom.operators import temporal as te
 from alertloom.operators.chains import chains
+from alertloom.operators.intel import malware_table
 from alertloom.plans.core_queries import _SCORES, _TACTIC, _scores, clustered
 from alertloom.plans.registry import CLUSTERED, over_alerts, query
 from alertloom.schema import alerts, table
@@ -312,7 +313,7 @@ _MATCH = f"ft AS (SELECT DISTINCT pred_cluster, lower({_TACTIC}) AS t FROM c)",
 
 
 def _found(spark, d):
-    intel = en.malware_table(spark).withColumn("tactics", F.transform("tactics", lambda x: F.replace(x, F.lit("_"), F.lit(" "))))
+    intel = malware_table(spark).withColumn("tactics", F.transform("tactics", lambda x: F.replace(x, F.lit("_"), F.lit(" "))))
     c = clustered(spark, d).withColumn("tactic", s.tactic_exact(F.col("MalwareIntelAttackType")))
     return en.matches(c, intel), intel
 

@@ -102,7 +102,8 @@ def j10_same_tactic_edges(spark, d):
 
 @query(over_alerts("SELECT DISTINCT pred_cluster, CASE k % 50 WHEN 7 THEN 'malware:Ryuk' WHEN 9 THEN 'malware:Emotet' ELSE 'malware:QakBot' END AS entity_id FROM c WHERE k % 50 IN (7, 9, 11)", CLUSTERED))
 def j14_intel_text_match(spark, d):
-    from alertloom.operators.enrichment import malware_table, matches
+    from alertloom.operators.enrichment import matches
+    from alertloom.operators.intel import malware_table
 
     c = clustered(spark, d).withColumn("tactic", F.lit("none")).withColumn("process", F.when(F.col("k") % 50 == 7, F.concat(F.lit("C:/x/ryuk_"), "SourceHostName")).when(F.col("k") % 50 == 9, "EMOTET.dll").when(F.col("k") % 50 == 11, "x-QakBot-2").otherwise("svc.exe"))
     return matches(c, malware_table(spark), text="process")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from alertloom.functions import scalars as s
 from alertloom.operators import correlation as co
-from alertloom.operators import enrichment as en
 from alertloom.operators import evaluation as ev
 from alertloom.operators import graph as gr
+from alertloom.operators import intel
 from alertloom.operators.components import connected_components
 from alertloom.schema import FieldRoles, alerts
 from alertloom.sources import connectors, files, sinks
@@ -126,7 +126,7 @@ def test_files_and_sinks(spark, tmp_path):
     (tmp_path / "f.jsonl").write_text('{"feedback_id": "1", "cluster_id": 3}\nnot json\n')
     assert files.read_feedback(spark, f"{tmp_path}/f.jsonl").count() == 1
     (tmp_path / "t.json").write_text(json.dumps({"techniques": [{"id": "T1", "name": "N", "tactics": ["impact", "discovery"]}]}))
-    assert en.technique_table(spark, f"{tmp_path}/t.json").first().severity == 0.9
+    assert intel.technique_table(spark, f"{tmp_path}/t.json").first().severity == 0.9
     assert "| id | a | b |" in sinks.markdown(df, "t")
     ticks = files.ensure_timestamp(df, id_col="id").select("timestamp").distinct().count()
     assert ticks == 2
