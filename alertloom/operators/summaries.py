@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,20 +114,53 @@ def campaign_f1(df: DataFrame, campaign: str, cluster: str, tactic: str) -> Data
     return tactic_f1(best.join(own, campaign).join(held, F.col("dominant") == F.col(cluster)).drop(cluster), "own", "held")
 
 
-def silhouette(df: DataFrame, id_col: str, cluster: str, vector: str) -> DataFrame:
+def silhouette(df: DataFrame, id_col: str, cluster: str, vector: str, block: int = 4_000_000, block_rows: int = 20_000) -> DataFrame:
     """Per row its silhouette by squared Euclidean distance, from sums of each cluster and so without pairs: for a cluster of n rows the mean
-    squared distance of x is x.x - 2 x.mean + mean(y.y). A row alone in its cluster has 0."""
+    squared distance of x is x.x - 2 x.mean + mean(y.y). A row alone in its cluster has 0, as has one without a cluster or a whole vector.
+
+    Clusters whose means have at most ``block`` numbers together go to every task; more are dealt out to blocks, and each meets each block
+    of rows in a task as a matrix product, whose least distance alone goes on.
+    """
     v = F.transform(vector, lambda x: x.cast("double"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = df.select(id_col, F.col(cluster).alias("c"), v.alias("x")).withColumn("xx", dot(F.col("x"), F.col("x")))
-    places = rows.select("c", F.posexplode("x").alias("i", "e")).groupBy("c", "i").agg(F.avg("e").alias("m"))
+    rows = df.select(id_col, F.col(cluster).alias("c"), v.alias("x"))
+    places = rows.where("c is not null").select("c", F.posexplode("x").alias("i", "e")).groupBy("c", "i").agg(F.avg("e").alias("m"))
     means = places.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-    stats = means.join(rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.avg("xx").alias("yy")), "c").withColumnRenamed("c", "o")
-    # each row against each cluster: not pairs of rows
-    far = rows.join(stats, F.lit(True)).withColumn("d", F.col("xx") - 2 * dot(F.col("x"), F.col("mean")) + F.col("yy"))
-    a = F.max(F.when((F.col("c") == F.col("o")) & (F.col("n") > 1), F.col("d") * F.col("n") / (F.col("n") - 1)))
-    b = F.min(F.when(F.col("c") != F.col("o"), F.col("d")))
-    out = far.groupBy(id_col).agg(a.alias("a"), b.alias("b"))
+    square = F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x)
+    stats = means.join(rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.avg(square).alias("yy")), "c").withColumnRenamed("c", "o")
+    one = stats.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("mean")).alias("w")).first()
+    width, blocks = one["w"] or 0, max(1, -(-one["k"] * (one["w"] or 0) // block))
+
+    def matrix(lists: pd.Series) -> np.ndarray:
+        gap = np.full(width, np.nan)
+        return np.stack([gap if x is None or len(x) != width else np.asarray(x, dtype=float) for x in lists]) if len(lists) else np.zeros((0, width))
+
+    def near(pdf: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
+        mean, n, yy, names = matrix(st["mean"]), st["n"].to_numpy(dtype=float), st["yy"].to_numpy(dtype=float), pd.Index(st["o"])
+        own, other = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+        for lo in range(0, len(pdf), 500):
+            part = pdf.iloc[lo : lo + 500]
+            x, at = matrix(part["x"]), names.get_indexer(part["c"])
+            far = (x * x).sum(axis=1)[:, None] - 2 * x @ mean.T + yy
+            mine = np.flatnonzero(at >= 0)
+            k = at[mine]
+            more = n[k] > 1
+            own[lo + mine[more]] = far[mine[more], k[more]] * n[k[more]] / (n[k[more]] - 1)
+            far[mine, k] = np.nan
+            other[lo : lo + len(part)] = np.fmin.reduce(far, axis=1, initial=np.inf)
+        other[np.isinf(other) | pdf["c"].isna().to_numpy()] = np.nan
+        return pd.DataFrame({id_col: pdf[id_col], "a": own, "b": other})
+
+    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, a double, b double"
+    if blocks == 1:
+        held = stats.toPandas()  # its size is checked
+        found = rows.mapInPandas(lambda batches: (near(pdf, held) for pdf in batches), schema)
+    else:
+        groups = max(1, -(-rows.count() // block_rows))
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        left = rows.withColumn("_g", F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int")).withColumn("_b", each(blocks))
+        right = stats.withColumn("_b", F.pmod(F.xxhash64("o"), F.lit(blocks)).cast("int")).withColumn("_g", each(groups))
+        found = left.groupBy("_b", "_g").cogroup(right.groupBy("_b", "_g")).applyInPandas(near, schema)
+    out = found.groupBy(id_col).agg(F.max("a").alias("a"), F.min("b").alias("b"))
     return out.select(id_col, F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
 
 
