@@ -96,8 +96,9 @@ def map_label(c: Column, patterns: dict[str, str] | None = None, threshold: floa
 
 def with_tactics(df: DataFrame, label: str, **options) -> DataFrame:
     """``df`` with ``tactic`` and ``confidence``: each distinct label is scored once."""
-    distinct = df.select(label).distinct().withColumn("_m", map_label(F.col(label), **options))
-    return df.join(distinct.select(F.col(label).alias("_l"), "_m.tactic", "_m.confidence"), F.col(label).eqNullSafe(F.col("_l")), "left").drop("_l")
+    # the score hangs on an aggregate, so a filter by tactic stays above it and is not worked out for each row
+    distinct = df.groupBy(label).agg(F.max(label).alias("_l")).withColumn("_m", map_label(F.col("_l"), **options))
+    return df.join(distinct.select("_l", "_m.tactic", "_m.confidence"), F.col(label).eqNullSafe(F.col("_l")), "left").drop("_l")
 
 
 def map_signature(c: Column, patterns: dict[str, str] | None = None, tactics: tuple[str, ...] = tuple(TACTIC_PATTERNS)) -> Column:
