@@ -46,7 +46,7 @@ def c1_by_tier(spark, d):
     """Every alert's cluster at the threshold of each tier, with the threshold and where it is from."""
     a, out = alerts(spark, d), None
     for how in ({"override": 0.55, "confidence": "severity"}, {"confidence": "severity"}, {}, {"adaptive": False}):
-        one = co.correlate_by_tier(a, ROLES, **how).select("threshold_source", F.round("correlation_threshold_used", 9).alias("correlation_threshold_used"), "alert_idx", "pred_cluster")
+        one = co.correlate_by_tier(a, ROLES, scores=False, **how).select("threshold_source", F.round("correlation_threshold_used", 9).alias("correlation_threshold_used"), "alert_idx", "pred_cluster")
         out = one if out is None else out.unionByName(one)
     return out
 
