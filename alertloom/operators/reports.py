@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,11 +53,13 @@ def common_value_pairs(df: DataFrame, cluster: str, roles: FieldRoles, more_than
     rows = df.select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), F.array_sort(values).alias("x"))
     sets = [list(s) for s in combinations(range(width), more_than + 1)]
     at = lambda i: F.get("x", F.lit(i))
-    keys = F.filter(F.array(*[F.when(at(s[-1]).isNotNull() & (F.size(F.array_distinct(F.array(*[at(i)["v"] for i in s]))) == len(s)), F.md5(F.to_json(F.array(*[at(i) for i in s])))) for s in sets]), lambda k: k.isNotNull())
-    keyed = rows.select("id", "c", F.explode(keys).alias("k"))
+    differ = lambda s: reduce(and_, [at(i)["v"] != at(j)["v"] for i, j in combinations(s, 2)], at(s[-1]).isNotNull())
+    digest = lambda s: F.struct(F.xxhash64(*map(at, s)).alias("h"), F.xxhash64(F.lit(1), *map(at, s)).alias("g"))  # noqa: E731  128 bits
+    keyed = rows.select("id", "c", F.explode(F.array_compact(F.array(*[F.when(differ(s), digest(s)) for s in sets]))).alias("k")).select("id", "c", "k.*")
     a, b = keyed.alias("a"), keyed.alias("b")
-    same = (F.col("a.c") == F.col("b.c")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, same).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.c").alias(cluster)).distinct()
+    same = (F.col("a.c") == F.col("b.c")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id"))
+    # the file's size knows nothing of exploded rows: no side may be broadcast
+    return a.join(b.hint("merge"), same).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.c").alias(cluster)).distinct()
 
 
 def spanning_edges(edges: DataFrame, order: str, rounds: int = 60) -> DataFrame:

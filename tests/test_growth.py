@@ -15,3 +15,20 @@ def test_tactics_are_scored_once_a_label(spark):
     scan = plan(got).split("Aggregate")[-1]  # what lies below the last aggregate works on rows
     assert "Reconnaissance" not in scan
     assert got.count() == 50
+
+
+def test_exploded_rows_are_not_broadcast(spark, small):
+    from alertloom.operators import correlation as co
+    from alertloom.schema import FieldRoles, alerts
+
+    a = alerts(spark, small)
+    for df in (co.links(a, FieldRoles(), 0.5), co.links(a, FieldRoles(), 0.45, time_col="EndDate"), co.blocked_links(a, FieldRoles(), 0.5), co.max_scores(a, FieldRoles())):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+
+
+def test_exploded_pairs_are_not_broadcast(spark, small):
+    from alertloom.operators.reports import common_value_pairs
+    from alertloom.schema import FieldRoles, alerts
+
+    p = plan(common_value_pairs(alerts(spark, small), "user_id", FieldRoles()))
+    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
