@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.operators.components import connected_components
@@ -21,22 +23,112 @@ def _vector(columns: list[str]):
     return F.array(*[F.col(c).cast("double") for c in columns])
 
 
-def _blocks(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+def _pattern(width: int) -> Column:
+    """Bits of the components that a vector has."""
+    return sum((F.when(F.get("v", F.lit(i)).isNotNull() & ~F.isnan(F.get("v", F.lit(i))), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(width)), F.lit(0)).cast("long")
+
+
+def _laid(queries: DataFrame, donors: DataFrame, order: list[int], base: str) -> tuple[DataFrame, dict]:
+    """Donors in blocks of ``BLOCK_ROWS`` by group, components that they have, and values in ``order``; and the box of each block."""
+    near = donors.join(F.broadcast(queries.select("g").distinct()), "g", "left_semi")  # groups
+    sort = ["g", "has", *[F.get("v", F.lit(i)) for i in order], "id"]
+    laid = near.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS))
+    laid = written(laid, "laid", base)
+    ends = [f(F.get("v", F.lit(i))).alias(f"{n}{i}") for i in sorted(order) for n, f in (("a", F.min), ("b", F.max))]
+    boxes = laid.groupBy("g", "has", "block").agg(F.count(F.lit(1)).alias("n"), *ends).toPandas()  # a row a block
+    by_group = {}
+    for g, part in boxes.groupby("g"):
+        low, high = (np.nan_to_num(part[[f"{n}{i}" for i in sorted(order)]].to_numpy(dtype=float)) for n in "ab")
+        by_group[g] = (part["block"].to_numpy(), part["has"].to_numpy(), part["n"].to_numpy(), low, high)
+    return laid, by_group
+
+
+def _reached(width: int, boxes: dict, k: int):
+    """Blocks that a query has to meet: without ``bound`` the nearest ones that hold k donors and itself, then all others within its bound."""
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for n, (g, place, v, has, bound) in enumerate(zip(pdf["g"], pdf["place"], pdf["v"], pdf["has"], pdf["bound"])):
+                if g not in boxes:
+                    continue
+                block, own, rows, low, high = boxes[g]
+                x = np.nan_to_num(np.array(v, dtype=float))
+                both = ((own & has)[:, None] >> np.arange(width)[None, :]) & 1 == 1
+                shared = both.sum(1)
+                gap = np.maximum(np.maximum(low - x, x - high), 0.0)
+                least = np.nan_to_num(np.sqrt((gap * gap * both).sum(1) * (width / np.maximum(shared, 1))), nan=0.0)
+                usable = (shared > 0) & ((own >> max(place, 0)) & 1 == 1 if place >= 0 else True)
+                at = np.flatnonzero(usable)
+                at = at[np.argsort(least[at], kind="stable")]
+                first = at[: int(np.searchsorted(np.cumsum(rows[at]), k + 1)) + 1]
+                if not np.isnan(bound):
+                    first = np.setdiff1d(at[least[at] <= bound * (1 + 1e-9) + 1e-12], first)
+                out += [(n, j, h) for j, h in zip(block[first], own[first])]
+            if out:
+                at, block, own = zip(*out)
+                yield pdf.iloc[list(at)][["g", "id", "place", "v"]].assign(block=list(block), own=list(own))
+
+    return blocks
 
 
 def nearest(queries: DataFrame, donors: DataFrame, k: int) -> DataFrame:
-    """For each query (g, id, place, v) the k nearest donors (g, id, v) of its group, itself left out: g, id, place, d, other, x.
+    """For each query (g, id, place, v) the k nearest donors (g, id, v) of its group, itself left out: g, id, place, d, other, x, rank.
 
     Distances are Euclidean over the components that both rows have, scaled up by the share of those missing; rows that share none
     aren't comparable. ``place`` asks for donors that have that component and returns it as ``x`` (-1: any donor). Ties go to the
-    smallest donor. Every query meets every donor of its group in blocks of at most about ``BLOCK_ROWS``; a block keeps k donors a query.
+    smallest donor. Donors are laid in blocks of ``BLOCK_ROWS`` along the components that queries have; a query meets the nearest block, and then
+    those whose box is no farther than the k-th donor found there, so the result is exact and in few dimensions most blocks are never met. Of
+    equal donors k+1 are enough. A row a block, its box, goes to all tasks.
     """
-    side = _blocks(queries, "bp").join(_blocks(donors, "bq"), "g")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    asked = queries.join(side, "g").select("g", "id", "place", "v", own("bp").alias("p"), F.explode(F.sequence(F.lit(0), F.col("bq") - 1)).alias("q"))
-    again = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  queries may be donors too
-    given = donors.select(*again("g", "id", "v")).join(side.select(*again("g", "bp", "bq")), "g").select(*again("g", "id", "v"), own("bq").alias("q"), F.explode(F.sequence(F.lit(0), F.col("bp") - 1)).alias("p"))
+    spark, base = queries.sparkSession, shared_dir(queries.sparkSession)
+    one = donors.select(F.size("v").alias("n")).first()
+    width = one.n if one else 0
+    copies = F.row_number().over(Window.partitionBy("g", "v").orderBy("id"))
+    given = donors.select(*[F.col(c).alias(c) for c in ("g", "id", "v")]).withColumn("c", copies).where(F.col("c") <= k + 1).drop("c").withColumn("has", _pattern(width)).where("has <> 0")
+    given = written(given, "given", base)
+    asked = written(queries.select("g", "id", "place", "v").withColumn("has", _pattern(width)).where("has <> 0"), "asked", base)
+    spread = given.agg(*[F.approx_count_distinct(F.get("v", F.lit(i))).alias(f"n{i}") for i in range(width)]).first() if width else []
+    order = sorted(range(width), key=lambda i: -spread[i])
+    lead = F.coalesce(*[F.when(F.col("has").bitwiseAND(F.lit(1 << i)) != 0, F.lit(i)) for i in order], F.lit(-1)) if width else F.lit(-1)
+    asked = asked.withColumn("lead", lead)
+    counts = [F.count(F.when(F.col("has").bitwiseAND(F.lit(1 << i)) != 0, 1)).alias(f"q{i}") for i in range(width)]
+    out = None
+    for r in asked.groupBy("lead").agg(*counts, F.count(F.lit(1)).alias("n")).orderBy("lead").collect():  # a row a component at most
+        own = asked.where(F.col("lead") == r["lead"]).drop("lead")
+        # along the component that all of these have, then along those that most have
+        axes = [r["lead"], *sorted((i for i in order if i != r["lead"]), key=lambda i: -r[f"q{i}"])]
+        laid, boxes = _laid(own, given, axes, f"{base}/lead{r['lead']}")
+        where = "g string, id long, place int, v array<double>, block long, own long"
+        met = None
+        for step in range(2):
+            if step:
+                far = met.groupBy("g", "id", "place").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("m"))
+                bound = F.when(F.col("n") >= k, F.col("m")).otherwise(F.lit(float("inf")))
+                from_ = own.join(far.hint("merge"), ["g", "id", "place"], "left").withColumn("bound", F.coalesce(bound, F.lit(float("inf")))).drop("n", "m")
+            else:
+                from_ = own.withColumn("bound", F.lit(float("nan")))
+            sent = written(from_.repartition("id").mapInPandas(_reached(width, boxes, k), where), f"sent{r['lead']}_{step}", base)
+            found = written(_top(_compared(sent, laid, k), k), f"met{r['lead']}_{step}", base)
+            met = found if met is None else met.unionByName(found)
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        return spark.createDataFrame([], _FOUND + ", rank int")
+    w = Window.partitionBy("g", "id", "place").orderBy("d", "other")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("g", "id", "place").orderBy("d", "other")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def _compared(sent: DataFrame, laid: DataFrame, k: int) -> DataFrame:
+    """Each query with the k nearest donors of each block that it was sent to. A block that many queries meet is compared in parts of these."""
+    parts = sent.groupBy("g", "block", "own").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    keys = ["g", "block", "own"]
+    a = sent.join(parts.hint("merge"), keys).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    b = laid.withColumnRenamed("has", "own").join(parts.hint("merge"), keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*keys, "part", "id", "v")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {c: [] for c in ("g", "id", "place", "d", "other", "x")}
@@ -50,15 +142,15 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int) -> DataFrame:
                 n = both.sum(1)
                 d = (((y - np.nan_to_num(x)) ** 2) * both).sum(1) * (len(x) / np.maximum(n, 1))
                 d[(n == 0) | (ids == i) | (~has[:, place] if place >= 0 else False)] = np.inf
-                for j in np.argsort(d, kind="stable")[:k]:
+                few = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))  # with all that tie
+                for j in few[np.argsort(d[few], kind="stable")[:k]]:
                     if d[j] < np.inf:
                         for c, value in zip(out, (a["g"].iloc[0], i, place, float(np.sqrt(d[j])), ids[j], float(y[j, max(place, 0)]))):
                             out[c].append(value)
         return pd.DataFrame(out).astype({"g": object})
 
-    met = asked.groupBy("g", "p", "q").cogroup(given.groupBy("g", "p", "q")).applyInPandas(compare, _FOUND)
-    w = Window.partitionBy("g", "id", "place").orderBy("d", "other")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    at = [*keys, "part"]
+    return a.groupBy(*at).cogroup(b.groupBy(*at)).applyInPandas(compare, _FOUND)
 
 
 def impute(df: DataFrame, columns: list[str], id_col: str = "alert_idx", k: int = 2) -> DataFrame:
@@ -69,9 +161,7 @@ def impute(df: DataFrame, columns: list[str], id_col: str = "alert_idx", k: int
     """
     rows = df.select(F.lit("").alias("g"), F.col(id_col).cast("long").alias("id"), _vector(columns).alias("v"))
     missing = rows.select("*", F.posexplode("v").alias("place", "x")).where("x is null")
-    copies = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    donors = rows.where(F.size(F.array_compact("v")) > 0).withColumn("c", copies).where(F.col("c") <= k + 1).drop("c")
-    found = nearest(missing.drop("x"), donors, k).groupBy("id", "place").agg(F.avg("x").alias("x"))
+    found = nearest(missing.drop("x"), rows, k).groupBy("id", "place").agg(F.avg("x").alias("x"))
     wide = found.groupBy("id").agg(*[F.max(F.when(F.col("place") == i, F.col("x"))).alias(f"_new{i}") for i in range(len(columns))])
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_mean{i}") for i, c in enumerate(columns)])
     joined = df.join(wide.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left").crossJoin(F.broadcast(means))  # one row

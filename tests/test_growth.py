@@ -32,3 +32,22 @@ def test_exploded_pairs_are_not_broadcast(spark, small):
 
     p = plan(common_value_pairs(alerts(spark, small), "user_id", FieldRoles()))
     assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
+def test_nearest_rows_meet_few_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from alertloom.operators import neighbours as ne
+
+    monkeypatch.setattr(ne, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(3)
+    rows = [("a", i, [float(rng.integers(0, 9)) if i % 3 else None, float(rng.integers(0, 40)), float(rng.integers(0, 400))]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>")
+    asked = df.where("v[0] is null and id < 600").selectExpr("g", "id", "0 as place", "v")
+    sent, compared = [], ne._compared
+    monkeypatch.setattr(ne, "_compared", lambda s, laid, k: sent.append(s) or compared(s, laid, k))
+    got = {(r.id, r.rank): (r.other, round(r.d, 9)) for r in ne.nearest(asked, df, 2).collect()}
+    for _, i, v in rows[:600:3]:
+        far = sorted((round(float(np.sqrt(1.5 * ((v[1] - y[1]) ** 2 + (v[2] - y[2]) ** 2))), 9), j) for _, j, y in rows if y[0] is not None and j != i)
+        assert [got[i, 1], got[i, 2]] == [(j, d) for d, j in far[:2]]
+    assert sum(s.count() for s in sent) < 200 * 8  # of some 21 blocks that have the component
