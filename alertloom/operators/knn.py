@@ -53,6 +53,7 @@ def nearest_candidates(df: DataFrame, vector: str, id_col: str, k: int = 10, pas
     if first is None:
         return df.sparkSession.createDataFrame([], "id long, other long, cosine double")
     width = first.n
+    record = np.dtype([("place", "<u4"), ("x", "<f4")])  # only places that aren't zero are stored and shuffled
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(width - 1) for _ in range(passes)]
 
@@ -62,13 +63,22 @@ def nearest_candidates(df: DataFrame, vector: str, id_col: str, k: int = 10, pas
                 x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
                 norm = np.linalg.norm(x, axis=1)
                 some = norm > 0
-                body = [r.tobytes() for r in (x[some] / norm[some][:, None]).astype(np.float32)]
+                full = (x[some] / norm[some][:, None]).astype(np.float32)
+                row, place = np.nonzero(full)
+                held = np.empty(len(row), dtype=record)
+                held["place"], held["x"] = place, full[row, place]
+                buffer, ends = held.tobytes(), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(full)))]) * record.itemsize
+                body = [buffer[a:b] for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.array(x[some][:, -1]), pa.array(body, pa.binary())], ["id", "at", "body"])
 
     units = written(rows.mapInArrow(unit, "id long, at double, body binary").dropDuplicates(["id"]), "units")
 
     def matrix(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, width)
+        bodies = column.to_pylist()
+        held = np.frombuffer(b"".join(bodies), dtype=record)
+        full = np.zeros((len(bodies), width), dtype=np.float32)
+        full[np.repeat(np.arange(len(bodies)), [len(b) // record.itemsize for b in bodies]), held["place"]] = held["x"]
+        return full
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
