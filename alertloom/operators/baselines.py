@@ -13,6 +13,10 @@ from alertloom.plans.stage import written
 
 #: Rows of a block that are compared with another block's at once.
 BLOCK_ROWS = 2048
+#: The same for links by cosine, where each row is sent to all blocks.
+LINK_ROWS = 8192
+#: Share of all pairs that tables of signs would meet, from which on all pairs are compared in blocks instead.
+SPARSE = 0.05
 
 
 def centroids(df: DataFrame, vector: str, group: str) -> DataFrame:
@@ -23,11 +27,18 @@ def centroids(df: DataFrame, vector: str, group: str) -> DataFrame:
 
 def cosine_links(df: DataFrame, vector: str, id_col: str, least: float, bits: int = 0, tables: int = 1, seed: int = 7) -> DataFrame:
     """Pairs (src < dst) of cosine ``least`` or more. With ``bits`` > 0 only pairs that agree in the signs of that many random
-    projections in any of ``tables`` tables are compared; with 0, meant for few rows (centroids), all pairs are, in blocks whose size
-    doesn't grow with the table."""
+    projections in any of ``tables`` tables; with 0 all pairs.
+
+    Where tables have so few bits that rows would meet in most of them, and without tables, all pairs are compared in matrix products of blocks whose
+    size doesn't grow with the table: less work than meeting the same pairs table by table, and the same pairs are kept.
+    """
     base = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    if bits == 0:
-        blocks = max(16, -(-base.count() // BLOCK_ROWS))
+    first = base.select("v").first()
+    if first is None:
+        return df.sparkSession.createDataFrame([], "src long, dst long")
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, len(first["v"])))
+    if tables >= SPARSE * 2**bits:
+        blocks = max(16, -(-base.count() // LINK_ROWS))
         own = base.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         side = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("*", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
         rows = side.select("p", "q", "b", "id", "v")
@@ -37,20 +48,27 @@ def cosine_links(df: DataFrame, vector: str, id_col: str, least: float, bits: in
             a, b = pdf[pdf["b"] == p], pdf[pdf["b"] == q]
             if not len(a) or not len(b):
                 return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
-            unit = lambda x: (lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8))(np.stack(x["v"]))
-            i, j = np.nonzero(unit(a) @ unit(b).T >= least)
-            s, t = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-            keep = (s < t) if p == q else np.ones(len(s), dtype=bool)
-            return pd.DataFrame({"src": np.minimum(s, t)[keep], "dst": np.maximum(s, t)[keep]})
+            x, y, ida, idb = np.stack(a["v"]), np.stack(b["v"]), a["id"].to_numpy(), b["id"].to_numpy()
+            unit = lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
+            codes = lambda m: np.stack([(m @ t.T > 0) @ (1 << np.arange(bits)) for t in planes], axis=1)
+            ux, uy = unit(x), unit(y)
+            cx, cy = (codes(x), codes(y)) if bits else (None, None)
+            found = []
+            for at in range(0, len(ux), 512):  # so that no product is large
+                i, j = np.nonzero(ux[at : at + 512] @ uy.T >= least)
+                i += at
+                keep = ida[i] < idb[j] if p == q else np.ones(len(i), dtype=bool)
+                if bits:
+                    keep &= (cx[i] == cy[j]).any(1)
+                s, t = ida[i[keep]], idb[j[keep]]
+                found.append(pd.DataFrame({"src": np.minimum(s, t), "dst": np.maximum(s, t)}))
+            return pd.concat(found)
 
         return rows.groupBy("p", "q").applyInPandas(compare, "src long, dst long")
-    rng = np.random.default_rng(seed)
-    dim = len(base.select("v").first()["v"])
-    planes = rng.normal(size=(tables, bits, dim))
     sign = lambda t, k: F.when(F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in planes[t, k]]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) > 0, "1").otherwise("0")
     keys = base.select("id", "v", F.explode(F.array(*[F.concat(F.lit(f"{t}:"), *[sign(t, k) for k in range(bits)]) for t in range(tables)])).alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
-    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).where(cosine(F.col("a.v"), F.col("b.v")) >= least)
+    near = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).where(cosine(F.col("a.v"), F.col("b.v")) >= least)
     return near.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
 
 
@@ -94,7 +112,8 @@ def mean_similarity_clusters(df: DataFrame, cluster: str, vector: str, least: fl
 def density_clusters(links: DataFrame, nodes: DataFrame, id_col: str, least: int = 3) -> DataFrame:
     """DBSCAN over given links: core rows have ``least`` neighbours or more (themselves included); border rows join their
     smallest core's cluster; others are clusters of their own."""
-    both = links.select("src", "dst").union(links.select("dst", "src")).toDF("src", "dst")
+    links = written(links.select("src", "dst"), "links")  # they are read six times
+    both = links.union(links.select("dst", "src")).toDF("src", "dst")
     core = written(both.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least - 1).select(F.col("src").alias("node")), "core")
     inner = both.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi")
     comp = connected_components(inner)

@@ -51,3 +51,10 @@ def test_nearest_rows_meet_few_blocks(spark, monkeypatch):
         far = sorted((round(float(np.sqrt(1.5 * ((v[1] - y[1]) ** 2 + (v[2] - y[2]) ** 2))), 9), j) for _, j, y in rows if y[0] is not None and j != i)
         assert [got[i, 1], got[i, 2]] == [(j, d) for d, j in far[:2]]
     assert sum(s.count() for s in sent) < 200 * 8  # of some 21 blocks that have the component
+
+
+def test_few_signs_make_no_join(spark, small):
+    from alertloom.operators.baselines import cosine_links
+
+    p = plan(cosine_links(spark.read.parquet(f"{small}/embeddings.parquet"), "embedding", "vec_id", 0.35, bits=4, tables=20))
+    assert "Join" not in p
