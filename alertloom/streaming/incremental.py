@@ -23,25 +23,32 @@ from alertloom.schema import FieldRoles
 from alertloom.streaming.stateful import read_or_empty, with_state
 
 
+#: Parts of a bucket of digests; the heads of a part are read and written as one value.
+PARTS = 32
+_HEAD = np.dtype([("h", "<i8"), ("g", "<i8"), ("head", "<i8")])
+
+
 class _Heads(StatefulProcessor):
-    """Per bucket of digests the first alert of each. Emits each alert once by itself and with the heads of its groups."""
+    """Per bucket of digests the first alert of each. Emits each alert once by itself and with the heads of its groups.
+
+    The heads of a part of a bucket are one value of 24 bytes a group: state is called for a few times a part and batch, not a group."""
 
     def init(self, handle) -> None:
-        self.heads = handle.getMapState("heads", "h long, g long", "head long")
+        self.heads = handle.getMapState("heads", "part int", "heads binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)  # a bucket's rows of one micro-batch
-        least = batch.groupby(["h", "g"], sort=False)["id"].min()
-        known = {}
-        for (h, g), low in least.items():
-            at = (int(h), int(g))
-            if self.heads.containsKey(at):
-                known[at] = self.heads.getValue(at)[0]
-            else:
-                known[at] = int(low)
-                self.heads.updateValue(at, (int(low),))
-        head = np.array([known[int(h), int(g)] for h, g in zip(batch["h"], batch["g"], strict=True)], dtype=np.int64)
-        yield pd.DataFrame({"id": batch["id"].to_numpy(), "head": head}).drop_duplicates()
+        part = lambda h: (h >> 20) % PARTS  # noqa: E731  the bucket is that of the lower bits
+        parts = [int(p) for p in np.unique(part(batch["h"].to_numpy()))]
+        held = {p: bytes(self.heads.getValue((p,))[0]) if self.heads.containsKey((p,)) else b"" for p in parts}
+        before = np.frombuffer(b"".join(held.values()), dtype=_HEAD)
+        least = batch.groupby(["h", "g"], sort=False)["id"].min().rename("head").reset_index()
+        known = pd.concat([pd.DataFrame({c: before[c] for c in _HEAD.names}), least], ignore_index=True).astype("int64").drop_duplicates(["h", "g"])
+        new = known.iloc[len(before) :].to_records(index=False).astype(_HEAD)
+        at = part(new["h"])
+        for p in np.unique(at):
+            self.heads.updateValue((int(p),), (held[int(p)] + new[at == p].tobytes(),))
+        yield batch[["h", "g", "id"]].merge(known, on=["h", "g"])[["id", "head"]].drop_duplicates()
 
     def close(self) -> None:
         pass

@@ -48,3 +48,40 @@ def test_merges_and_repeated_batches(spark, tmp_path):
     assert partition(loop.clusters(spark).collect()) == {frozenset({1, 3, 5, 6, 7, 8, 9}), frozenset({2, 4})}
     got = {(r.batch, r.cluster): (r.added, r.joined, r.kind) for r in loop.changes(spark).collect()}
     assert got == {(0, 8): (2, 0, "new"), (1, 5): (1, 2, "merged"), (2, 1): (1, 2, "merged"), (3, 1): (1, 1, "grown"), (3, 2): (1, 1, "grown")}
+
+
+def test_state_is_called_for_a_part_not_a_group():
+    """A bucket of 3,000 groups costs a few calls a part, and heads are those that were seen first."""
+    import pandas as pd
+
+    from alertloom.streaming.incremental import PARTS, _Heads
+
+    class State(dict):
+        calls = 0
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self
+
+        def getValue(self, key):
+            self.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    class Handle:
+        def getMapState(self, name, key, value):
+            return State()
+
+    heads, at = _Heads(), [(i << 20) - 1 for i in range(3000)]
+    heads.init(Handle())
+    first = pd.DataFrame({"id": [*range(3000, 6000), *range(3000)], "h": at * 2, "g": at * 2})
+    out = pd.concat(list(heads.handleInputRows((0,), iter([first]), None)))
+    assert {(r.id, r.head) for r in out.itertuples()} == {(i, i % 3000) for i in range(6000)}
+    assert heads.heads.calls <= 3 * PARTS
+    again = pd.DataFrame({"id": [-5, -5, -4], "h": [at[7], 1 << 50, at[8]], "g": [at[7], 5, -8]})
+    out = pd.concat(list(heads.handleInputRows((0,), iter([again]), None)))
+    assert {(r.id, r.head) for r in out.itertuples()} == {(-5, 7), (-5, -5), (-4, -4)}
+    assert sum(len(v[0]) for v in heads.heads.values()) == 3002 * 24
