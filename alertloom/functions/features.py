@@ -80,8 +80,21 @@ def min_max_time(by: list[str], time: str) -> Column:
 
 def hashed_features(columns: list[str], size: int = 64) -> Column:
     """Counts of ``column=value`` tokens in ``size`` hash places."""
-    place = [F.pmod(F.xxhash64(F.concat(F.lit(f"{c}="), F.coalesce(clean(c), F.lit("")))), F.lit(size)) for c in columns]
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(F.array(*place), lambda p: p == i)).cast("double"))
+    place = [F.pmod(F.xxhash64(F.concat(F.lit(f"{c}="), F.coalesce(clean(c), F.lit("")))), F.lit(size)).cast("int") for c in columns]
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    if not place:
+        return zeros(size)
+
+    def laid(p: Column) -> Column:
+        """Runs of zeros between the places, which ascend: work goes with the columns, not with columns x ``size``."""
+        parts = []
+        for j in range(len(place)):
+            n = sum((F.when(p[m] == p[j], 1.0).otherwise(0.0) for m in range(len(place))), F.lit(0.0))
+            gap = p[j] - p[j - 1] - 1 if j else p[j]
+            parts.append(F.when(gap >= 0, F.concat(zeros(gap), F.array(n))).otherwise(zeros(0)))
+        return F.concat(*parts, zeros(size - 1 - p[len(place) - 1]))
+
+    return F.transform(F.array(F.array_sort(F.array(*place))), laid)[0]  # bound by a lambda, so places are worked out once a row
 
 
 def with_aliases(df: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -58,3 +58,16 @@ def test_few_signs_make_no_join(spark, small):
 
     p = plan(cosine_links(spark.read.parquet(f"{small}/embeddings.parquet"), "embedding", "vec_id", 0.35, bits=4, tables=20))
     assert "Join" not in p
+
+
+def test_hashed_features_cost_their_columns_not_their_places(spark):
+    from alertloom.functions.features import hashed_features
+
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(f"x{i}", f"y{i % 7}", None if i % 3 else f"z{i}", "NIL") for i in range(300)], "a string, b string, c string, d string")
+    for size in (1, 2, 5, 64):
+        own = [F.expr(f"pmod(xxhash64(concat('{c}=', coalesce(nullif({c}, 'NIL'), ''))), {size}L)").alias(f"p{c}") for c in names]
+        got = df.select(*own, hashed_features(names, size).alias("v"))
+        assert "filter(" not in plan(got)  # which looked through all columns for each place
+        for r in got.collect():
+            assert r.v == [float(sum(r[f"p{c}"] == i for c in names)) for i in range(size)]
