@@ -15,6 +15,10 @@ from alertloom.plans.stage import removed, shared_dir, written
 
 #: Rows of a block that are compared with another block's at once.
 BLOCK_ROWS = 1024
+#: Blocks of clusters in a round of Ward's agglomeration, and the rows that one may have before there are more.
+WARD_BLOCKS, LARGEST_BLOCK = 16, 65_536
+#: Rows of these that are compared at once, so that costs stay in a processor's cache.
+TILE_ROWS = 256
 
 _FOUND = "g string, id long, place int, d double, other long, x double"
 
@@ -195,8 +199,12 @@ def synthetic_minority(df: DataFrame, label: str, columns: list[str], id_col: st
 
 def _cost(n: np.ndarray, c: np.ndarray, m: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Growth of the sum of squares when clusters of n rows around c join such of m around e."""
-    gap = (c * c).sum(1)[:, None] + (e * e).sum(1)[None, :] - 2 * c @ e.T
-    return np.maximum(gap, 0) * (n[:, None] * m[None, :] / (n[:, None] + m[None, :]))
+    out = np.add.outer((c * c).sum(1), (e * e).sum(1))
+    out -= (2 * c) @ e.T
+    np.maximum(out, 0, out=out)
+    (u, p), (v, q) = np.unique(n, return_inverse=True), np.unique(m, return_inverse=True)  # sizes are few
+    out *= np.take((np.multiply.outer(u, v) / np.add.outer(u, v))[p], q, axis=1)
+    return out
 
 
 def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -220,31 +228,49 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", "d"]).astype({"a": "int64", "b": "int64", "d": "float64"})
 
 
+def _ward_blocks(count: int) -> int:
+    return max(min(WARD_BLOCKS, -(-count // BLOCK_ROWS)), -(-count // LARGEST_BLOCK))
+
+
 def _nearest_clusters(now: DataFrame, count: int) -> DataFrame:
-    """The cluster that each one would join at the least cost: id, d, other."""
-    blocks = -(-count // BLOCK_ROWS)
+    """The cluster that each one would join at the least cost: id, d, other.
+
+    Each cluster is sent to each of the blocks once. These are ``WARD_BLOCKS`` as long as none is larger than ``LARGEST_BLOCK``, so what is
+    shuffled grows with the number of clusters; a task compares its two blocks in tiles of ``TILE_ROWS``.
+    """
+    blocks = _ward_blocks(count)
     own = now.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     asked = own.withColumn("q", F.explode(F.sequence("p", F.lit(blocks - 1))))
     given = own.withColumnRenamed("p", "q").withColumn("p", F.explode(F.sequence(F.lit(0), "q")))
+    step = min(BLOCK_ROWS, TILE_ROWS)
 
-    def best(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pd.DataFrame:
-        at = d.argmin(1)  # ids ascend: the smallest of equal ones, which also makes the smallest pair
-        rows = pd.DataFrame({"id": i, "d": d[np.arange(len(i)), at], "other": j[at]})
-        return rows[np.isfinite(rows["d"])]
+    def better(best: tuple[np.ndarray, np.ndarray], at: int, d: np.ndarray, others: np.ndarray, axis: int) -> None:
+        least = d.min(axis)
+        rows = np.flatnonzero(least < best[0][at : at + len(least)])
+        # ids ascend, and so do tiles: the smallest of equal ones, which also makes the smallest pair
+        near = (d[rows] if axis else d[:, rows]).argmin(axis)
+        best[0][at + rows], best[1][at + rows] = least[rows], others[near]
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "d": [], "other": []}).astype({"id": "int64", "d": "float64", "other": "int64"})
+        same = a["p"].iloc[0] == a["q"].iloc[0]
         a, b = a.sort_values("id"), b.sort_values("id")
-        mat = lambda x: np.array([list(v) for v in x["c"]], dtype=float)
-        i, j = a["id"].to_numpy(), b["id"].to_numpy()
-        # each pair's cost is computed once, so that both ends see the same
-        d = _cost(a["n"].to_numpy(dtype=float), mat(a), b["n"].to_numpy(dtype=float), mat(b))
-        if a["p"].iloc[0] == a["q"].iloc[0]:
-            d = np.minimum(d, d.T)
-            np.fill_diagonal(d, np.inf)
-            return best(i, j, d)
-        return pd.concat([best(i, j, d), best(j, i, d.T)])
+        (i, n, c), (j, m, e) = ((x["id"].to_numpy(), x["n"].to_numpy(dtype=float), np.stack(x["c"].to_numpy())) for x in (a, b))
+        of_a = (np.full(len(i), np.inf), np.zeros(len(i), dtype="int64"))
+        of_b = of_a if same else (np.full(len(j), np.inf), np.zeros(len(j), dtype="int64"))
+        for s in range(0, len(i), step):
+            for t in range(s if same else 0, len(j), step):
+                # each pair's cost is computed once, so that both ends see the same
+                d = _cost(n[s : s + step], c[s : s + step], m[t : t + step], e[t : t + step])
+                if same and s == t:
+                    d = np.minimum(d, d.T)
+                    np.fill_diagonal(d, np.inf)
+                else:
+                    better(of_b, t, d, i[s : s + step], 0)
+                better(of_a, s, d, j[t : t + step], 1)
+        found = [pd.DataFrame({"id": k, "d": d, "other": o})[np.isfinite(d)] for k, (d, o) in ([(i, of_a)] if same else [(i, of_a), (j, of_b)])]
+        return pd.concat(found)
 
     met = asked.groupBy("p", "q").cogroup(given.groupBy("p", "q")).applyInPandas(compare, "id long, d double, other long")
     return met.groupBy("id").agg(F.min(F.struct("d", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).alias("m")).select("id", "m.*")
@@ -254,7 +280,7 @@ def ward_merges(df: DataFrame, vector: str, id_col: str, few: int = BLOCK_ROWS)
     """The n-1 merges of Ward's agglomeration: a < b (smallest ids of both clusters), d (growth of the sum of squares).
 
     Ward's cost is reducible, so clusters that are each other's nearest join in the end whatever else does: each round joins all such
-    pairs. A round finds nearest clusters in blocks, emits no pairs but those, and writes its clusters. Equal vectors join
+    pairs. A round finds nearest clusters in blocks whose number is fixed, emits no pairs but those, and writes its clusters. Equal vectors join
     first, at no cost; ``few`` clusters are finished in one task, with the same merges. Costs are those of exact arithmetic up to
     rounding; ties go to the pair of smallest ids. Work grows with the square of the number of different vectors.
     """
@@ -270,8 +296,11 @@ def ward_merges(df: DataFrame, vector: str, id_col: str, few: int = BLOCK_ROWS)
         pairs = written(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d")).where("n = 2").select("a", "b", "d"), f"merges{k}", base)
         merges = merges.unionByName(pairs)
         to = now.join(pairs.select(F.col("b").alias("id"), "a"), "id", "left").select(F.coalesce("a", "id").alias("id"), "n", "c")
-        parts = to.select("id", "n", F.posexplode("c").alias("i", "x")).groupBy("id", "i").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"), F.sum("n").alias("n"))
-        now = written(parts.groupBy("id").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c")), f"round{k}", base)
+        one, two = F.col("x")[0], F.get("x", F.lit(1))  # a cluster that stays is alone
+        mean = F.zip_with(one["c"], two["c"], lambda x, y: (one["n"] * x + two["n"] * y) / (one["n"] + two["n"]))
+        joined = to.groupBy("id").agg(F.collect_list(F.struct("n", "c")).alias("x"))
+        joined = joined.select("id", F.when(two.isNull(), one["n"]).otherwise(one["n"] + two["n"]).alias("n"), F.when(two.isNull(), one["c"]).otherwise(mean).alias("c"))
+        now = written(joined, f"round{k}", base)
         removed(spark, f"{base}/round{k - 1}")
         removed(spark, f"{base}/near{k}")
         count = now.count()

@@ -71,3 +71,24 @@ def test_hashed_features_cost_their_columns_not_their_places(spark):
         assert "filter(" not in plan(got)  # which looked through all columns for each place
         for r in got.collect():
             assert r.v == [float(sum(r[f"p{c}"] == i for c in names)) for i in range(size)]
+
+
+def test_ward_sends_clusters_to_a_fixed_number_of_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from alertloom.operators import neighbours as ne
+
+    monkeypatch.setattr(ne, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(4)
+    c = rng.integers(0, 6, size=(400, 3)).astype(float)
+    df = spark.createDataFrame([(i * 3, float(1 + i % 3), [float(x) for x in v]) for i, v in enumerate(c)], "id long, n double, c array<double>")
+    found = ne._nearest_clusters(df, 400)
+    assert ne._ward_blocks(400) == ne.WARD_BLOCKS and "CoGroup" in plan(found)  # 50 blocks of 8 rows before: each row was sent to all of them
+    n = 1.0 + np.arange(400) % 3
+    d = ((c[:, None] - c[None]) ** 2).sum(2) * (n[:, None] * n[None] / (n[:, None] + n[None]))
+    np.fill_diagonal(d, np.inf)
+    rows = {r.id: r for r in found.collect()}
+    assert len(rows) == 400
+    for i in range(400):
+        r, near = rows[i * 3], int(d[i].argmin())
+        assert (r.a, r.b) == tuple(sorted((i * 3, near * 3))) and abs(r.d - d[i, near]) < 1e-9
