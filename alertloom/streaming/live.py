@@ -103,15 +103,12 @@ def sessions(stream: DataFrame, gap: str = "5 minutes", delay: str = "1 hour") -
 
 
 def correlate_in_batches(df: DataFrame, batches: int, path: str, roles: FieldRoles | None = None, threshold: float = 0.5, id_col: str = "alert_idx") -> DataFrame:
-    """Batch-wise correlation with cluster numbers that no two batches share, written by batch and read as one table."""
-    from pyspark.sql import Window
+    """Batch-wise correlation with cluster numbers that no two batches share, written by batch and read as one table.
 
-    marked = df.withColumn("batch", F.pmod(F.xxhash64(id_col), F.lit(batches)).cast("int"))
-    for b in range(batches):
-        out = correlate(marked.where(F.col("batch") == b).drop("batch"), roles, threshold, id_col)
-        out.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/batch={b}")
+    The batch is a part of each group's digest, so all batches are correlated in one pass over the input.
+    """
     spark = df.sparkSession
-    all_ = spark.read.parquet(path)
-    top = all_.groupBy("batch").agg((F.max("pred_cluster") + 1).alias("n"))  # a row for each batch
-    offset = top.select("batch", F.coalesce(F.sum("n").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    return all_.join(F.broadcast(offset), "batch").withColumn("pred_cluster", F.col("pred_cluster") + F.col("offset")).drop("offset", "batch")
+    marked = df.withColumn("batch", F.pmod(F.xxhash64(id_col), F.lit(batches)).cast("int"))
+    out = correlate(marked, roles, threshold, id_col, within="batch")
+    out.write.mode("overwrite").option("compression", "snappy").partitionBy("batch").parquet(path)
+    return spark.read.schema(out.schema).parquet(path).select(*df.columns, "pred_cluster")
