@@ -189,4 +189,4 @@ def j2_subnet_blocked(spark, d):
     i = F.col("alert_idx")
     part = lambda n: F.floor(i / n).cast("string")
     a = alerts(spark, d).select(i, F.when(F.col("k") % 10 != 0, F.concat(F.lit("10.0."), (F.col("k") % 4).cast("string"), F.lit("."), part(9))).alias("a"), part(6).alias("h1"), part(4).alias("h2"))
-    return co.clusters_of(a, co.blocked_links(a, FieldRoles(["a"], ["h1", "h2"]), 0.5)).select("alert_idx", "pred_cluster")
+    return co.blocked_clusters(a, FieldRoles(["a"], ["h1", "h2"]), 0.5).select("alert_idx", "pred_cluster")
