@@ -60,10 +60,19 @@ def anchor_scores(
     later rows that hold the whole set, so a value that m rows share costs m rows, not m squared. Sets are keyed by 128 bits.
     """
     base = shared_dir(df.sparkSession)
-    rows = df.where(F.col(cluster).isNotNull()).select(cluster, F.col(id_col).cast("long").alias("id"), _values(addresses).alias("_a"), _values(usernames).alias("_u"))
+    return _scored(_rows(df, addresses, usernames, cluster, id_col, base), len(addresses), len(usernames), require_both, cluster, least, block_rows, base)
+
+
+def _rows(df: DataFrame, addresses: Sequence[str], usernames: Sequence[str], cluster: str, id_col: str, base: str) -> DataFrame:
+    """Rows of clusters with their values. They are read several times, so they are written once."""
+    return written(df.where(F.col(cluster).isNotNull()).select(cluster, F.col(id_col).cast("long").alias("id"), _values(addresses).alias("_a"), _values(usernames).alias("_u")), "rows", base)
+
+
+def _scored(rows: DataFrame, n_addresses: int, n_usernames: int, require_both: bool, cluster: str, least: float, block_rows: int, base: str) -> DataFrame:
+    """``anchor_scores`` of ``_rows``."""
     sets = []
-    for s in _subsets(len(addresses)):
-        for t in _subsets(len(usernames)):
+    for s in _subsets(n_addresses):
+        for t in _subsets(n_usernames):
             if (not s or not t) if require_both else not (s or t):
                 continue
             sign = (-1) ** (len(s) + len(t))
@@ -92,8 +101,10 @@ def best_chains(
     df: DataFrame, addresses: Sequence[str], usernames: Sequence[str] = (), require_both: bool = False, cluster: str = "pred_cluster", id_col: str = "alert_idx", least: float = 0.3, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Rows of each cluster's best chain: the anchor of the highest score (smallest id on ties) and its matches, with anchor and score."""
-    best = anchor_scores(df, addresses, usernames, require_both, cluster, id_col, least, block_rows).groupBy(cluster).agg(F.max_by(F.struct("anchor", "score"), F.struct("score", -F.col("anchor"))).alias("b"))
-    rows = df.where(F.col(cluster).isNotNull()).select(cluster, F.col(id_col).cast("long").alias("id"), _values(addresses).alias("_a"), _values(usernames).alias("_u"))
+    base = shared_dir(df.sparkSession)
+    rows = _rows(df, addresses, usernames, cluster, id_col, base)
+    scores = _scored(rows, len(addresses), len(usernames), require_both, cluster, least, block_rows, base)
+    best = written(scores.groupBy(cluster).agg(F.max_by(F.struct("anchor", "score"), F.struct("score", -F.col("anchor"))).alias("b")), "best", base)
     heads = best.join(rows, (best[cluster] == rows[cluster]) & (F.col("b.anchor") == F.col("id"))).select(best[cluster], "b.*", F.col("_a").alias("_ha"), F.col("_u").alias("_hu"))
     both = rows.join(heads, cluster)
     a, u = F.arrays_overlap("_a", "_ha"), F.arrays_overlap("_u", "_hu")

@@ -43,3 +43,17 @@ def test_anchors_against_pairs(spark, both, block_rows):
     assert got == want
     assert {(r.pred_cluster, r.id) for r in best_chains(df, A, U, both, block_rows=block_rows).collect()} == members
     assert anchor_scores(df.limit(0), A, U, both).count() == 0
+
+
+def test_best_chains_read_their_input_once(spark):
+    df = spark.createDataFrame([(1, 1, "a", "u"), (2, 1, "a", "u"), (3, 1, "b", "u"), (4, 2, "a", "u")], "alert_idx long, pred_cluster int, a1 string, u1 string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    got = best_chains(df.mapInPandas(counted, df.schema), ["a1"], ["u1"], True).collect()
+    assert {(r.pred_cluster, r.anchor, r.id) for r in got} == {(1, 1, 1), (1, 1, 2)}
+    assert seen.value == 4  # several scans before
