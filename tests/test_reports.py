@@ -165,3 +165,19 @@ def test_received_checks_secrets_and_unwraps():
             cn.received(body, wrong, "k")
     with pytest.raises(ValueError):
         cn.received(b"3", {})
+
+
+def test_hubs_of_betweenness_are_dealt_out(spark, monkeypatch):
+    rng = __import__("random").Random(6)
+    rows = {tuple(sorted((f"n{rng.randrange(30)}", "hub" if rng.random() < 0.4 else f"n{rng.randrange(30)}"))) for _ in range(70)}
+    df = spark.createDataFrame(sorted(r for r in rows if r[0] != r[1]), "src string, dst string")
+    want = {x.node: x.betweenness for x in gr.betweenness(df).collect()}
+    kept, tables = gr.written, {}
+    monkeypatch.setattr(gr, "written", lambda d, name, *a: tables.setdefault(name, kept(d, name, *a)) if name == "both" else kept(d, name, *a))
+    start = df.select("src").union(df.select("dst")).distinct().toDF("node")
+    pairs = df.toDF("a", "b")
+    got = {x.node: x.b for x in gr._dependencies(pairs, start, few=4).groupBy("node").agg({"b": "sum"}).toDF("node", "b").collect()}
+    top = max(got.values())
+    assert all(abs(got.get(n, 0.0) / top - x) < 1e-9 for n, x in want.items())
+    of_hub = {r.part: r["count"] for r in tables["both"].where("v = 'hub'").groupBy("part").count().collect()}
+    assert len(of_hub) > 1  # one task had all of them before
