@@ -102,5 +102,4 @@ def j3_nearest_candidates(spark, d):
     """The ten nearest alerts of each alert by hashed values and time (recall 0.90 of the ten nearest of all pairs), scored as links."""
     a = alerts(spark, d)
     near = nearest_candidates(alert_vector(a, ROLES), "vector", "alert_idx").withColumnRenamed("id", "src").withColumnRenamed("other", "dst")
-    scored = co.candidate_links(a, near.select("src", "dst"), ROLES, 0.0)
-    return near.join(scored, ["src", "dst"]).select("src", "dst", F.round("cosine", 5).alias("cosine"), F.round("score", 9).alias("score"))
+    return co.candidate_links(a, near, ROLES, 0.0).select("src", "dst", F.round("cosine", 5).alias("cosine"), F.round("score", 9).alias("score"))
