@@ -114,3 +114,66 @@ def test_forest_depths_and_outliers(spark):
     assert max(got, key=got.get) == 900 and got[901] == 0.0 and all(50 <= s <= 100 for i, s in got.items() if i != 901)
     none = fo.fit_forest(df.limit(5), ["a", "b", "c"], "id")
     assert none[0] == [] and fo.forest_score(df, ["a", "b", "c"], none).where("forest_score > 0").count() == 0
+
+
+def test_ward_compares_new_clusters_only(spark, monkeypatch):
+    monkeypatch.setattr(ne, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(8)
+    points = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(160)]
+    whole, searched, sent = [], ne._searched, []
+    monkeypatch.setattr(ne, "_nearest_clusters", lambda now, count: whole.append(count))  # which every round did before
+    monkeypatch.setattr(ne, "_searched", lambda now, count, fresh, wide: sent.append((count, fresh, wide)) or searched(now, count, fresh, wide))
+    got = ne.agglomerate(spark.createDataFrame(points, "id long, v array<double>"), "v", "id", 9, 8)
+    assert {r.id: r.cluster for r in got.collect()} == naive_ward(points, 9)
+    assert not whole and len(sent) > 3 and sent[0][1] == 160 and not any(w for *_, w in sent)
+    assert sum(f for _, f, _ in sent[1:]) < 1.3 * 160  # merges are 159
+
+
+@pytest.mark.parametrize("once, wide", [(True, False), (False, False), (False, True)])
+def test_nearest_clusters_are_told(once, wide):
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+
+    def side(ids, fresh):
+        k = len(ids)
+        return pd.DataFrame({"p": 0, "q": 1, "id": ids, "n": rng.integers(1, 4, k).astype(float), "c": list(rng.normal(size=(k, 5))), "fresh": fresh, "beyond": 1.5})
+
+    a = side(np.arange(700), True).assign(once=once, keep=3, wide=wide)
+    b = side(np.arange(1000, 2500), True) if once else pd.concat([side(np.arange(1000, 2300), False), a[["p", "q", "id", "n", "c", "fresh", "beyond"]].iloc[::2]])
+    got = ne._told(a, b)
+    cost = lambda x, y: x.n * y.n / (x.n + y.n) * ((x.c - y.c) ** 2).sum()
+    rows = {r.id: r for r in [*a.itertuples(), *b.itertuples()]}
+    limit = {r.id: r.d for r in got.itertuples() if r.id == r.other}
+    listed = {(r.id, r.other): r.d for r in got.itertuples() if r.id != r.other}
+    for (i, j), d in listed.items():
+        assert abs(d - cost(rows[i], rows[j])) < 1e-9
+    for x in [*a.itertuples()][:40]:
+        near = sorted((cost(x, y), y.id) for y in b.itertuples() if y.id != x.id)
+        assert all((x.id, j) in listed for d, j in near if d < limit[x.id]) and limit[x.id] > near[1][0]
+    for y in [*b.itertuples()][:40]:
+        assert (y.id in limit) == once
+        most = limit[y.id] if once else y.beyond
+        assert all((y.id, x.id) in listed for x in a.itertuples() if cost(x, y) < most)
+
+
+def test_ward_of_near_and_equally_far_rows(spark, monkeypatch):
+    monkeypatch.setattr(ne, "BLOCK_ROWS", 16)
+    schema, rng = "id long, v array<double>", np.random.default_rng(10)
+    # far apart, and nearer to each other than single precision tells
+    near = [(i, [1000.0 * (i % 3) + float(rng.normal()) * 1e-4, float(rng.normal()) * 1e-4]) for i in range(60)]
+    assert {r.id: r.cluster for r in ne.agglomerate(spark.createDataFrame(near, schema), "v", "id", 7, 8).collect()} == naive_ward(near, 7)
+    grid = [(i, [float(i % 6), float(i // 6 % 6), float(i // 36)]) for i in range(108)]  # costs are equal
+    merges = ne.ward_merges(spark.createDataFrame(grid, schema), "v", "id", 8).collect()
+    parent = list(range(108))
+    for r in sorted(merges, key=lambda r: (r.d, r.a, r.b)):
+        a, b = root(parent, r.a), root(parent, r.b)
+        assert r.a < r.b and a != b
+        parent[max(a, b)] = min(a, b)
+    assert len(merges) == 107
+
+
+def root(parent, x):
+    while parent[x] != x:
+        x = parent[x]
+    return x
